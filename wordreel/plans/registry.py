@@ -30,6 +30,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 def load() -> dict[str, Query]:
     """Import every module that registers queries."""
-    from wordreel.plans import word_queries  # noqa: F401
+    from wordreel.plans import retake_queries, word_queries  # noqa: F401
 
     return QUERIES

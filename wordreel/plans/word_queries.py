@@ -42,13 +42,13 @@ def words_checksum(spark, d):
 @query("display_text", sql("""
 SELECT take_id, idx, coalesce(nullif(hinglish, ''), nullif(said, ''), nullif(devanagari, ''), '')
          AS shown
-FROM (SELECT take_id, idx, CASE idx % 3 WHEN 0 THEN upper(text) WHEN 1 THEN '' END AS hinglish,
+FROM (SELECT take_id, idx, CASE idx % 3 WHEN 0 THEN concat('h', text) WHEN 1 THEN '' END AS hinglish,
              CASE WHEN idx % 4 < 3 THEN text ELSE '' END AS said,
              CASE WHEN idx % 5 < 4 THEN reverse(text) END AS devanagari FROM spoken)"""))
 def shown(spark, d):
     forms = T.tokens(spark, d).select(
         "take_id", "idx",
-        F.expr("CASE idx % 3 WHEN 0 THEN upper(text) WHEN 1 THEN '' END").alias("hinglish"),
+        F.expr("CASE idx % 3 WHEN 0 THEN concat('h', text) WHEN 1 THEN '' END").alias("hinglish"),
         F.expr("CASE WHEN idx % 4 < 3 THEN text ELSE '' END").alias("text"),
         F.expr("CASE WHEN idx % 5 < 4 THEN reverse(text) END").alias("devanagari"))
     return forms.select("take_id", "idx", display_text().alias("shown"))
