@@ -76,8 +76,9 @@ UNION ALL
 SELECT c.take_id, c.j, l.earlier FROM chains c JOIN links l ON l.take_id = c.take_id AND l.j = c.root""")
 part("roots", "SELECT take_id, j, min(root) AS root FROM chains GROUP BY take_id, j")
 part("opened", """
-SELECT take_id, root, row_number() OVER (PARTITION BY take_id ORDER BY min(j)) - 1 AS grp
-FROM roots GROUP BY take_id, root""")
+SELECT take_id, root, count(*) OVER (PARTITION BY take_id ORDER BY first_j
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp
+FROM (SELECT take_id, root, min(j) AS first_j FROM roots GROUP BY take_id, root)""")
 part("members", """
 SELECT o.take_id, o.grp, r.j FROM opened o JOIN roots r USING (take_id, root)
 UNION ALL SELECT take_id, grp, root FROM opened""")
