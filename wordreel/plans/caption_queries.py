@@ -354,7 +354,7 @@ SELECT take_id, n // 5000 AS part, CASE WHEN n // 5000 = 0 THEN 'TITLE: TIGHTENE
                          8, ' ')
          || ' AA/V  C        ' || {timecode('src_in')} || ' ' || {timecode('src_out')} || ' ' ||
          {timecode('rec_in')} || ' ' || {timecode('rec_out')} || crlf ||
-         '* FROM CLIP NAME: take & ' || take_id || '.mp4' || crlf, crlf ORDER BY n) AS body
+         '* FROM CLIP NAME: take & ' || take_id || '.mp4' || crlf, chr(13) || chr(10) ORDER BY n) AS body
 FROM (SELECT *, chr(13) || chr(10) AS crlf FROM edit_events) GROUP BY take_id, n // 5000, crlf"""))
 def edl_documents(spark, d):
     media, _, events = events_of(spark, d)
