@@ -159,27 +159,20 @@ JOB_TTL_SECONDS = 7200
 WORK_TTL_SECONDS = 3 * 86400
 DELETE_BATCH = 100
 
-# Romanization of Devanagari, independent vowels and vowel signs.
+# Romanization of Devanagari. A letter stands for the Latin one below it;
+# aspirates get an h and the two diphthongs their second vowel on top.
 ROMAN_CHUNK = 80
-ROMAN_CONSONANTS = (
-    ("क", "k"), ("ख", "kh"), ("ग", "g"), ("घ", "gh"), ("ङ", "ṅ"),
-    ("च", "c"), ("छ", "ch"), ("ज", "j"), ("झ", "jh"), ("ञ", "ñ"),
-    ("ट", "ṭ"), ("ठ", "ṭh"), ("ड", "ḍ"), ("ढ", "ḍh"), ("ण", "ṇ"),
-    ("त", "t"), ("थ", "th"), ("द", "d"), ("ध", "dh"), ("न", "n"),
-    ("प", "p"), ("फ", "ph"), ("ब", "b"), ("भ", "bh"), ("म", "m"),
-    ("य", "y"), ("र", "r"), ("ल", "l"), ("व", "v"),
-    ("श", "ś"), ("ष", "ṣ"), ("स", "s"), ("ह", "h"), ("ळ", "ḻ"),
-)
-ROMAN_VOWELS = (
-    ("अ", "a"), ("आ", "ā"), ("इ", "i"), ("ई", "ī"), ("उ", "u"), ("ऊ", "ū"),
-    ("ऋ", "ṛ"), ("ए", "e"), ("ऐ", "ai"), ("ओ", "o"), ("औ", "au"),
-)
-ROMAN_SIGNS = (
-    ("ा", "ā"), ("ि", "i"), ("ी", "ī"), ("ु", "u"), ("ू", "ū"),
-    ("ृ", "ṛ"), ("े", "e"), ("ै", "ai"), ("ो", "o"), ("ौ", "au"),
-)
-ROMAN_OTHER = (("ं", "n"), ("ँ", "n"), ("ः", "ḥ"), ("।", "."), ("॥", ".."), ("ऽ", "'"))
-ROMAN_DIGITS = "०१२३४५६७८९"
+ROMAN_CONSONANTS = "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ"
+ROMAN_CONSONANT_BASES = "kkggnccjjnttddnttddnppbbmyrlvssshl"
+ROMAN_ASPIRATES = "खघछझठढथधफभ"
+ROMAN_VOWELS = "अआइईउऊऋएऐओऔ"
+ROMAN_VOWEL_BASES = "aaiiuureaoa"
+ROMAN_SIGNS = "ािीुूृेैोौ"
+ROMAN_SIGN_BASES = "aiiuureaoa"
+ROMAN_AI, ROMAN_AU = "ऐै", "औौ"
+ROMAN_OTHER = "ंँः।ऽ०१२३४५६७८९"
+ROMAN_OTHER_BASES = "nnh.'0123456789"
+ROMAN_KILLER, ROMAN_NUQTA = "्", "़"
 ROMAN_EXCEPTIONS = (
     ("maim", "main"), ("mem", "mein"), ("aura", "aur"), ("hama", "hum"),
     ("hai", "hai"), ("haim", "hain"), ("nahim", "nahin"), ("kya", "kya"),

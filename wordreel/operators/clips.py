@@ -246,7 +246,7 @@ def clip_rows(clips: DataFrame) -> DataFrame:
         F.concat_ws("/", F.col("user_id").cast("string"), F.col("job_id").cast("string"),
                     "filename").alias("storage_path"),
         short("description", 500), short("source_url", 500),
-        F.round("start_time", 2).alias("start_time"), F.round("end_time", 2).alias("end_time"),
+        F.bround("start_time", 2).alias("start_time"), F.bround("end_time", 2).alias("end_time"),
         F.nullif(F.substring("hook", 1, 300), F.lit("")).alias("hook"),
         F.nullif("virality_score", F.lit(0)).alias("virality_score"),
         F.nullif(F.substring("clip_type", 1, 50), F.lit("")).alias("clip_type"))

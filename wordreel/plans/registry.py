@@ -31,6 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 def load() -> dict[str, Query]:
     """Import every module that registers queries."""
     from wordreel.plans import (  # noqa: F401
-        caption_queries, clip_queries, fit_queries, retake_queries, source_queries, word_queries)
+        caption_queries, clip_queries, fit_queries, retake_queries, source_queries,
+        stream_queries, word_queries)
 
     return QUERIES
