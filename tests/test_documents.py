@@ -102,12 +102,12 @@ def style(spark, **changes):
     df = C.presets(spark).filter(F.col("preset") == changes.pop("preset", "default"))
     for name, value in changes.items():
         df = df.withColumn(name, F.lit(value))
-    return df.select(F.struct("*").alias("style"))
+    return df.select(F.lit(0).alias("style_id"), F.struct("*").alias("style"))
 
 
 def events(spark, words, said, **changes):
-    shown = C.display_words(words({1: said})).crossJoin(style(spark, **changes))
-    return C.word_events(shown, F.col("style.words_per_line"), C.style_markup()).orderBy("n").collect()
+    shown = C.display_words(words({1: said})).withColumn("style_id", F.lit(0))
+    return C.word_events(shown, style(spark, **changes), C.style_markup()).orderBy("n").collect()
 
 
 SAID = [(0, 400, "one"), (400, 400, "{two}"), (400, 900, "three"), (1000, 1040, "four")]
@@ -133,9 +133,10 @@ def test_pop_fade_and_karaoke_markup(spark, words):
 
 
 def test_subtitle_document_header(spark, words):
-    shown = C.display_words(words({1: SAID})).crossJoin(style(spark))
-    rows = C.word_events(shown, F.lit(3), C.style_markup())
-    heads = shown.filter("rn = 0").select("take_id", C.style_header(F.lit(640), F.lit(360)).alias("head"))
+    shown = C.display_words(words({1: SAID})).withColumn("style_id", F.lit(0))
+    rows = C.word_events(shown, style(spark), C.style_markup())
+    heads = shown.filter("rn = 0").join(style(spark), "style_id").select(
+        "take_id", C.style_header(F.lit(640), F.lit(360)).alias("head"))
     lines = C.ass_documents(rows, heads).first().body.split("\n")
     assert lines[:5] == ["[Script Info]", "ScriptType: v4.00+", "PlayResX: 640", "PlayResY: 360",
                          "WrapStyle: 1"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wordreel import fixed
 from wordreel.functions.text import first_text, strip
 from wordreel.functions.timefmt import ass_time, srt_time
-from wordreel.operators.scan import position_block, running
+from wordreel.operators.scan import join_takes, position_block, running
 
 LINES_PER_PART = 5000   # cues or events per part of one document
 FULL = "&H00"
@@ -198,38 +198,41 @@ def _shown(m: Markup, word: Column) -> Column:
     return F.when(m.upper, F.upper(plain)).otherwise(plain)
 
 
-def word_events(display: DataFrame, n: Column, m: Markup) -> DataFrame:
+def word_events(display: DataFrame, styles: DataFrame, m: Markup) -> DataFrame:
     """(take_id, n, start_ms, end_ms, body): a line per spoken word, or per cue for karaoke.
 
-    `display` carries a `style` struct. A word lasts until the next of its cue,
-    the last one until the cue ends, and never no time at all.
+    `display` carries a `style_id`, `styles` is (style_id, style). A word lasts
+    until the next of its cue, the last one until the cue ends, and never no
+    time at all. Only the number of words per line goes through the grouping;
+    the rest of the style joins the finished cues.
     """
-    rows = chunks(display, n, "style")
-    whole = F.array_join(F.transform("said", lambda w: F.concat(
-        F.lit("{\\kf"),
-        F.greatest(F.floor((w["end_ms"] - w["start_ms"]) / 10).cast("bigint"), F.lit(10))
-        .cast("string"), F.lit("}"), _shown(m, w))), " ")
-    karaoke = rows.filter(m.animation == "karaoke").select(
-        "take_id", F.col("said")[0]["rn"].alias("n"), F.col("said")[0]["start_ms"].alias("start_ms"),
-        F.element_at("said", -1)["end_ms"].alias("end_ms"), whole.alias("body"))
+    per_line = styles.select("style_id", F.col("style.words_per_line").alias("per_line"))
+    sized = join_takes(display, per_line, "rn", on="style_id")
+    rows = join_takes(chunks(sized, F.col("per_line"), "style_id"), styles, "cue", on="style_id")
+    karaoke = m.animation == "karaoke"
+    single = rows.select("take_id", "style", "said", F.posexplode("said").alias("at", "word")).filter(
+        ~karaoke | (F.col("at") == 0))
 
     back = _tag(m.text_color, FULL)
     entrance = F.when(m.animation == "pop", _pop(m)).when(m.animation == "fade", _fade(m)) \
         .otherwise(_tag(m.highlight, FULL, m.active_scale))
-    marked = F.array_join(F.transform("said", lambda w, i: F.when(
-        i < F.col("at"), F.concat(_tag(m.text_color, FULL), _shown(m, w)))
-        .when(i == F.col("at"), F.concat(entrance, _shown(m, w), back))
-        .otherwise(F.concat(_tag(m.text_color, m.dim), _shown(m, w)))), " ")
-    single = rows.filter(m.animation != "karaoke").select(
-        "take_id", "style", "said", F.posexplode("said").alias("at", "word"))
-    until = F.coalesce(F.expr("try_element_at(said, at + 2).start_ms"),
-                       F.element_at("said", -1)["end_ms"])
-    start = F.col("word.start_ms")
-    events = single.select(
+    single = single.withColumns({"past_": back, "now_": entrance,
+                                 "later_": _tag(m.text_color, m.dim)})
+    marked = F.transform("said", lambda w, i: F.concat(
+        F.when(i < F.col("at"), F.col("past_")).when(i == F.col("at"), F.col("now_"))
+        .otherwise(F.col("later_")), _shown(m, w),
+        F.when(i == F.col("at"), F.col("past_")).otherwise("")))
+    sung = F.transform("said", lambda w: F.concat(
+        F.lit("{\\kf"),
+        F.greatest(F.floor((w["end_ms"] - w["start_ms"]) / 10).cast("bigint"), F.lit(10))
+        .cast("string"), F.lit("}"), _shown(m, w)))
+    start, cue_end = F.col("word.start_ms"), F.element_at("said", -1)["end_ms"]
+    until = F.coalesce(F.expr("try_element_at(said, at + 2).start_ms"), cue_end)
+    return single.select(
         "take_id", F.col("word.rn").alias("n"), start.alias("start_ms"),
-        F.when(until <= start, start + 100).otherwise(until).alias("end_ms"),
-        F.concat(marked, back).alias("body"))
-    return events.unionByName(karaoke)
+        F.when(karaoke, cue_end).when(until <= start, start + 100).otherwise(until).alias("end_ms"),
+        F.when(karaoke, F.array_join(sung, " ")).otherwise(
+            F.concat(F.array_join(marked, " "), F.col("past_"))).alias("body"))
 
 
 def event_line() -> Column:

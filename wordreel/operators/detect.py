@@ -198,7 +198,6 @@ def score(near: DataFrame, cfg: TightenConfig = TightenConfig()) -> DataFrame:
         .agg(F.percentile(F.col("end_ms") - F.col("start_ms"), 0.5).alias("median_ms"),
              F.count("*").alias("said"))
         .filter("said >= 2")
-        .withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(15))))
     )
 
     # Uses of the token within 15 s: windows of five minutes, edges copied over.
@@ -212,9 +211,8 @@ def score(near: DataFrame, cfg: TightenConfig = TightenConfig()) -> DataFrame:
         near.withColumn("bin_", F.explode(copies))
         .withColumn("nearby", F.count("*").over(w))
         .filter(F.col("bin_") == home)
-        .withColumn("salt_", F.pmod(F.hash("idx"), F.lit(16)))
-        .join(typical, ["take_id", "token", "salt_"], "left")
     )
+    counted = join_takes(counted, typical, "idx", "left", on=["take_id", "token"])
     drawn_out = (F.col("median_ms") > 0) & (
         (F.col("end_ms") - F.col("start_ms")) * 10 >= F.col("median_ms") * fixed.DRAWN_OUT_TIMES_TEN)
     points = (

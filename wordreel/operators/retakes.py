@@ -11,7 +11,7 @@ from wordreel.functions.text import display_text, ends_clause, norm_token, strip
 from wordreel.operators.detect import CUT, RANK_STEP, RETAKE_RANK
 from wordreel.operators.intervals import interval_join
 from wordreel.operators.scan import (
-    BLOCK, numbered, position_block, running, with_neighbours, with_recent)
+    join_takes, numbered, position_block, running, with_neighbours, with_recent)
 from wordreel.session import settle
 
 SYSTEM_PROMPT = (
@@ -151,14 +151,14 @@ def groups(links: DataFrame) -> DataFrame:
     rounds = max(1, math.ceil(math.log2(max(2, _longest(ends)))))
     for _ in range(rounds):
         jump = ends.select("take_id", F.col("j").alias("root"), F.col("root").alias("further"))
-        ends = settle(ends.join(jump, ["take_id", "root"], "left").select(
+        ends = settle(join_takes(ends, jump, "j", "left", on=["take_id", "root"]).select(
             "take_id", "j", F.coalesce("further", "root").alias("root")), "links")
     opened = ends.groupBy("take_id", "root").agg(F.min("j").alias("opened"))
     order = numbered(opened, ["take_id"], "opened", "grp")
     members = ends.select("take_id", "root", "j").unionByName(
         opened.select("take_id", "root", F.col("root").alias("j")))
-    return members.join(order.select("take_id", "root", "grp"), ["take_id", "root"]).select(
-        "take_id", "grp", "j")
+    return join_takes(members, order.select("take_id", "root", "grp"), "j",
+                      on=["take_id", "root"]).select("take_id", "grp", "j")
 
 
 def _longest(ends: DataFrame) -> int:
@@ -231,7 +231,7 @@ def verdicts(replies: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def retake_cuts(members: DataFrame, judged: DataFrame) -> DataFrame:
     """Every attempt but the one kept, always as a suggestion."""
-    both = members.join(judged.drop("reason"), ["take_id", "grp"])
+    both = join_takes(members, judged.drop("reason"), "j", on=["take_id", "grp"])
     return both.filter(F.col("at") != F.col("keep")).select(
         "take_id", "start_ms", "end_ms", F.lit("retake").alias("reason"), "confidence_pct",
         F.substring("text", 1, 120).alias("text"), F.lit(False).alias("auto"),
@@ -240,8 +240,8 @@ def retake_cuts(members: DataFrame, judged: DataFrame) -> DataFrame:
 
 def retake_report(members: DataFrame, judged: DataFrame) -> DataFrame:
     """One row per confirmed group and part, with its attempts."""
-    both = members.withColumn("part", F.floor(F.col("at") / PROMPT_PART).cast("bigint")).join(
-        judged, ["take_id", "grp"])
+    both = members.withColumn("part", F.floor(F.col("at") / PROMPT_PART).cast("bigint"))
+    both = join_takes(both, judged, "j", on=["take_id", "grp"])
     one = F.struct("at", "start_ms", "end_ms", "text")
     return both.groupBy("take_id", "grp", "part", "keep", "confidence_pct", "reason").agg(
         F.array_sort(F.collect_list(one)).alias("attempts"))

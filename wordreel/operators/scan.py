@@ -22,7 +22,7 @@ SALTS = 16              # copies of a take-level row in a salted join
 
 def position_block(position: str | Column, size: int = BLOCK) -> Column:
     position = F.col(position) if isinstance(position, str) else position
-    return F.floor(position / F.lit(size)).cast("bigint")
+    return F.call_function("div", position.cast("bigint"), F.lit(size).cast("bigint"))
 
 
 def time_block(ms: str | Column, span: int = SPAN_MS) -> Column:
@@ -127,14 +127,15 @@ def numbered(df: DataFrame, keys: Sequence[str], position: str, name: str,
 
 
 def join_takes(df: DataFrame, takes: DataFrame, spread: str | Column, how: str = "inner",
-               on: str = "take_id", parts: int = SALTS) -> DataFrame:
+               on: str | Sequence[str] = "take_id", parts: int = SALTS) -> DataFrame:
     """Join rows of many kinds of takes to one row per take, salted.
 
     The take side is repeated `parts` times and the rows of a hot take spread
     over them by `spread`. Where Spark sees that the take side is small it still
     broadcasts it, behind its own size check.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     spread = F.col(spread) if isinstance(spread, str) else spread
     salted = takes.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     tagged = df.withColumn("salt_", F.pmod(F.hash(spread), F.lit(parts)))
-    return tagged.join(salted, [on, "salt_"], how).drop("salt_")
+    return tagged.join(salted, [*keys, "salt_"], how).drop("salt_")

@@ -17,22 +17,26 @@ from wordreel.sources import tables as T
 NAMES = [p[0] for p in fixed.STYLE_PRESETS]
 
 
-def styled(spark, words):
-    """Words that can be shown, each with the style its take was given."""
-    # Four presets: a fixed list, joined by the take's number.
-    rows = C.presets(spark).withColumn("pick", F.array_position(
-        F.array(*[F.lit(n) for n in NAMES]), F.col("preset")) - 1)
-    styles = rows.select("pick", F.struct(*[c for c in rows.columns if c != "pick"]).alias("style"))
-    return C.display_words(words).withColumn("pick", F.col("take_id") % 4).join(
-        F.broadcast(styles), "pick").drop("pick")
+def styles_of(rows):
+    """(style_id, style) of the presets, numbered in their order."""
+    place = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("preset")) - 1
+    return rows.select(place.alias("style_id"), F.struct(*rows.columns).alias("style"))
 
 
-def clip_styled(spark, words):
-    rows = C.clip_presets(spark)
-    pick = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("preset")) - 1
-    styles = rows.select(pick.alias("pick"), F.struct(*rows.columns).alias("style"))
-    return C.display_words(words).withColumn("pick", F.col("take_id") % 4).join(
-        F.broadcast(styles), "pick").drop("pick")
+def styled(words):
+    """Words that can be shown, each with the number of its take's style."""
+    return C.display_words(words).withColumn("style_id", F.col("take_id") % 4)
+
+
+def cue_rows(spark, d):
+    per_line = styles_of(C.presets(spark)).select("style_id", "style.words_per_line")
+    shown = join_takes(styled(T.words(spark, d)), per_line, "rn", on="style_id")
+    return C.cues(shown, F.col("words_per_line"))
+
+
+def heads_of(shown, styles, head):
+    return join_takes(shown.filter("rn = 0"), styles, "take_id", on="style_id").select(
+        "take_id", head.alias("head"))
 
 
 def style_requests(spark, d):
@@ -152,8 +156,7 @@ def ass(ms: str) -> str:
 
 @query("cues", sql("SELECT take_id, cue, start_ms, end_ms, text FROM cue_rows"))
 def cues(spark, d):
-    rows = styled(spark, T.words(spark, d))
-    return C.cues(rows, F.col("style.words_per_line"))
+    return cue_rows(spark, d)
 
 
 @query("srt_documents", sql(f"""
@@ -161,8 +164,7 @@ SELECT take_id, cue // 5000 AS part, string_agg((cue + 1) || chr(10) || {srt('st
        || {srt('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS body
 FROM cue_rows GROUP BY take_id, cue // 5000"""))
 def srt_documents(spark, d):
-    rows = styled(spark, T.words(spark, d))
-    return C.srt_documents(C.cues(rows, F.col("style.words_per_line")))
+    return C.srt_documents(cue_rows(spark, d))
 
 
 @query("tightened_srt", sql(f"""
@@ -227,8 +229,8 @@ def _event_sql(**local):
     r"{\c&H0088FF88\alpha&HFF\t(0,200,\alpha&H00)}",
     r"{\c&H0000FFFF\alpha&H00\fscx112\fscy112}")))
 def word_events(spark, d):
-    rows = styled(spark, T.words(spark, d))
-    return _same_case(C.word_events(rows, F.col("style.words_per_line"), C.style_markup()))
+    styles = styles_of(C.presets(spark))
+    return _same_case(C.word_events(styled(T.words(spark, d)), styles, C.style_markup()))
 
 
 @query("clip_word_events", _event_sql(
@@ -243,32 +245,31 @@ GROUP BY take_id, cue""",
         r"{\c&H0088FF88\alpha&HFF\t(0,200,\alpha&H00)}",
         r"{\c&H0000FFFF\alpha&H00\fscx115\fscy115}")))
 def clip_word_events(spark, d):
-    rows = clip_styled(spark, T.words(spark, d))
-    return _same_case(C.word_events(rows, F.col("style.words_per_line"), C.clip_markup()))
+    styles = styles_of(C.clip_presets(spark))
+    return _same_case(C.word_events(styled(T.words(spark, d)), styles, C.clip_markup()))
 
 
 @query("karaoke_cues", sql("""
 SELECT take_id, n, start_ms, end_ms FROM event_times WHERE take_id % 4 = 3"""))
 def karaoke_cues(spark, d):
-    rows = styled(spark, T.words(spark, d)).filter(F.col("style.animation.type") == "karaoke")
-    return C.word_events(rows, F.col("style.words_per_line"), C.style_markup()).drop("body")
+    styles = styles_of(C.presets(spark)).filter(F.col("style.animation.type") == "karaoke")
+    return C.word_events(styled(T.words(spark, d)), styles, C.style_markup()).drop("body")
 
 
 @query("ass_documents")
 def ass_documents(spark, d):
-    rows = styled(spark, T.words(spark, d))
-    events = C.word_events(rows, F.col("style.words_per_line"), C.style_markup())
-    heads = rows.filter("rn = 0").select("take_id", C.style_header(F.lit(1080), F.lit(1920))
-                                         .alias("head"))
-    return C.ass_documents(events, heads)
+    styles = styles_of(C.presets(spark))
+    shown = settle(styled(T.words(spark, d)), "shown")
+    heads = heads_of(shown, styles, C.style_header(F.lit(1080), F.lit(1920)))
+    return C.ass_documents(settle(C.word_events(shown, styles, C.style_markup()), "lines"), heads)
 
 
 @query("clip_ass_documents")
 def clip_ass_documents(spark, d):
-    rows = clip_styled(spark, T.words(spark, d))
-    events = C.word_events(rows, F.col("style.words_per_line"), C.clip_markup())
-    heads = rows.filter("rn = 0").select("take_id", C.clip_header().alias("head"))
-    return C.ass_documents(events, heads)
+    styles = styles_of(C.clip_presets(spark))
+    shown = settle(styled(T.words(spark, d)), "shown")
+    heads = heads_of(shown, styles, C.clip_header())
+    return C.ass_documents(settle(C.word_events(shown, styles, C.clip_markup()), "lines"), heads)
 
 
 # Timelines -------------------------------------------------------------------
