@@ -118,12 +118,12 @@ def assign_words(words: DataFrame, spans: DataFrame) -> DataFrame:
         words.select("take_id", "idx", "start_ms", "end_ms", "text"), s,
         (F.col("start_ms"), F.col("end_ms")), (F.col("s"), F.col("e")),
         F.when(flat, inside).otherwise(over))
+    # Overlap first, then the lower span, as one number: plain columns keep the
+    # aggregation in its hash table, where a struct would have to be sorted.
     overlap = F.greatest(F.lit(0), F.least("end_ms", "e") - F.greatest("start_ms", "s"))
-    best = F.max_by(F.struct("seg", "offset_ms", "s", "e"), F.struct(overlap, -F.col("seg")))
-    return (
-        pairs.groupBy("take_id", "idx", "start_ms", "end_ms", "text").agg(best.alias("span"))
-        .select("take_id", "idx", "start_ms", "end_ms", "text", "span.*")
-    )
+    rank = overlap.cast("decimal(18,0)") * F.lit(10 ** 18).cast("decimal(19,0)") - F.col("seg")
+    return pairs.withColumn("rank_", rank).groupBy("take_id", "idx", "start_ms", "end_ms", "text").agg(
+        *[F.max_by(c, "rank_").alias(c) for c in ("seg", "offset_ms", "s", "e")])
 
 
 def retime(assigned: DataFrame) -> DataFrame:

@@ -256,12 +256,54 @@ def karaoke_cues(spark, d):
     return C.word_events(styled(T.words(spark, d)), styles, C.style_markup()).drop("body")
 
 
-@query("ass_documents")
+def _ass_sql(heads: str, **local) -> str:
+    return sql(f"""
+SELECT e.take_id, 0 AS part, regexp_replace(any_value(h.head) || string_agg('Dialogue: 0,' ||
+       {ass('e.start_ms')} || ',' || {ass('e.end_ms')} || ',Caption,,0,0,0,,' || b.body, chr(10)
+       ORDER BY e.n) FILTER (e.n // 5000 = 0), 'ẞ|SS|ß', 'SS', 'g') AS body
+FROM event_times e JOIN event_bodies b USING (take_id, n) JOIN heads h ON h.k = e.take_id % 4
+WHERE e.n < 5000 GROUP BY e.take_id
+UNION ALL
+SELECT e.take_id, e.n // 5000, regexp_replace(string_agg('Dialogue: 0,' ||
+       {ass('e.start_ms')} || ',' || {ass('e.end_ms')} || ',Caption,,0,0,0,,' || b.body, chr(10)
+       ORDER BY e.n), 'ẞ|SS|ß', 'SS', 'g')
+FROM event_times e JOIN event_bodies b USING (take_id, n)
+WHERE e.n >= 5000 GROUP BY e.take_id, e.n // 5000""", heads=heads, **local)
+
+
+def _heads(rows) -> str:
+    """Header texts per preset, from (font, size, big, text, high, shadow, outline_w, shadow_w, margin)."""
+    def line(name, size, color, r):
+        return (f"Style: {name},{r[0]},{size},{color},&H000000FF,&H00000000,{r[5]},"
+                f"-1,0,0,0,100,100,2,0,1,{r[6]},{r[7]},2,40,40,{r[8]},1\n")
+
+    texts = []
+    for k, r in enumerate(rows):
+        text = ("[Script Info]\nScriptType: v4.00+\nPlayResX: 1080\nPlayResY: 1920\nWrapStyle: 1\n\n"
+                + C.STYLE_HEAD + line("Caption", r[1], r[3], r) + line("Highlight", r[2], r[4], r)
+                + C.EVENT_HEAD)
+        texts.append(f"({k}, '" + text.replace("\n", "' || chr(10) || '") + "')")
+    return "SELECT * FROM (VALUES " + ", ".join(texts) + ") t(k, head)"
+
+
+W = "&H00FFFFFF"
+STYLE_BODIES = _bodies(
+    r"{\c&H0000FFFF\alpha&H00\fscx50\fscy50\t(0,90,\fscx115\fscy115)\t(90,150,\fscx100\fscy100)}",
+    r"{\c&H0088FF88\alpha&HFF\t(0,200,\alpha&H00)}",
+    r"{\c&H0000FFFF\alpha&H00\fscx112\fscy112}")
+
+
+@query("ass_documents", _ass_sql(_heads([
+    ("Arial Black", 72, 80, W, "&H0000FFFF", "&H66000000", 4, 3, 320),
+    ("Arial Black", 80, 89, W, "&H0000FFFF", "&H66000000", 5, 3, 320),
+    ("Inter", 56, 62, W, "&H0088FF88", "&HBB000000", 2, 1, 300),
+    ("Arial Black", 72, 80, W, "&H000055FF", "&H66000000", 4, 2, 320)]), event_bodies=STYLE_BODIES))
 def ass_documents(spark, d):
     styles = styles_of(C.presets(spark))
     shown = settle(styled(T.words(spark, d)), "shown")
     heads = heads_of(shown, styles, C.style_header(F.lit(1080), F.lit(1920)))
-    return C.ass_documents(settle(C.word_events(shown, styles, C.style_markup()), "lines"), heads)
+    return _same_case(C.ass_documents(settle(C.word_events(shown, styles, C.style_markup()), "lines"),
+                                      heads))
 
 
 @query("clip_ass_documents")
@@ -305,10 +347,8 @@ def timecode(frame: str) -> str:
 
 
 def events_of(spark, d):
-    media = settle(T.media(spark, d), "media")
-    cuts = P.settled_cuts(spark, d)
-    from wordreel.operators import intervals as I
-    kept = settle(I.keep_segments(cuts.filter("auto"), media), "kept")
+    _, media, cuts = P.tightened(spark, d)
+    kept = settle(P.kept(media, cuts), "kept")
     return media, cuts, settle(L.edit_events(kept, media), "events")
 
 

@@ -223,7 +223,10 @@ def romanize_chunks(spark, d):
     return Z.romanize_chunks(mixed_words(spark, d))
 
 
-@query("romanize_prompts")
+@query("romanize_prompts", sql(f"""
+SELECT take_id, chunk, '{Z.PROMPT.replace(chr(10), "' || chr(10) || '")}' ||
+       cast(to_json(list(text ORDER BY idx)) AS VARCHAR) AS body
+FROM mixed_words GROUP BY take_id, chunk HAVING bool_or(text = 'क्या')"""))
 def romanize_prompts(spark, d):
     return Z.romanize_prompts(mixed_words(spark, d))
 
@@ -269,10 +272,10 @@ FROM hits h FULL JOIN truth t USING (take_id, idx)""")
 
 
 def judged(spark, d):
-    words = settle(T.words(spark, d), "words")
+    words, media, cuts = P.tightened(spark, d)
     token = clean_token("text")
     truth = words.filter((token == "er") | (token.isin("the", "der", "la") & (F.col("idx") % 5 == 0)))
-    return Q.judged_words(words, P.settled_cuts(spark, d), truth.select("take_id", "idx"))
+    return media, settle(Q.judged_words(words, cuts, truth.select("take_id", "idx")), "judged")
 
 
 @query("filler_eval", sql("""
@@ -282,13 +285,13 @@ FROM (SELECT m.take_id, count(*) FILTER (cut AND filler) AS tp,
              count(*) FILTER (cut AND NOT filler) AS fp, count(*) FILTER (NOT cut AND filler) AS fn
       FROM media m LEFT JOIN judged USING (take_id) GROUP BY m.take_id)"""))
 def filler_eval(spark, d):
-    return Q.filler_eval(T.media(spark, d), judged(spark, d))
+    return Q.filler_eval(*judged(spark, d))
 
 
 @query("damaged_words", sql("""
 SELECT take_id, idx, text FROM judged JOIN words USING (take_id, idx) WHERE cut AND NOT filler"""))
 def damaged_words(spark, d):
-    return Q.damaged(judged(spark, d))
+    return Q.damaged(judged(spark, d)[1])
 
 
 part("true_groups", """

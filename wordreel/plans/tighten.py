@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordreel.operators import detect as D, intervals as I
 from wordreel.session import settle
@@ -16,32 +16,42 @@ LEXICON = D.Lexicon(
 )
 
 
-def raw_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(D.detect(T.words(spark, sf_dir), lexicon=LEXICON), "raw-cuts")
+def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(words, media) as tables, for runs that read them more than once."""
+    words = settle(T.words(spark, sf_dir), "words")
+    ends = words.groupBy("take_id").agg(F.max("end_ms").alias("last_ms"))
+    return words, settle(T.media_of(ends), "media")
+
+
+def raw_cuts(words: DataFrame) -> DataFrame:
+    return settle(D.detect(words, lexicon=LEXICON), "raw-cuts")
 
 
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.merge_cuts(raw_cuts(spark, sf_dir), T.media(spark, sf_dir))
+    words, media = inputs(spark, sf_dir)
+    return D.merge_cuts(raw_cuts(words), media)
 
 
-def settled_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(cuts(spark, sf_dir), "cuts")
+def tightened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, media, merged cuts), all written."""
+    words, media = inputs(spark, sf_dir)
+    return words, media, settle(D.merge_cuts(raw_cuts(words), media), "cuts")
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much dead air, filler and stutter is in each take, and what is left without it."""
-    media = settle(T.media(spark, sf_dir), "media")
-    merged = D.merge_cuts(raw_cuts(spark, sf_dir), media)
-    return D.summarize(merged, media)
+    words, media = inputs(spark, sf_dir)
+    return D.summarize(D.merge_cuts(raw_cuts(words), media), media)
 
 
-def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.keep_segments(settled_cuts(spark, sf_dir).filter("auto"), T.media(spark, sf_dir))
+def kept(media: DataFrame, merged: DataFrame) -> DataFrame:
+    return I.keep_segments(merged.filter("auto"), media)
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.with_offsets(settle(kept(spark, sf_dir), "kept"))
+def spans(media: DataFrame, merged: DataFrame) -> DataFrame:
+    return I.with_offsets(settle(kept(media, merged), "kept"))
 
 
 def retimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.retime(I.assign_words(T.words(spark, sf_dir), spans(spark, sf_dir)))
+    words, media, merged = tightened(spark, sf_dir)
+    return I.retime(I.assign_words(words, spans(media, merged)))

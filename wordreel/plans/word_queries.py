@@ -149,8 +149,8 @@ UNION ALL SELECT * FROM raw_repeat""")
 
 @query("detect_measured", _cut_sql("switched_cuts"))
 def detect_measured(spark, d):
-    w = T.words(spark, d)
-    return _cuts(D.detect(w, T.pauses(w), T.media(spark, d), lexicon=P.LEXICON))
+    w, m = P.inputs(spark, d)
+    return _cuts(D.detect(w, T.pauses(w), m, lexicon=P.LEXICON))
 
 
 @query("detect_no_fillers", sql("""
@@ -177,8 +177,7 @@ def merged_cuts(spark, d):
     "SELECT take_id, start_ms, end_ms, reason, cast(confidence_pct AS BIGINT) AS confidence_pct, "
     "text, auto FROM cuts", **merged("switched_cuts")))
 def merged_measured_cuts(spark, d):
-    w = T.words(spark, d)
-    m = T.media(spark, d)
+    w, m = P.inputs(spark, d)
     raw = settle(D.detect(w, T.pauses(w), m, lexicon=P.LEXICON), "raw-cuts")
     return _cuts(D.merge_cuts(raw, m))
 
@@ -214,30 +213,32 @@ SELECT take_id, line, CASE WHEN auto THEN 'cut' ELSE 'sugg' END AS mark, start_m
 FROM (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY start_ms, NOT auto) AS line,
              count(*) OVER (PARTITION BY take_id) AS n FROM cuts) WHERE line <= 40"""))
 def cut_report(spark, d):
-    out = D.report(P.settled_cuts(spark, d))
+    out = D.report(P.tightened(spark, d)[2])
     return out.withColumn("confidence_pct", F.col("confidence_pct").cast("bigint"))
 
 
 @query("kept_spans", sql("SELECT take_id, start_ms, end_ms FROM kept"))
 def kept_spans(spark, d):
-    return P.kept(spark, d)
+    return P.kept(*P.tightened(spark, d)[1:])
 
 
 @query("kept_offsets", sql("SELECT take_id, seg, start_ms, end_ms, offset_ms FROM spans"))
 def kept_offsets(spark, d):
-    return P.spans(spark, d).select("take_id", "seg", "start_ms", "end_ms", "offset_ms")
+    return P.spans(*P.tightened(spark, d)[1:]).select(
+        "take_id", "seg", "start_ms", "end_ms", "offset_ms")
 
 
 @query("new_length", sql("""
 SELECT take_id, cast(sum(end_ms - start_ms) AS BIGINT) AS new_duration_ms, count(*) AS spans
 FROM kept GROUP BY take_id"""))
 def new_length(spark, d):
-    return I.total_length(P.kept(spark, d))
+    return I.total_length(P.kept(*P.tightened(spark, d)[1:]))
 
 
 @query("assigned_words", sql("SELECT take_id, idx, seg FROM assigned"))
 def assigned_words(spark, d):
-    return I.assign_words(T.words(spark, d), P.spans(spark, d)).select("take_id", "idx", "seg")
+    words, media, merged = P.tightened(spark, d)
+    return I.assign_words(words, P.spans(media, merged)).select("take_id", "idx", "seg")
 
 
 @query("retimed_words", sql("SELECT take_id, idx, start_ms, end_ms, text, seg FROM retimed"))

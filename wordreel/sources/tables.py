@@ -25,13 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a source of fewer files than cores; larger sources stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(take_id, blk, idx, text): words in order, already spread by block of a take.
 
     What is shuffled are blocks of words, one row each, so that a long document
     is timed by many tasks.
     """
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         F.col("doc_id").alias("take_id"), F.expr(TOKENS).alias("toks")
     )
     cut = F.expr(
