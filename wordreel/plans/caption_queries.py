@@ -258,7 +258,7 @@ def karaoke_cues(spark, d):
 
 def _ass_sql(heads: str, **local) -> str:
     return sql(f"""
-SELECT e.take_id, 0 AS part, regexp_replace(any_value(h.head) || string_agg('Dialogue: 0,' ||
+SELECT e.take_id, 0::BIGINT AS part, regexp_replace(any_value(h.head) || string_agg('Dialogue: 0,' ||
        {ass('e.start_ms')} || ',' || {ass('e.end_ms')} || ',Caption,,0,0,0,,' || b.body, chr(10)
        ORDER BY e.n) FILTER (e.n // 5000 = 0), 'ẞ|SS|ß', 'SS', 'g') AS body
 FROM event_times e JOIN event_bodies b USING (take_id, n) JOIN heads h ON h.k = e.take_id % 4
@@ -423,7 +423,8 @@ def fcpxml_documents(spark, d):
 
 
 @query("timeline_audit", sql("""
-SELECT DISTINCT take_id, 0 AS gaps, 0 AS empty, 0 AS off_total, 0 AS stray FROM edit_events"""))
+SELECT DISTINCT take_id, 0::BIGINT AS gaps, 0::BIGINT AS empty, 0::BIGINT AS off_total,
+       0::BIGINT AS stray FROM edit_events"""))
 def timeline_audit(spark, d):
     _, cuts, events = events_of(spark, d)
     return L.timeline_audit(events, L.place_markers(events, cuts))

@@ -146,7 +146,7 @@ def group_counts(spark, d):
 
 
 @query("retake_prompts", sql("""
-SELECT take_id, grp, 0 AS part, 'Attempts, in order:' || chr(10) ||
+SELECT take_id, grp, 0::BIGINT AS part, 'Attempts, in order:' || chr(10) ||
        string_agg('[' || cast("at" AS VARCHAR) || '] ' || (start_ms + 50) // 1000 || '.' || (start_ms + 50) // 100 % 10
          || 's-' || (end_ms + 50) // 1000 || '.' || (end_ms + 50) // 100 % 10 || 's: ' || text,
          chr(10) ORDER BY "at") || '""" + R.PROMPT_TAIL.replace("\n", "' || chr(10) || '") + """' AS body
@@ -155,14 +155,14 @@ def retake_prompts(spark, d):
     return R.retake_prompts(R.cap_groups(P.grouped(spark, d)[1]))
 
 
-@query("retake_verdicts", sql("SELECT take_id, grp, keep, 80 AS confidence_pct FROM confirmed"))
+@query("retake_verdicts", sql("SELECT take_id, grp, keep, 80::BIGINT AS confidence_pct FROM confirmed"))
 def retake_verdicts(spark, d):
     return P.judged(P.grouped(spark, d)[1])[1].select(
         "take_id", "grp", "keep", F.col("confidence_pct").cast("bigint"))
 
 
 @query("retake_cuts", sql("""
-SELECT a.take_id, a.start_ms, a.end_ms, 'retake' AS reason, 80 AS confidence_pct,
+SELECT a.take_id, a.start_ms, a.end_ms, 'retake' AS reason, 80::BIGINT AS confidence_pct,
        a.text[:120] AS text, false AS auto
 FROM attempts a JOIN confirmed c USING (take_id, grp) WHERE a.at <> c.keep"""))
 def retake_cuts(spark, d):

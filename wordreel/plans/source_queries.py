@@ -139,7 +139,7 @@ def probe_rows(spark, d):
 @query("media_from_probe", sql("""
 SELECT o_orderkey AS take_id, o_orderkey % 5000 * 1000 + 250 AS duration_ms,
        ([29.97, 25.0, 23.976, 59.94])[o_orderkey % 5 + 1]::DOUBLE AS fps,
-       o_orderkey % 1000 + 2 AS width, 720 AS height, o_orderkey % 4 <> 0 AS has_audio,
+       o_orderkey % 1000 + 2 AS width, 720::BIGINT AS height, o_orderkey % 4 <> 0 AS has_audio,
        CASE WHEN o_orderkey % 4 <> 0 THEN nullif(o_orderkey % 3, 0) END AS channels,
        CASE WHEN o_orderkey % 4 <> 0 THEN 48000 END AS sample_rate
 FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 4"""))
