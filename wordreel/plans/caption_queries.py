@@ -233,7 +233,7 @@ def word_events(spark, d):
     return _same_case(C.word_events(styled(T.words(spark, d)), styles, C.style_markup()))
 
 
-@query("clip_word_events", _event_sql(
+CLIP_EVENTS = dict(
     cue_texts="""
 SELECT take_id, cue, any_value(anim0) AS anim, list(upper(shown) ORDER BY idx) AS ts,
        list(greatest((end_ms - start_ms) // 10, 10) ORDER BY idx) AS cs
@@ -243,7 +243,10 @@ GROUP BY take_id, cue""",
         r"{\c&H0000FFFF\alpha&H00\fscx50\fscy50\t(0,150,\fscx115\fscy115)"
         r"\t(150,250,\fscx100\fscy100)}",
         r"{\c&H0088FF88\alpha&HFF\t(0,200,\alpha&H00)}",
-        r"{\c&H0000FFFF\alpha&H00\fscx115\fscy115}")))
+        r"{\c&H0000FFFF\alpha&H00\fscx115\fscy115}"))
+
+
+@query("clip_word_events", _event_sql(**CLIP_EVENTS))
 def clip_word_events(spark, d):
     styles = styles_of(C.clip_presets(spark))
     return _same_case(C.word_events(styled(T.words(spark, d)), styles, C.clip_markup()))
@@ -306,12 +309,17 @@ def ass_documents(spark, d):
                                       heads))
 
 
-@query("clip_ass_documents")
+@query("clip_ass_documents", _ass_sql(_heads([
+    ("Arial Black", 72, 80, W, "&H0000FFFF", "&H66000000", 4, 3, 320),
+    ("Arial Black", 80, 89, W, "&H0000FFFF", "&H66000000", 5, 3, 320),
+    ("Inter", 56, 62, W, "&H0088FF88", "&H44000000", 2, 1, 300),
+    ("Arial Black", 72, 80, W, "&H000055FF", "&H66000000", 4, 2, 320)]), **CLIP_EVENTS))
 def clip_ass_documents(spark, d):
     styles = styles_of(C.clip_presets(spark))
     shown = settle(styled(T.words(spark, d)), "shown")
     heads = heads_of(shown, styles, C.clip_header())
-    return C.ass_documents(settle(C.word_events(shown, styles, C.clip_markup()), "lines"), heads)
+    return _same_case(C.ass_documents(settle(C.word_events(shown, styles, C.clip_markup()), "lines"),
+                                      heads))
 
 
 # Timelines -------------------------------------------------------------------
