@@ -60,7 +60,10 @@ HAVING NOT bool_or(final)
    AND max(ts) + INTERVAL 1800 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""))
 def stale_stream(spark, d):
     sessions = _drain(spark, "sessions", L.write_append, L.silent_sessions(progress(spark, d)))
-    return L.stale_jobs(sessions).select("job", F.unix_seconds("failed_at").alias("failed_s"), "last_status")
+    # The table's times have no zone; neither has this count of seconds.
+    failed = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00',"
+                    " cast(failed_at AS timestamp_ntz))")
+    return L.stale_jobs(sessions).select("job", failed.alias("failed_s"), "last_status")
 
 
 @query("retention_stream", sql("SELECT id, path FROM gone_paths"))
