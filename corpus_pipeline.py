@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordreel.llm import language, packing, quality
+from wordreel.llm import language, neardup, packing, quality, substrings
 from wordreel.llm.base import held_out, table
 from wordreel.session import settle
 
@@ -32,6 +32,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(*docs.columns))
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one of smallest id."""
+    return neardup.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the 200-byte strings that stand in several places."""
+    return substrings.without_repeats(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the training sequences."""
     return packing.pack(docs)
@@ -40,6 +50,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", keep_known_languages),
     ("quality_classifier", keep_good),
+    ("minhash_near_dedup", keep_one_of_near_copies),
+    ("suffix_array_dedup", cut_repeats),
     ("best_fit_packing", pack_sequences),
 ]
 

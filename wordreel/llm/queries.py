@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordreel.llm import language, packing, quality
+from wordreel.llm import language, neardup, packing, quality, substrings
 from wordreel.llm.base import held_out, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates that every document is in."""
+    return neardup.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "class_size", "kept")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document; learned from the labels not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +33,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, model).drop("text")
 
 
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 200-byte strings that occur twice."""
+    return substrings.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the smallest compressed size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -37,7 +48,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality": op3_quality,
+    "op4_repeated_substrings": op4_repeated_substrings,
     "op10_language": op10_language,
 }
 
