@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordreel.llm import language, neardup, packing, quality, substrings
+from wordreel.llm import bpe, language, lattice, neardup, packing, quality, substrings
 from wordreel.llm.base import held_out, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,17 @@ def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the subword lattice and a unigram baseline."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return lattice.score(docs, held_out("doc_id", 7, 2), group="lang")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the smallest compressed size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -51,6 +62,8 @@ QUERIES: dict[str, Run] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality": op3_quality,
     "op4_repeated_substrings": op4_repeated_substrings,
+    "op8_byte_pairs": op8_byte_pairs,
+    "op9_lattice_scores": op9_lattice_scores,
     "op10_language": op10_language,
 }
 
