@@ -53,11 +53,10 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
                                  F.lit("")) for k, v in pairs])
 
 
-def record_id(page: Column, number: Column | None = None) -> Column:
+def record_id(page: Column, digest: Column, number: Column | None = None) -> Column:
     """A name-based id, so that a task that is run again writes the same."""
-    text = page.cast("string") if number is None else F.concat_ws(
-        "/", page.cast("string"), number.cast("string"))
-    h = F.md5(text)
+    parts = [page.cast("string"), digest] + ([] if number is None else [number.cast("string")])
+    h = F.md5(F.concat_ws("/", *parts))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws(
         "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
         F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
@@ -66,11 +65,10 @@ def record_id(page: Column, number: Column | None = None) -> Column:
 def chunked(payload: Column, size: int = CHUNK) -> Column:
     """The body in chunked transfer framing.
 
-    Chunks have `size` bytes, but one ends inside every first line of a record
-    that the payload contains, which so never stands in the archive.
+    Chunks have `size` bytes, but one ends inside every `WARC/1.1` that the
+    payload contains, which so never stands whole in a block.
     """
-    first, rest = VERSION[:6], VERSION[6:]
-    marked = F.split(payload.cast("string"), f"(?<={first})(?={rest})")     # a plain text pattern
+    marked = F.split(payload.cast("string"), r"(?<=WARC/1)(?=\.1)")
     return F.aggregate(marked, _bytes(""), lambda acc, part: F.concat(acc, _framed(part, size)),
                        lambda acc: F.concat(acc, _bytes("0\r\n\r\n")))
 
@@ -92,12 +90,13 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, segment: int =
     """(value) of every record of (page_id, url, html), without the line ends after it.
 
     A null html is an empty payload, a null url an empty one; line ends in a url
-    are percent-encoded. Pages without an id are archived as null, their id being
-    written as an empty one. Of rows that repeat an id with equal payloads one is
-    the response and none refers to itself by another name.
+    are percent-encoded, and so is the stroke of a `WARC/1.1` in it. Pages without an id are archived as null, their id being
+    written as an empty one. Rows that repeat an id are archived each, and read each; with equal
+    payloads all of them are responses.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"),
-                             "\n", "%0A")
+    clean = F.coalesce("url", F.lit(""))
+    for plain, coded in (("\r", "%0D"), ("\n", "%0A"), ("WARC/1.1", "WARC%2F1.1")):
+        clean = F.replace(clean, F.lit(plain), F.lit(coded))
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), clean.alias("url"),
                         payload.alias("html"), payload_digest(payload).alias("digest"),
@@ -106,8 +105,9 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, segment: int =
     origin = (rows.filter(F.col("n") >= least_revisit).groupBy("digest", "n")
               .agg(F.min("page_id").alias("origin")))
     short = rows.select("page_id", "digest", "n").join(origin, ["digest", "n"], "left")
-    refers = short.filter(F.col("origin") < F.col("page_id")).select("page_id", "origin").distinct()
-    rows = rows.join(refers, "page_id", "left")
+    refers = short.filter(F.col("origin") < F.col("page_id")).select(
+        "page_id", "digest", "origin").distinct()
+    rows = rows.join(refers, ["page_id", "digest"], "left")
 
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                           "Transfer-Encoding: chunked\r\n\r\n"))
@@ -125,17 +125,18 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, segment: int =
     header = F.concat(F.lit(VERSION), _lines(
         ("WARC-Type", F.when(number > 1, F.lit("continuation"))
          .when(F.col("origin").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))),
-        ("WARC-Record-ID", F.when(number > 1, record_id(of_page, number))
-         .otherwise(record_id(of_page))),
+        ("WARC-Record-ID", F.when(number > 1, record_id(of_page, F.col("digest"), number))
+         .otherwise(record_id(of_page, F.col("digest")))),
         ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.col("url")),
         ("X-Page", of_page), ("X-Payload-Length", F.when(number == 1, F.col("n"))),
         ("WARC-Payload-Digest", F.when(number == 1, F.concat(F.lit("sha1:"), "digest"))),
         ("WARC-Refers-To", F.when(F.col("origin").isNotNull(),
-                                  record_id(F.col("origin").cast("string")))),
+                                  record_id(F.col("origin"), F.col("digest")))),
         ("X-Refers-To-Page", F.col("origin")),
         ("WARC-Profile", F.when(F.col("origin").isNotNull(), F.lit(PROFILE))),
         ("WARC-Segment-Number", F.when(several, number)),
-        ("WARC-Segment-Origin-ID", F.when(several & (number > 1), record_id(of_page))),
+        ("WARC-Segment-Origin-ID", F.when(
+            several & (number > 1), record_id(of_page, F.col("digest")))),
         ("WARC-Segment-Total-Length", F.when(
             several & (F.col("at") * segment + F.octet_length("part") == F.col("total")),
             F.col("total"))),
@@ -191,16 +192,19 @@ def reassembled(records: DataFrame) -> DataFrame:
         number.alias("number"), "header", "block", "complete",
         h["warc-segment-total-length"].cast("bigint").alias("total"))
     joined = parts.groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
-        F.max("total").alias("total"), F.min("complete").alias("complete"),
+        F.array_sort(F.array_distinct(F.collect_list(F.struct("number", "block"))))
+        .alias("parts"), F.max("total").alias("total"), F.min("complete").alias("complete"),
         F.max("number").alias("last"), F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("number") == 1, F.col("origin"))).alias("first"))
+        F.count_if(F.col("number") == 1).alias("copies"))
     headers = F.first(F.when(F.col("number") == 1, F.col("header")), ignorenulls=True)
     joined = joined.join(parts.groupBy("origin").agg(headers.alias("header")), "origin")
     block = F.aggregate("parts", _bytes(""), lambda acc, x: F.concat(acc, x["block"]))
-    joined = joined.withColumn("block", block).select(
-        "header", "block", (F.col("complete") & F.col("first").isNotNull()
-                            & (F.col("last") == F.col("n"))
+    # a record that was written several times comes out as often
+    joined = joined.withColumn("block", block).withColumn(
+        "copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    joined = joined.select(
+        "header", "block", (F.col("complete") & (F.size("parts") == F.col("last"))
+                            & (F.col("last") * F.col("copies") == F.col("n"))
                             & F.coalesce(_length(F.col("block")) == F.col("total"), F.lit(False)))
         .alias("complete"))
     return whole.unionByName(joined.filter(F.col("header").isNotNull()))
