@@ -13,6 +13,12 @@ from wordreel.operators import captions as C, timeline as L
 NTSC30, NTSC60 = 30000 / 1001, 60000 / 1001
 
 
+def body(lines, end="\n"):
+    """The document of the only take, every line with its end."""
+    return "".join(r.line + end for r in lines.orderBy("line_no", "sub").collect())
+
+
+# Labels at the places where drop-frame counting skips.
 @pytest.mark.parametrize("fps,frame,label", [
     (NTSC30, 0, "00:00:00;00"), (NTSC30, 1799, "00:00:59;29"), (NTSC30, 1800, "00:01:00;02"),
     (NTSC30, 17981, "00:09:59;29"), (NTSC30, 17982, "00:10:00;00"), (NTSC30, 107892, "01:00:00;00"),
@@ -57,14 +63,13 @@ def test_record_times_are_contiguous(spark, media, fps):
 
 def test_edit_list(spark, media):
     m, events = timeline(spark, media, NTSC30)
-    body = L.edl_documents(events, m).first().body
-    lines = body.split("\r\n")
-    assert lines[1] == "FCM: DROP FRAME" and "\n" not in body.replace("\r\n", "")
+    lines = body(L.edl_lines(events, m), "\r\n").split("\r\n")
+    assert lines[1] == "FCM: DROP FRAME" and not any("\n" in x for x in lines)
     assert lines[3].startswith("001  MYCLIPMO AA/V  C        00:00:00;00 ")
     assert lines[4] == "* FROM CLIP NAME: My Clip.mov"
     m, events = timeline(spark, media, 25.0, "/tmp/--.--")
-    body = L.edl_documents(events, m).first().body
-    assert "NON-DROP FRAME" in body and "SOURCE   AA/V" in body
+    text = body(L.edl_lines(events, m))
+    assert "NON-DROP FRAME" in text and "SOURCE   AA/V" in text
 
 
 def test_timeline_document_is_well_formed_and_markers_lie_in_their_clip(spark, media):
@@ -76,8 +81,7 @@ def test_timeline_document_is_well_formed_and_markers_lie_in_their_clip(spark, m
     placed = L.place_markers(events, cuts)
     assert sorted(r.label for r in placed.collect()) == ["matlab <b>", "repeat"]
     assert [tuple(r)[1:] for r in L.timeline_audit(events, placed).collect()] == [(0, 0, 0, 0)]
-    body = L.fcpxml_documents(events, placed, m).first().body
-    dom = xml.dom.minidom.parseString(body.encode())
+    dom = xml.dom.minidom.parseString(body(L.fcpxml_lines(events, placed, m)).encode())
     assert len(dom.getElementsByTagName("asset-clip")) == events.count()
     assert len(dom.getElementsByTagName("marker")) == 2
     asset = dom.getElementsByTagName("asset")[0]
@@ -85,8 +89,8 @@ def test_timeline_document_is_well_formed_and_markers_lie_in_their_clip(spark, m
     seq = dom.getElementsByTagName("sequence")[0]
     assert (seq.getAttribute("audioLayout"), seq.getAttribute("audioRate")) == ("stereo", "48k")
     unknown = m.withColumn("channels", F.lit(None).cast("int")).withColumn("sample_rate", F.lit(22050))
-    body = L.fcpxml_documents(events, placed, unknown).first().body
-    assert "audioChannels" not in body and "audioRate" not in body and 'hasAudio="1"' in body
+    text = body(L.fcpxml_lines(events, placed, unknown))
+    assert "audioChannels" not in text and "audioRate" not in text and 'hasAudio="1"' in text
 
 
 @pytest.mark.parametrize("path,uri", [
@@ -137,7 +141,8 @@ def test_subtitle_document_header(spark, words):
     rows = C.word_events(shown, style(spark), C.style_markup())
     heads = shown.filter("rn = 0").join(style(spark), "style_id").select(
         "take_id", C.style_header(F.lit(640), F.lit(360)).alias("head"))
-    lines = C.ass_documents(rows, heads).first().body.split("\n")
+    lines = body(C.ass_lines(rows, heads)).split("\n")
+    assert body(C.ass_lines(rows.filter("false"), heads)).endswith("Effect, Text\n")
     assert lines[:5] == ["[Script Info]", "ScriptType: v4.00+", "PlayResX: 640", "PlayResY: 360",
                          "WrapStyle: 1"]
     assert lines[8] == ("Style: Caption,Arial Black,72,&H00FFFFFF,&H000000FF,&H00000000,&H66000000,"
@@ -148,18 +153,24 @@ def test_subtitle_document_header(spark, words):
 
 def test_srt_skips_blanks_and_numbers_cues(spark, words):
     said = [(0, 100, "a"), (100, 200, " "), (200, 300, "b"), (300, 400, ""), (400, 61_500, "c ")]
-    body = C.srt_documents(C.cues(C.display_words(words({1: said})), 2)).first().body
-    assert body == ("1\n00:00:00,000 --> 00:00:00,300\na b\n\n2\n00:00:00,400 --> 00:01:01,500\nc \n")
+    assert body(C.srt_lines(C.cues(C.display_words(words({1: said})), 2))) == ("1\n00:00:00,000 --> 00:00:00,300\na b\n\n2\n00:00:00,400 --> 00:01:01,500\nc \n")
 
 
-def test_long_documents_come_in_parts(spark, words):
+def test_a_long_document_has_the_shape_of_a_short_one(spark, words):
     said = [(i * 10, i * 10 + 9, f"w{i}") for i in range(12_000)]
-    parts = C.srt_documents(C.cues(C.display_words(words({1: said})), 1)).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    whole = "\n".join(p.body for p in parts)
+    lines = C.srt_lines(C.cues(C.display_words(words({1: said})), 1))
+    assert lines.columns == ["take_id", "line_no", "sub", "line"]
+    assert lines.count() == 4 * 12_000 - 1
+    whole = body(lines)
     assert whole.count(" --> ") == 12_000 and whole.endswith("w11999\n")
 
 
+def test_upper_case_of_sharp_s_only_where_asked(spark, words):
+    said = [(0, 400, "Straße")]
+    assert "STRASSE" in events(spark, words, said)[0].body
+    assert "Straße" in events(spark, words, said, preset="subtle")[0].body
+
+
 def test_style_requests(spark):
     asked = spark.createDataFrame([
         (1, '{"preset": "subtle", "font_size": 60, "animation": {"type": "pop"}}'),

@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wordreel.operators import captions as C, clips as K, jobs as J, quality as Q, romanize as Z
+from wordreel.operators import (
+    captions as C, clips as K, jobs as J, quality as Q, romanize as Z, timeline as T)
 from wordreel.sources import logs as G, probe, sinks, transcripts as S
 from wordreel.streaming import progress as L
 
@@ -40,7 +41,17 @@ def test_subtitle_track(spark, tmp_path):
     cues = G.cues_from_vtt(G.read_lines(spark, str(tmp_path)))
     got = [(r.t, r.text) for r in cues.orderBy("line_no").collect()]
     assert got == [("00:00:01", "Hello you"), ("00:00:03", "fine")]
-    assert G.transcript_text(cues).first().body == "[00:00:01] Hello you\n[00:00:03] fine"
+    assert [r.line for r in G.transcript_text(cues).orderBy("line_no").collect()] == [
+        "[00:00:01] Hello you", "[00:00:03] fine"]
+
+
+def test_many_reports_on_one_line_keep_their_order(spark):
+    line = " ".join(f"silence_start: {i} silence_end: {i}.5" for i in range(1_500))
+    lines = spark.createDataFrame([("t", 0, line), ("t", 1, "silence_start: 9000"),
+                                   ("t", 2, "silence_end: 9001")],
+                                  "take_id string, line_no bigint, line string")
+    got = sorted(tuple(r)[1:] for r in G.silences_from_log(lines).collect())
+    assert got == [(i * 1000, i * 1000 + 500) for i in range(1_500)] + [(9_000_000, 9_001_000)]
 
 
 def test_probe(spark):
@@ -75,11 +86,44 @@ def test_replies_of_the_wrong_length_fall_back(spark):
         assert (got[3], got[0], got[99]) == (third, first, "w99")
 
 
-def test_documents_are_written_per_take_and_part(spark, words, tmp_path):
-    cues = C.cues(C.display_words(words({1: [(0, 900, "a"), (900, 950, "b")], 2: [(0, 5, "c")]})), 3)
-    sinks.write_srt(cues, str(tmp_path / "srt"))
-    files = list((tmp_path / "srt" / "take_id=1" / "part=0").glob("*.txt"))
-    assert files[0].read_text().startswith("1\n00:00:00,000 --> 00:00:00,950\na b\n")
+def text_of(folder):
+    """What part files, in the order of their names, hold together."""
+    return b"".join(f.read_bytes() for f in sorted(folder.glob("part-*")))
+
+
+def test_documents_byte_for_byte(spark, words, media, tmp_path):
+    said = {1: [(0, 900, "a"), (900, 950, "b")], 2: [(i * 10, i * 10 + 9, f"w{i}")
+                                                     for i in range(9_000)]}
+    shown = C.display_words(words(said))
+    sinks.write_srt(C.cues(shown, 1), str(tmp_path / "srt"))
+    lines = spark.read.parquet(str(tmp_path / "srt"))
+    sinks.write_text(lines, str(tmp_path / "short"), 1)
+    sinks.write_text(lines, str(tmp_path / "long"), 2)
+    assert text_of(tmp_path / "short") == (
+        b"1\n00:00:00,000 --> 00:00:00,900\na\n\n2\n00:00:00,900 --> 00:00:00,950\nb\n")
+    whole = text_of(tmp_path / "long")
+    assert whole.count(b"\n\n") == 8_999 and whole.endswith(b"\nw8999\n")
+    assert [int(x.split(b"\n")[0]) for x in whole.split(b"\n\n")] == list(range(1, 9_001))
+
+    kept = spark.createDataFrame([(1, 0, 6_050), (1, 8_000, 12_300)],
+                                 "take_id bigint, start_ms bigint, end_ms bigint")
+    one = media({1: 20_100})
+    edits = T.edit_events(kept, one)
+    sinks.write_edl(edits, one, str(tmp_path / "edl"))
+    sinks.write_text(spark.read.parquet(str(tmp_path / "edl")), str(tmp_path / "cut"), 1, "\r\n")
+    cut = text_of(tmp_path / "cut")
+    assert cut.count(b"\n") == cut.count(b"\r\n") == 8 and cut.endswith(b".mp4\r\n")
+    assert b"\r\n\r\n002  " in cut and not cut.endswith(b"\r\n\r\n")
+
+    none = spark.createDataFrame([], "take_id bigint, n bigint, fps double, frame bigint, "
+                                     "label string, ord bigint")
+    sinks.write_fcpxml(edits, none, one, str(tmp_path / "xml"))
+    sinks.write_text(spark.read.parquet(str(tmp_path / "xml")), str(tmp_path / "line"), 1)
+    assert text_of(tmp_path / "line").startswith(b"<?xml ") and text_of(
+        tmp_path / "line").endswith(b"</fcpxml>\n")
+
+
+def test_clip_rows_are_appended(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2, "f.mp4", "d" * 600, "u", 1.234, 2.345, "", 0, "t")],
                                  "user_id bigint, job_id bigint, filename string, description string, "
                                  "source_url string, start_time double, end_time double, hook string, "
@@ -140,21 +184,37 @@ EVENTS = [
     (7, 2, at(50), "completed"), (8, 3, at(300), "queued"), (2, 1, at(10), "rendering")]
 
 
-def replay(spark, tmp_path, rows, start, build):
-    for i, part in enumerate((rows[:5], rows[5:])):
+def replay(spark, tmp_path, parts, fold, merge):
+    """Drain the stream once after every part of the events."""
+    for part in parts:
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(
             str(tmp_path / "in"))
         stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-        start(build(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        L.write_folded(stream, fold, merge, str(tmp_path / "out"),
+                       str(tmp_path / "state")).awaitTermination()
+    return L.folded(spark, str(tmp_path / "out"))
+
 
+ORDERS = {"in order": (EVENTS[:5], EVENTS[5:]), "late": (EVENTS[7:], EVENTS[3:7], EVENTS[:3]),
+          "one by one": [[e] for e in reversed(EVENTS)]}
 
-def test_final_states_stand_over_restarts(spark, tmp_path):
-    replay(spark, tmp_path, EVENTS, L.write_updates, L.latest_status)
-    got = {r.job: r.status for r in L.current(spark, str(tmp_path / "out")).collect()}
-    assert got == {1: "completed", 2: "completed", 3: "queued"}
 
+@pytest.mark.parametrize("order", ORDERS)
+def test_final_states_stand_whatever_the_order(spark, tmp_path, order):
+    got = L.latest_status(replay(spark, tmp_path, ORDERS[order], L.fold_status, L.merge_status))
+    assert {r.job: r.status for r in got.collect()} == {1: "completed", 2: "completed", 3: "queued"}
+    assert len(list((tmp_path / "out").iterdir())) <= 2
 
-def test_silent_jobs_fail_once(spark, tmp_path):
-    replay(spark, tmp_path, EVENTS, L.write_append, L.silent_sessions)
-    got = L.stale_jobs(spark.read.parquet(str(tmp_path / "out"))).collect()
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_silent_jobs_fail_once(spark, tmp_path, order):
+    rows = replay(spark, tmp_path, ORDERS[order], L.fold_stretches, L.merge_stretches)
+    got = L.stale_jobs(rows).collect()
     assert [(r.job, r.failed_at, r.last_status) for r in got] == [(2, at(35), "rendering")]
+
+
+def test_an_event_that_comes_late_joins_two_stretches(spark, tmp_path):
+    parts = [[(1, 1, at(0), "queued"), (2, 1, at(45), "rendering")],
+             [(3, 1, at(25), "rendering"), (4, 2, at(500), "queued")]]
+    rows = replay(spark, tmp_path, parts, L.fold_stretches, L.merge_stretches)
+    assert [(r.job, r.failed_at) for r in L.stale_jobs(rows).collect()] == [(1, at(75))]

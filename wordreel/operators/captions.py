@@ -11,7 +11,6 @@ from wordreel.functions.text import first_text, strip
 from wordreel.functions.timefmt import ass_time, srt_time
 from wordreel.operators.scan import join_takes, position_block, running
 
-LINES_PER_PART = 5000   # cues or events per part of one document
 FULL = "&H00"
 
 
@@ -33,7 +32,7 @@ def resolve_styles(requests: DataFrame, preset_rows: DataFrame) -> tuple[DataFra
     said = said.withColumn("given", F.when(F.col("given._corrupt_record").isNull(), F.col("given")))
     said = said.withColumn("wanted", F.coalesce("given.preset", F.lit("default")))
     base = preset_rows.select(F.col("preset").alias("wanted"), F.struct("*").alias("base"))
-    joined = said.join(F.broadcast(base), "wanted", "left")
+    joined = said.join(base, "wanted", "left")
     kind, low, high, ms = fixed.ANIMATION_DEFAULTS
     own = F.struct(F.coalesce("given.animation.type", F.lit(kind)).alias("type"),
                    F.coalesce("given.animation.scale_start", F.lit(low)).alias("scale_start"),
@@ -97,32 +96,29 @@ def chunks(display: DataFrame, n: int | Column, *carry: str) -> DataFrame:
         F.array_sort(F.collect_list(word)).alias("said"))
 
 
-def srt_entry() -> Column:
-    return F.concat(
-        (F.col("cue") + 1).cast("string"), F.lit("\n"), srt_time(F.col("start_ms")), F.lit(" --> "),
-        srt_time(F.col("end_ms")), F.lit("\n"), F.col("text"), F.lit("\n"))
+def text_lines(rows: DataFrame, line_no: Column, lines: Column) -> DataFrame:
+    """(take_id, line_no, sub, line): documents as lines, whatever their length.
 
+    `lines` is the array of lines that a row adds; `line_no` orders the rows of a
+    take. In the order of (line_no, sub), each with its line end, the lines are
+    the document.
+    """
+    return rows.select("take_id", line_no.cast("bigint").alias("line_no"),
+                       F.posexplode(lines).alias("sub", "line")).withColumn(
+        "sub", F.col("sub").cast("bigint"))
 
-def documents(lines: DataFrame, order: str, line: Column, joint: str = "\n",
-              per_part: int = LINES_PER_PART, head: Column | None = None,
-              extra: tuple[str, ...] = ()) -> DataFrame:
-    """(take_id, part, body): text documents, one part each unless very long.
 
-    Parts put one after the other, joined by `joint`, are the document; `order`
-    counts from 0 so the parts of one take are many tasks' work.
-    """
-    numbered = lines.withColumn("part", F.floor(F.col(order) / per_part).cast("bigint"))
-    one = F.struct(F.col(order).alias("at"), line.alias("line"))
-    out = numbered.groupBy("take_id", "part", *extra).agg(
-        F.array_sort(F.collect_list(one)).alias("lines"))
-    body = F.array_join(F.col("lines.line"), joint)
-    if head is not None:
-        body = F.concat(F.when(F.col("part") == 0, head).otherwise(F.lit("")), body)
-    return out.select("take_id", "part", body.alias("body"))
+def split_lines(text: Column) -> Column:
+    """Lines of a text that ends with a line end or without one."""
+    return F.split(F.regexp_replace(text, "\n$", ""), "\n")
 
 
-def srt_documents(cue_rows: DataFrame) -> DataFrame:
-    return documents(cue_rows, "cue", srt_entry())
+def srt_lines(cue_rows: DataFrame) -> DataFrame:
+    """Subtitle documents: number, time, text, and an empty line between two cues."""
+    gap = F.when(F.col("cue") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    head = F.array((F.col("cue") + 1).cast("string"), F.concat(
+        srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms"))))
+    return text_lines(cue_rows, F.col("cue"), F.concat(gap, head, F.split("text", "\n")))
 
 
 # Word-by-word events ---------------------------------------------------------
@@ -283,13 +279,10 @@ def clip_header() -> Column:
                       F.col("style.outline_color"), F.col("style.shadow_color"), F.lit(2), big)
 
 
-def ass_documents(events: DataFrame, heads: DataFrame) -> DataFrame:
-    """(take_id, part, body); `heads` has (take_id, head) and takes without events keep theirs."""
-    parts = documents(events, "n", event_line())
-    first = heads.join(parts.filter("part = 0"), "take_id", "left").select(
-        "take_id", F.lit(0).cast("bigint").alias("part"),
-        F.concat("head", F.coalesce("body", F.lit(""))).alias("body"))
-    return first.unionByName(parts.filter("part > 0"))
+def ass_lines(events: DataFrame, heads: DataFrame) -> DataFrame:
+    """Styled subtitle documents; `heads` has (take_id, head), also for takes without events."""
+    first = text_lines(heads, F.lit(0), split_lines(F.col("head")))
+    return first.unionByName(text_lines(events, F.col("n") + 1, F.array(event_line())))
 
 
 def clip_presets(spark: SparkSession) -> DataFrame:

@@ -34,9 +34,10 @@ def cue_rows(spark, d):
     return C.cues(shown, F.col("words_per_line"))
 
 
-def heads_of(shown, styles, head):
-    return join_takes(shown.filter("rn = 0"), styles, "take_id", on="style_id").select(
-        "take_id", head.alias("head"))
+def heads_of(spark, d, styles, head):
+    """The head of every take's document, also where nothing can be shown."""
+    takes = T.media(spark, d).select("take_id", (F.col("take_id") % 4).alias("style_id"))
+    return join_takes(takes, styles, "take_id", on="style_id").select("take_id", head.alias("head"))
 
 
 def style_requests(spark, d):
@@ -159,23 +160,26 @@ def cues(spark, d):
     return cue_rows(spark, d)
 
 
-@query("srt_documents", sql(f"""
-SELECT take_id, cue // 5000 AS part, string_agg((cue + 1) || chr(10) || {srt('start_ms')} || ' --> '
-       || {srt('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS body
-FROM cue_rows GROUP BY take_id, cue // 5000"""))
+def _srt_sql(rows: str) -> str:
+    return f"""
+SELECT take_id, cue AS line_no, unnest(range(len(ls))) AS sub, unnest(ls) AS line
+FROM (SELECT take_id, cue, CASE WHEN cue > 0 THEN [''] ELSE [] END || [cast(cue + 1 AS VARCHAR),
+        {srt('start_ms')} || ' --> ' || {srt('end_ms')}] || string_split(text, chr(10)) AS ls
+      FROM {rows})"""
+
+
+@query("srt_documents", sql(_srt_sql("cue_rows")))
 def srt_documents(spark, d):
-    return C.srt_documents(cue_rows(spark, d))
+    return C.srt_lines(cue_rows(spark, d))
 
 
-@query("tightened_srt", sql(f"""
-SELECT take_id, cue // 5000 AS part, string_agg((cue + 1) || chr(10) || {srt('start_ms')} || ' --> '
-       || {srt('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS body
-FROM (SELECT take_id, rn // 3 AS cue, arg_min(start_ms, rn) AS start_ms,
-             arg_max(end_ms, rn) AS end_ms, string_agg(text, ' ' ORDER BY rn) AS text
-      FROM (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY idx) - 1 AS rn
-            FROM retimed) GROUP BY take_id, rn // 3) GROUP BY take_id, cue // 5000"""))
+@query("tightened_srt", sql(_srt_sql("""
+(SELECT take_id, rn // 3 AS cue, arg_min(start_ms, rn) AS start_ms,
+        arg_max(end_ms, rn) AS end_ms, string_agg(text, ' ' ORDER BY rn) AS text
+ FROM (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY idx) - 1 AS rn
+       FROM retimed) GROUP BY take_id, rn // 3)""")))
 def tightened_srt(spark, d):
-    return C.srt_documents(C.cues(C.display_words(settle(P.retimed(spark, d), "retimed")), 3))
+    return C.srt_lines(C.cues(C.display_words(settle(P.retimed(spark, d), "retimed")), 3))
 
 
 part("event_times", """
@@ -189,7 +193,8 @@ FROM styled_words WHERE anim0 = 'karaoke' GROUP BY take_id, cue""")
 WHITE = r"'{\c&H00FFFFFF\alpha&H00\fscx100\fscy100}'"
 part("cue_texts", """
 SELECT take_id, cue, any_value(anim0) AS anim,
-       list(CASE WHEN anim0 = 'fade' THEN shown ELSE upper(shown) END ORDER BY idx) AS ts,
+       list(CASE WHEN anim0 = 'fade' THEN shown ELSE replace(upper(shown), 'ẞ', 'SS') END
+            ORDER BY idx) AS ts,
        list(greatest((end_ms - start_ms) // 10, 10) ORDER BY idx) AS cs
 FROM (SELECT *, replace(replace(text, '{', ''), '}', '') AS shown FROM styled_words)
 GROUP BY take_id, cue""")
@@ -214,28 +219,19 @@ EVENT_SQL = """SELECT e.take_id, e.n, e.start_ms, e.end_ms, b.body
 FROM event_times e JOIN event_bodies b USING (take_id, n)"""
 
 
-# Upper case of the sharp s is not the same in all engines, so texts are compared without it.
-def _same_case(df):
-    return df.withColumn("body", F.regexp_replace("body", "ẞ|SS|ß", "SS"))
-
-
-def _event_sql(**local):
-    return sql(EVENT_SQL.replace("b.body", "regexp_replace(b.body, 'ẞ|SS|ß', 'SS', 'g') AS body"),
-               **local)
-
-
-@query("word_events", _event_sql(event_bodies=_bodies(
+@query("word_events", sql(EVENT_SQL, event_bodies=_bodies(
     r"{\c&H0000FFFF\alpha&H00\fscx50\fscy50\t(0,90,\fscx115\fscy115)\t(90,150,\fscx100\fscy100)}",
     r"{\c&H0088FF88\alpha&HFF\t(0,200,\alpha&H00)}",
     r"{\c&H0000FFFF\alpha&H00\fscx112\fscy112}")))
 def word_events(spark, d):
     styles = styles_of(C.presets(spark))
-    return _same_case(C.word_events(styled(T.words(spark, d)), styles, C.style_markup()))
+    return C.word_events(styled(T.words(spark, d)), styles, C.style_markup())
 
 
 CLIP_EVENTS = dict(
     cue_texts="""
-SELECT take_id, cue, any_value(anim0) AS anim, list(upper(shown) ORDER BY idx) AS ts,
+SELECT take_id, cue, any_value(anim0) AS anim,
+       list(replace(upper(shown), 'ẞ', 'SS') ORDER BY idx) AS ts,
        list(greatest((end_ms - start_ms) // 10, 10) ORDER BY idx) AS cs
 FROM (SELECT *, replace(replace(text, '{', ''), '}', '') AS shown FROM styled_words)
 GROUP BY take_id, cue""",
@@ -246,10 +242,10 @@ GROUP BY take_id, cue""",
         r"{\c&H0000FFFF\alpha&H00\fscx115\fscy115}"))
 
 
-@query("clip_word_events", _event_sql(**CLIP_EVENTS))
+@query("clip_word_events", sql(EVENT_SQL, **CLIP_EVENTS))
 def clip_word_events(spark, d):
     styles = styles_of(C.clip_presets(spark))
-    return _same_case(C.word_events(styled(T.words(spark, d)), styles, C.clip_markup()))
+    return C.word_events(styled(T.words(spark, d)), styles, C.clip_markup())
 
 
 @query("karaoke_cues", sql("""
@@ -261,17 +257,13 @@ def karaoke_cues(spark, d):
 
 def _ass_sql(heads: str, **local) -> str:
     return sql(f"""
-SELECT e.take_id, 0::BIGINT AS part, regexp_replace(any_value(h.head) || string_agg('Dialogue: 0,' ||
-       {ass('e.start_ms')} || ',' || {ass('e.end_ms')} || ',Caption,,0,0,0,,' || b.body, chr(10)
-       ORDER BY e.n) FILTER (e.n // 5000 = 0), 'ẞ|SS|ß', 'SS', 'g') AS body
-FROM event_times e JOIN event_bodies b USING (take_id, n) JOIN heads h ON h.k = e.take_id % 4
-WHERE e.n < 5000 GROUP BY e.take_id
+SELECT take_id, 0::BIGINT AS line_no, unnest(range(len(ls))) AS sub, unnest(ls) AS line
+FROM (SELECT m.take_id, string_split(regexp_replace(h.head, chr(10) || '$', ''), chr(10)) AS ls
+      FROM media m JOIN heads h ON h.k = m.take_id % 4)
 UNION ALL
-SELECT e.take_id, e.n // 5000, regexp_replace(string_agg('Dialogue: 0,' ||
-       {ass('e.start_ms')} || ',' || {ass('e.end_ms')} || ',Caption,,0,0,0,,' || b.body, chr(10)
-       ORDER BY e.n), 'ẞ|SS|ß', 'SS', 'g')
-FROM event_times e JOIN event_bodies b USING (take_id, n)
-WHERE e.n >= 5000 GROUP BY e.take_id, e.n // 5000""", heads=heads, **local)
+SELECT e.take_id, e.n + 1, 0, 'Dialogue: 0,' || {ass('e.start_ms')} || ',' || {ass('e.end_ms')} ||
+       ',Caption,,0,0,0,,' || b.body
+FROM event_times e JOIN event_bodies b USING (take_id, n)""", heads=heads, **local)
 
 
 def _heads(rows) -> str:
@@ -303,10 +295,8 @@ STYLE_BODIES = _bodies(
     ("Arial Black", 72, 80, W, "&H000055FF", "&H66000000", 4, 2, 320)]), event_bodies=STYLE_BODIES))
 def ass_documents(spark, d):
     styles = styles_of(C.presets(spark))
-    shown = settle(styled(T.words(spark, d)), "shown")
-    heads = heads_of(shown, styles, C.style_header(F.lit(1080), F.lit(1920)))
-    return _same_case(C.ass_documents(settle(C.word_events(shown, styles, C.style_markup()), "lines"),
-                                      heads))
+    events = C.word_events(styled(T.words(spark, d)), styles, C.style_markup())
+    return C.ass_lines(events, heads_of(spark, d, styles, C.style_header(F.lit(1080), F.lit(1920))))
 
 
 @query("clip_ass_documents", _ass_sql(_heads([
@@ -316,10 +306,8 @@ def ass_documents(spark, d):
     ("Arial Black", 72, 80, W, "&H000055FF", "&H66000000", 4, 2, 320)]), **CLIP_EVENTS))
 def clip_ass_documents(spark, d):
     styles = styles_of(C.clip_presets(spark))
-    shown = settle(styled(T.words(spark, d)), "shown")
-    heads = heads_of(shown, styles, C.clip_header())
-    return _same_case(C.ass_documents(settle(C.word_events(shown, styles, C.clip_markup()), "lines"),
-                                      heads))
+    events = C.word_events(styled(T.words(spark, d)), styles, C.clip_markup())
+    return C.ass_lines(events, heads_of(spark, d, styles, C.clip_header()))
 
 
 # Timelines -------------------------------------------------------------------
@@ -395,27 +383,31 @@ def rational_times(spark, d):
 
 
 @query("edl_documents", sql(f"""
-SELECT take_id, n // 5000 AS part, CASE WHEN n // 5000 = 0 THEN 'TITLE: TIGHTENED' || crlf || 'FCM: ' ||
-         CASE WHEN any_value(dropped) THEN 'DROP FRAME' ELSE 'NON-DROP FRAME' END || crlf || crlf
-         ELSE '' END ||
-       string_agg(lpad(cast(n + 1 AS VARCHAR), cast(greatest(3, length(cast(n + 1 AS VARCHAR))) AS INTEGER), '0')
+SELECT take_id, n AS line_no, unnest(range(len(ls))) AS sub, unnest(ls) AS line FROM (
+  SELECT take_id, n, CASE WHEN n = 0 THEN ['TITLE: TIGHTENED', 'FCM: ' ||
+           CASE WHEN dropped THEN 'DROP FRAME' ELSE 'NON-DROP FRAME' END, ''] ELSE [''] END || [
+         lpad(cast(n + 1 AS VARCHAR), cast(greatest(3, length(cast(n + 1 AS VARCHAR))) AS INTEGER), '0')
          || '  ' || rpad(upper(regexp_replace('take' || take_id || 'mp4', '[^a-z0-9]', '', 'g'))[:8],
                          8, ' ')
          || ' AA/V  C        ' || {timecode('src_in')} || ' ' || {timecode('src_out')} || ' ' ||
-         {timecode('rec_in')} || ' ' || {timecode('rec_out')} || crlf ||
-         '* FROM CLIP NAME: take & ' || take_id || '.mp4' || crlf, chr(13) || chr(10) ORDER BY n) AS body
-FROM (SELECT *, chr(13) || chr(10) AS crlf FROM edit_events) GROUP BY take_id, n // 5000, crlf"""))
+         {timecode('rec_in')} || ' ' || {timecode('rec_out')},
+         '* FROM CLIP NAME: take & ' || take_id || '.mp4'] AS ls
+  FROM edit_events)"""))
 def edl_documents(spark, d):
     media, _, events = events_of(spark, d)
-    return L.edl_documents(events, media)
+    return L.edl_lines(events, media)
 
 
+part("hints", """--materialized
+SELECT take_id, cast(round_even(start_ms / 1000::DOUBLE * rate, 0) AS BIGINT) AS frame,
+       coalesce(nullif(text, ''), reason) AS label, start_ms * 2 + 1 AS ord
+FROM cuts JOIN media_rates USING (take_id) WHERE NOT auto""")
+part("events_once", """--materialized
+SELECT take_id, n, src_in, src_out FROM edit_events""")
 part("markers", """
-SELECT e.take_id, e.n, c.frame, c.label, c.ord FROM (
-  SELECT take_id, cast(round_even(start_ms / 1000::DOUBLE * rate, 0) AS BIGINT) AS frame,
-         coalesce(nullif(text, ''), reason) AS label, start_ms * 2 + 1 AS ord
-  FROM cuts JOIN media_rates USING (take_id) WHERE NOT auto) c
-JOIN edit_events e ON e.take_id = c.take_id AND e.src_in <= c.frame AND c.frame < e.src_out""")
+SELECT e.take_id, e.n, c.frame, c.label, c.ord
+FROM hints c JOIN events_once e ON e.take_id = c.take_id AND e.src_in <= c.frame
+     AND c.frame < e.src_out""")
 
 
 @query("placed_markers", sql("SELECT take_id, n, frame, label, ord FROM markers"))
@@ -424,10 +416,68 @@ def placed_markers(spark, d):
     return L.place_markers(events, cuts).drop("fps")
 
 
-@query("fcpxml_documents")
+def rational(frame: str) -> str:
+    return (f"CASE WHEN {frame} = 0 THEN '0s' WHEN ntsc THEN {frame} * 1001 || '/' || base * 1000 "
+            f"|| 's' ELSE {frame} || '/' || base || 's' END")
+
+
+def escaped(x: str) -> str:
+    for raw, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{raw}', '{code}')"
+    return x
+
+
+ONE_FRAME = "CASE WHEN ntsc THEN 1001 || '/' || base * 1000 || 's' ELSE 1 || '/' || base || 's' END"
+part("shown_events", """--materialized
+SELECT take_id, n, src_in, src_out, rec_in, rec_out, ntsc, base, dropped FROM edit_events""")
+part("placed_once", """--materialized
+SELECT take_id, n, frame, label, ord FROM markers""")
+part("whole_takes", """
+SELECT m.*, t.total, t.last, cast(round_even(duration_ms / 1000::DOUBLE * rate, 0) AS BIGINT) AS frames
+FROM media_rates m JOIN (SELECT take_id, max(rec_out) AS total, max(n) AS last FROM shown_events
+                         GROUP BY take_id) t USING (take_id)""")
+FCPXML_SQL = f"""
+SELECT take_id, 0::BIGINT AS line_no, unnest(range(len(ls))) AS sub, unnest(ls) AS line FROM (
+  SELECT take_id, ['<?xml version="1.0" encoding="UTF-8"?>', '<!DOCTYPE fcpxml>',
+    '<fcpxml version="1.10">', '  <resources>',
+    '    <format id="r1" name="TakeFormat" frameDuration="' || {ONE_FRAME} ||
+      '" width="1080" height="1920"/>',
+    '    <asset id="r2" name="take &amp; ' || take_id || '.mp4" start="0s" duration="' ||
+      {rational('frames')} || '" format="r1" hasVideo="1" hasAudio="' ||
+      CASE WHEN has_audio THEN '1' ELSE '0' END || '"' || CASE WHEN has_audio AND channels > 0
+      THEN ' audioSources="1" audioChannels="' || channels || '"' ELSE '' END || '>',
+    '      <media-rep kind="original-media" src="file:///media/take%20%26%20' || take_id || '.mp4"/>',
+    '    </asset>', '  </resources>', '  <library>', '    <event name="Takes">',
+    '      <project name="take &amp; ' || take_id || '">',
+    '        <sequence format="r1" duration="' || {rational('total')} || '" tcStart="0s" tcFormat="' ||
+      CASE WHEN dropped THEN 'DF' ELSE 'NDF' END || '"' ||
+      CASE WHEN has_audio AND channels = 1 THEN ' audioLayout="mono"'
+           WHEN has_audio AND channels = 2 THEN ' audioLayout="stereo"' ELSE '' END ||
+      CASE WHEN has_audio AND sample_rate = 44100 THEN ' audioRate="44.1k"'
+           WHEN has_audio AND sample_rate = 48000 THEN ' audioRate="48k"' ELSE '' END || '>',
+    '          <spine>'] AS ls FROM whole_takes)
+UNION ALL
+SELECT take_id, n + 1, 0, '            <asset-clip ref="r2" name="take &amp; ' || take_id ||
+  '.mp4" offset="' || {rational('rec_in')} || '" start="' || {rational('src_in')} || '" duration="' ||
+  {rational('(src_out - src_in)')} || '" format="r1" tcFormat="' ||
+  CASE WHEN dropped THEN 'DF' ELSE 'NDF' END ||
+  CASE WHEN (take_id, n) IN (SELECT (take_id, n) FROM placed_once) THEN '">' ELSE '"/>' END
+FROM shown_events
+UNION ALL
+SELECT p.take_id, p.n + 1, p.ord + 1, '              <marker start="' || {rational('p.frame')} ||
+  '" duration="' || {ONE_FRAME} || '" value="' || {escaped('p.label')} || '"/>'
+FROM placed_once p JOIN shown_events e USING (take_id, n)
+UNION ALL
+SELECT DISTINCT take_id, n + 1, {L.LAST}, '            </asset-clip>' FROM placed_once
+UNION ALL
+SELECT take_id, last + 2, unnest(range(6)), unnest(['          </spine>', '        </sequence>',
+  '      </project>', '    </event>', '  </library>', '</fcpxml>']) FROM whole_takes"""
+
+
+@query("fcpxml_documents", sql(FCPXML_SQL))
 def fcpxml_documents(spark, d):
     media, cuts, events = events_of(spark, d)
-    return L.fcpxml_documents(events, L.place_markers(events, cuts), media)
+    return L.fcpxml_lines(events, L.place_markers(events, cuts), media)
 
 
 @query("timeline_audit", sql("""

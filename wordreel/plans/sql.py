@@ -28,7 +28,8 @@ def sql(final: str, **local: str) -> str:
     if not order:
         return final.strip()
     recursive = "RECURSIVE " if any("--recursive" in known[n] for n in order) else ""
-    return (f"WITH {recursive}" + ",\n".join(f"{n} AS (\n{known[n]}\n)" for n in order)
+    once = lambda n: " MATERIALIZED" if "--materialized" in known[n] else ""
+    return (f"WITH {recursive}" + ",\n".join(f"{n} AS{once(n)} (\n{known[n]}\n)" for n in order)
             + "\n" + final.strip())
 
 

@@ -18,18 +18,20 @@ STATUS = """CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'trans
 
 
 def progress(spark, d):
-    """The event table as a stream of job progress."""
-    schema = T.table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
-    return rows.select("event_id", F.col("user_id").alias("job"),
-                       F.col("ts").cast("timestamp").alias("ts"), F.expr(STATUS).alias("status"))
+    """The event table as a stream of job progress, dealt out of order over several files."""
+    rows = T.table(spark, d, "events").select(
+        "event_id", F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"),
+        F.expr(STATUS).alias("status"))
+    folder = L.run_folder(spark, "progress")
+    rows.repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _drain(spark, name, start, rows, read=None):
+def _drain(spark, name, start, read):
     folder = L.run_folder(spark, name)
     out = os.path.join(folder, "out")
-    start(rows, out, os.path.join(folder, "state")).awaitTermination()
-    return (read or (lambda s, p: s.read.parquet(p)))(spark, out)
+    start(out, os.path.join(folder, "state")).awaitTermination()
+    return read(spark, out)
 
 
 part("progress", f"""
@@ -42,8 +44,9 @@ SELECT job, coalesce(min_by(status, ts) FILTER (final), max_by(status, ts)) AS s
        coalesce(min_by(event_id, ts) FILTER (final), max_by(event_id, ts)) AS event_id
 FROM progress GROUP BY job"""))
 def latest_status(spark, d):
-    return _drain(spark, "latest", L.write_updates, L.latest_status(progress(spark, d)),
-                  L.current).select("job", "status", "event_id")
+    states = _drain(spark, "latest", lambda out, state: L.write_folded(
+        progress(spark, d), L.fold_status, L.merge_status, out, state), L.folded)
+    return L.latest_status(states).select("job", "status", "event_id")
 
 
 part("stretches", """
@@ -59,11 +62,12 @@ FROM stretches WHERE stretch = 1 GROUP BY job
 HAVING NOT bool_or(final)
    AND max(ts) + INTERVAL 1800 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""))
 def stale_stream(spark, d):
-    sessions = _drain(spark, "sessions", L.write_append, L.silent_sessions(progress(spark, d)))
+    stretches = _drain(spark, "stretches", lambda out, state: L.write_folded(
+        progress(spark, d), L.fold_stretches, L.merge_stretches, out, state), L.folded)
     # The table's times have no zone; neither has this count of seconds.
     failed = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00',"
                     " cast(failed_at AS timestamp_ntz))")
-    return L.stale_jobs(sessions).select("job", failed.alias("failed_s"), "last_status")
+    return L.stale_jobs(stretches).select("job", failed.alias("failed_s"), "last_status")
 
 
 @query("retention_stream", sql("SELECT id, path FROM gone_paths"))
@@ -71,7 +75,6 @@ def retention_stream(spark, d):
     def clean():
         return J.object_paths_of(J.expired_jobs(good_jobs(spark, d), F.lit(NOW))).select("id", "path")
 
-    def start(rows, out, state):
-        return L.retention_stream(rows, clean, out, state, every=None)
-
-    return _drain(spark, "retention", start, progress(spark, d)).select("id", "path").distinct()
+    return _drain(spark, "retention", lambda out, state: L.retention_stream(
+        progress(spark, d), clean, out, state, every=None),
+        lambda s, p: s.read.parquet(p)).select("id", "path").distinct()

@@ -19,6 +19,7 @@ def local_session(cores: str = "8", memory: str = "16g", app: str = "wordreel")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wordreel-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,17 +29,20 @@ def local_session(cores: str = "8", memory: str = "16g", app: str = "wordreel")
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local session may fall back to a fresh temporary folder: on a
-    cluster a machine-local path would be lost with its executor.
+    On a cluster that is spark.checkpoint.dir. A local session that names none
+    keeps its stages beside its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="wordreel-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """Where this application's stages lie."""
+    return os.path.join(shared_dir(spark), "wordreel", spark.sparkContext.applicationId)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +50,31 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     Used where two branches of a plan need the same computed rows. Parquet
     keeps column pruning for the second reader, and a lost executor costs a
-    re-read instead of the whole lineage.
+    re-read instead of the whole lineage. The results of a run read these
+    tables, so they stay until `drop_stages`.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "wordreel", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(stage_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store; none if it is not there."""
+    at, store = _store(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, store = _store(spark, path)
+    store.delete(at, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all stages of this application, once its results are written."""
+    remove(spark, stage_dir(spark))

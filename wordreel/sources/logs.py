@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordreel.functions.text import strip
-from wordreel.operators.scan import numbered, position_block, running
+from wordreel.operators.scan import position_block, running
 
 # What marks the lines.
 SILENCE_START = r"silence_start: (-?[\d.]+)"
@@ -31,8 +31,9 @@ def silences_from_log(lines: DataFrame) -> DataFrame:
         found = lines.withColumn("said", F.regexp_extract_all("line", F.lit(pattern)))
         one = found.select("take_id", "line_no", F.posexplode("said").alias("at", "value"))
         # Several reports on one line keep their order.
-        placed = one.withColumn("pos", F.col("line_no") * 1024 + F.col("at"))
-        return numbered(placed, ["take_id"], "pos", "n").select(
+        placed = one.withColumn("blk_", position_block("line_no"))
+        return running(placed, ["take_id"], "blk_", ["line_no", "at"],
+                       sums={"n": F.lit(1)}).select(
             "take_id", "n", F.round(F.col("value").cast("double") * 1000).cast("bigint").alias(name))
 
     return events(SILENCE_START, "start_ms").join(
@@ -61,11 +62,11 @@ def cues_from_vtt(lines: DataFrame) -> DataFrame:
 
 
 def transcript_text(cues: DataFrame) -> DataFrame:
-    """(take_id, part, body): `[time] text` lines, in parts when there are many."""
-    from wordreel.operators.captions import documents
+    """(take_id, line_no, sub, line): `[time] text` lines in the order of the track."""
+    from wordreel.operators.captions import text_lines
 
-    lines = numbered(cues, ["take_id"], "line_no", "n")
-    return documents(lines, "n", F.concat(F.lit("["), F.col("t"), F.lit("] "), F.col("text")))
+    return text_lines(cues, F.col("line_no"), F.array(
+        F.concat(F.lit("["), F.col("t"), F.lit("] "), F.col("text"))))
 
 
 def pick_tracks(files: DataFrame) -> DataFrame:

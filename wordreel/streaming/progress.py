@@ -1,90 +1,131 @@
-"""Job progress as a stream: latest state, silence timeout, retention cadence."""
+"""Job progress as a stream: latest state, silence timeout, retention cadence.
+
+Nothing is held back or dropped for being late. Each batch is folded into a
+compact table by minima and maxima, which do not depend on the order or on the
+number of times an event arrives; a batch that is run again changes nothing.
+"""
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wordreel import fixed
-from wordreel.session import shared_dir
+from wordreel.session import children, remove, stage_dir
+
+Fold = Callable[[DataFrame], DataFrame]
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), "wordreel", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(stage_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def latest_status(progress: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """(job, status, at, event_id) per job from (event_id, job, ts, status), update mode.
+def _said() -> Column:
+    return F.struct("ts", "event_id", "status")
 
-    The first final status stands; until then the newest one counts. An event
-    delivered twice is counted once. Updates of one job are folded per task
-    before they are shuffled, so a very busy job is no bottleneck.
-    """
-    once = progress.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    final = F.col("status").isin(*fixed.FINAL_STATUSES)
-    seen = F.struct("ts", "event_id", "status")
-    folded = once.groupBy("job").agg(F.min(F.when(final, seen)).alias("done"),
-                                     F.max(F.when(~final, seen)).alias("open"))
-    state = F.coalesce("done", "open")
-    return folded.select("job", state["status"].alias("status"), state["ts"].alias("at"),
-                         state["event_id"].alias("event_id"))
+
+def _final() -> Column:
+    return F.col("status").isin(*fixed.FINAL_STATUSES)
 
 
-def write_updates(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append every change of state with its batch; `current` reads the newest per job.
+# Folded tables -----------------------------------------------------------------
 
-    A batch that is run again writes the same folder again, so a restart adds nothing.
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.partition("=")[2]) for n in children(spark, path)
+                  if n.startswith("version="))
+
+
+def write_folded(events: DataFrame, fold: Fold, merge: Fold, path: str,
+                 checkpoint: str) -> StreamingQuery:
+    """Keep `merge` of all batches' `fold` as the newest version of a table under `path`.
+
+    A version is written whole before older ones go; the one before it stays for
+    readers that have begun.
     """
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
-
-    return (states.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        new = fold(batch)
+        if before:
+            new = new.unionByName(spark.read.parquet(os.path.join(path, f"version={before[-1]}")))
+        merge(new).write.mode("overwrite").parquet(os.path.join(path, f"version={batch_id}"))
+        for old in before[:-1]:
+            remove(spark, os.path.join(path, f"version={old}"))
+
+    return (events.writeStream.option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(keep).start())
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    columns = [c for c in rows.columns if c not in ("job", "batch")]
-    return rows.groupBy("job").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(
-        "job", "s.*")
+def folded(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(path, f"version={_versions(spark, path)[-1]}"))
+
+
+# Latest state ------------------------------------------------------------------
 
+def fold_status(events: DataFrame) -> DataFrame:
+    """(job, done, open) of (event_id, job, ts, status): first final and newest other event."""
+    return events.groupBy("job").agg(F.min(F.when(_final(), _said())).alias("done"),
+                                     F.max(F.when(~_final(), _said())).alias("open"))
 
-def silent_sessions(progress: DataFrame, delay: str = "10 minutes",
-                    seconds: int = fixed.STALE_SECONDS) -> DataFrame:
-    """Stretches of activity per job that ended in silence, append mode.
 
-    A stretch is reported once the watermark has passed its end, with the last
-    status before the silence and whether the job had come to an end in it.
+def merge_status(states: DataFrame) -> DataFrame:
+    return states.groupBy("job").agg(F.min("done").alias("done"), F.max("open").alias("open"))
+
+
+def latest_status(states: DataFrame) -> DataFrame:
+    """(job, status, at, event_id): the first final status stands, until then the newest."""
+    state = F.coalesce("done", "open")
+    return states.select("job", state["status"].alias("status"), state["ts"].alias("at"),
+                         state["event_id"].alias("event_id"))
+
+
+# Silence -----------------------------------------------------------------------
+
+def fold_stretches(events: DataFrame, seconds: int = fixed.STALE_SECONDS) -> DataFrame:
+    """(job, began, ended, last, done): what a batch says about stretches of activity.
+
+    Events within one span of `seconds` belong together anyway, so a busy job is
+    folded per task before anything is shuffled.
     """
-    final = F.col("status").isin(*fixed.FINAL_STATUSES)
-    window = F.session_window("ts", f"{seconds} seconds")
-    folded = progress.withWatermark("ts", delay).groupBy("job", window).agg(
-        F.max(F.struct("ts", "event_id", "status")).alias("last"),
-        F.min(F.when(final, F.struct("ts", "event_id", "status"))).alias("done"))
-    return folded.select("job", F.col("session_window.start").alias("began"),
-                         F.col("session_window.end").alias("ended"), "last", "done")
+    span = F.floor(F.unix_micros("ts") / (seconds * 1_000_000))
+    return events.groupBy("job", span.alias("span")).agg(
+        F.min("ts").alias("began"),
+        (F.max("ts") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("ended"),
+        F.max(_said()).alias("last"), F.min(F.when(_final(), _said())).alias("done")).drop("span")
+
 
+def merge_stretches(rows: DataFrame) -> DataFrame:
+    """Stretches that overlap become one: few rows per job, one for each silence."""
+    so_far = Window.partitionBy("job").orderBy("began", "ended")
+    reach = F.max("ended").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("began") >= reach), 1).otherwise(0)
+    placed = rows.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(so_far))
+    return placed.groupBy("job", "stretch").agg(
+        F.min("began").alias("began"), F.max("ended").alias("ended"), F.max("last").alias("last"),
+        F.min("done").alias("done")).drop("stretch")
 
-def stale_jobs(sessions: DataFrame) -> DataFrame:
+
+def stale_jobs(stretches: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(job, failed_at, last_status): jobs that fell silent before they were finished.
 
     Only the first stretch of a job decides; what comes after its end or after
-    it was given up is ignored.
+    it was given up is ignored. A stretch has ended once `delay` has passed
+    since, by the newest event of all.
     """
-    first = sessions.groupBy("job").agg(
+    newest = stretches.agg(F.max("last.ts")).first()[0]
+    first = stretches.groupBy("job").agg(
         F.min_by(F.struct("ended", "last", "done"), "began").alias("s"))
-    return first.filter("s.done IS NULL").select(
+    over = F.col("s.ended") <= F.lit(newest) - F.expr(f"INTERVAL {delay}")
+    return first.filter(F.col("s.done").isNull() & over).select(
         "job", F.col("s.ended").alias("failed_at"), F.col("s.last.status").alias("last_status"),
         F.lit(fixed.STALE_MESSAGE).alias("error"))
 
 
-def write_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return (rows.writeStream.outputMode("append").format("parquet").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
+# Retention ---------------------------------------------------------------------
 
 def retention_stream(activity: DataFrame, clean, path: str, checkpoint: str,
                      every: str | None = "30 minutes") -> StreamingQuery:
