@@ -140,6 +140,9 @@ CONTENT_CRITERIA = (
      "introductions and endings."),
 )
 
+# What a length target that cannot be met is answered with.
+BAD_TARGET = "target length must be a positive number of seconds"
+
 # Audio rate names a timeline may declare.
 AUDIO_RATES = (
     (32000, "32k"), (44100, "44.1k"), (48000, "48k"), (88200, "88.2k"),
