@@ -121,8 +121,9 @@ def test_cuts_and_status(spark, words, media):
     counts = R.group_counts(m)
 
     def run(bodies):
-        rows = spark.createDataFrame([(1, g, b is not None, b) for g, b in enumerate(bodies)],
-                                     "take_id bigint, grp bigint, ok boolean, body string")
+        rows = spark.createDataFrame(
+            [(1, g, b is not None, b, None if b else f"call {g} failed") for g, b in enumerate(bodies)],
+            "take_id bigint, grp bigint, ok boolean, body string, error string")
         sizes = m.groupBy("take_id", "grp").agg(F.count("*").alias("size"))
         judged = R.before_failure(R.verdicts(parse_replies(rows), sizes), rows)
         status = R.retake_status(takes, counts, rows, judged).orderBy("take_id").collect()
@@ -130,11 +131,37 @@ def test_cuts_and_status(spark, words, media):
 
     cuts, status = run([GOOD, GOOD])
     assert len(cuts) == 2 and not any(c.auto for c in cuts)
-    assert status == [("ok", 2, 0), ("none-found", 0, 0)]
+    assert status == [("ok", None, 2, 0), ("none-found", None, 0, 0)]
     cuts, status = run(['{"retake": false}'] * 2)
-    assert cuts == [] and status[0] == ("none-confirmed", 2, 0)
+    assert cuts == [] and status[0] == ("none-confirmed", None, 2, 0)
     cuts, status = run([None, GOOD])
-    assert cuts == [] and status[0] == ("model-error", 1, 1)
+    assert cuts == [] and status[0] == ("model-error", "call 0 failed", 1, 1)
     none = R.retake_status(takes, counts, None, None, model=False).first()
     assert none.status == "no-model"
     assert R.group_counts(m, 1).first().skipped == 1
+
+
+def test_a_group_is_one_question_whatever_its_size(spark):
+    rows = [(1, g, at, at * 1000, at * 1000 + 500, f"line {at}")
+            for g, n in ((0, 2), (1, 300)) for at in range(n)]
+    m = spark.createDataFrame(rows, "take_id bigint, grp bigint, at bigint, start_ms bigint, "
+                                    "end_ms bigint, text string")
+    asked = R.retake_prompts(m).orderBy("grp", "line_no").collect()
+    for grp, n in ((0, 2), (1, 300)):
+        lines = [r.line for r in asked if r.grp == grp]
+        assert lines[0] == R.PROMPT_HEAD and lines[-2:] == ["", R.PROMPT_TAIL]
+        assert len(lines) == n + 3 and lines[n].startswith(f"[{n - 1}] ")
+
+
+def test_report_names_what_is_dropped(spark, words):
+    _, m = members(spark, words, LINE, AGAIN)
+    judged = spark.createDataFrame([(1, 0, 1, 80, "complete")], "take_id bigint, grp bigint, "
+                                   "keep bigint, confidence_pct int, reason string")
+    assert [(r.at, r.dropped) for r in R.retake_report(m, judged).orderBy("at").collect()] == [
+        (0, True), (1, False)]
+
+
+def test_pauses_of_padded_cuts(spark):
+    cuts = spark.createDataFrame([(1, 100, 700, "silence"), (1, 900, 950, "filler")],
+                                 "take_id bigint, start_ms bigint, end_ms bigint, reason string")
+    assert [tuple(r) for r in R.pauses_of_cuts(cuts).collect()] == [(1, 100, 700)]

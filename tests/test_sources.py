@@ -20,7 +20,11 @@ def test_transcript_files(spark, tmp_path):
     }
     for name, body in docs.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(body, ensure_ascii=False, indent=1))
-    rows = S.read_transcripts(spark, str(tmp_path)).orderBy("take_id", "idx").collect()
+    (tmp_path / "d.json").write_text("{broken")
+    (tmp_path / "e.json").write_text('{"language": "en"}')
+    words, rejects = S.read_transcripts(spark, str(tmp_path))
+    assert sorted(r.take_id[-6] for r in rejects.collect()) == ["d", "e"]
+    rows = words.orderBy("take_id", "idx").collect()
     got = [(r.take_id[-6], r.idx, r.start_ms, r.end_ms, r.text, r.hinglish) for r in rows]
     assert got == [("a", 0, 0, 400, "hi", None), ("a", 1, 2005, 3000, "x", None),
                    ("b", 0, 1000, 2000, "only text", None), ("c", 0, 100, 200, "क्या", "kya")]
@@ -71,7 +75,8 @@ def test_probe(spark):
 @pytest.mark.parametrize("word,latin", [
     ("क्या", "kya"), ("नहीं", "nahin"), ("तरह", "tarah"), ("चुनौतियां", "chunautiyan"), ("मैं", "main"),
     ("अच्छा", "achchh"), ("hello", "hello"), ("यानी", "yani"), ("बात,", "bat,"), ("है।", "hai."),
-    ("कमल", "kamal"), ("सड़क", "sadak"), ("न", "na"), ("घर", "ghar")])
+    ("कमल", "kamal"), ("सड़क", "sadak"), ("न", "na"), ("घर", "ghar"), ("डॉक्टर", "doktar"),
+    ("ऑफ", "oph"), ("\u092c\u095c\u093e", "bad"), ("\u095b\u0930\u0942\u0930", "jarur")])
 def test_romanization_rules(spark, word, latin):
     assert spark.range(1).select(Z.romanize_rules(F.lit(word)).alias("x")).first().x == latin
 

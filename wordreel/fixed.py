@@ -100,6 +100,8 @@ CLIP_PRESETS = (
      4, 2, 5, 320, "karaoke", 50, 115, 150),
 )
 
+CLIP_ANIMATION = 11     # place of the animation in a clip preset
+
 # Clip styles and what each asks for.
 CLIP_STYLES = (
     ("auto", "Automatically detect the best clip style based on content"),
@@ -140,7 +142,8 @@ CONTENT_CRITERIA = (
      "introductions and endings."),
 )
 
-# What a length target that cannot be met is answered with.
+# What rejected inputs are answered with.
+BAD_TRANSCRIPT = "not a transcript: neither segments nor words"
 BAD_TARGET = "target length must be a positive number of seconds"
 
 # Audio rate names a timeline may declare.
@@ -168,10 +171,12 @@ ROMAN_CHUNK = 80
 ROMAN_CONSONANTS = "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ"
 ROMAN_CONSONANT_BASES = "kkggnccjjnttddnttddnppbbmyrlvssshl"
 ROMAN_ASPIRATES = "खघछझठढथधफभ"
-ROMAN_VOWELS = "अआइईउऊऋएऐओऔ"
-ROMAN_VOWEL_BASES = "aaiiuureaoa"
-ROMAN_SIGNS = "ािीुूृेैोौ"
-ROMAN_SIGN_BASES = "aiiuureaoa"
+ROMAN_VOWELS = "अआइईउऊऋएऐओऔ\u090d\u0911\u090e\u0912"
+ROMAN_VOWEL_BASES = "aaiiuureaoaeoeo"
+ROMAN_SIGNS = "ािीुूृेैोौ\u0945\u0949\u0946\u094a"
+ROMAN_SIGN_BASES = "aiiuureaoaeoeo"
+# Letters with the dot in them, as plain letters in the same order.
+ROMAN_DOTTED, ROMAN_PLAIN = "\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f", "कखगजडढफय"
 ROMAN_AI, ROMAN_AU = "ऐै", "औौ"
 ROMAN_OTHER = "ंँः।ऽ०१२३४५६७८९"
 ROMAN_OTHER_BASES = "nnh.'0123456789"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wordreel import fixed
 from wordreel.operators.scan import join_takes, running, time_block
@@ -221,21 +221,38 @@ def human_time(seconds: Column) -> Column:
         F.concat(minutes.cast("string"), F.lit("m")))
 
 
-def clip_library(clips: DataFrame, now: Column) -> DataFrame:
-    """Unexpired clips with the seconds left; an unreadable creation time counts as now.
+def clip_library(clips: DataFrame, now: Column, tie: str = "clip_id") -> DataFrame:
+    """Unexpired clips with the seconds left, ranked newest first for each user.
 
-    `created_at` is text, `now` epoch seconds. Sort by `created_s` for newest first.
+    `created_at` is text, `now` epoch seconds; a creation time that cannot be read
+    counts as now. Clips of one second are ranked by `tie`, the larger first.
     """
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_s"), F.desc(tie))
     made = F.coalesce(F.unix_timestamp(F.expr("try_to_timestamp(created_at)")), now)
     left = made + fixed.CLIP_TTL_SECONDS - now
     return clips.withColumns({"created_s": made, "expires_in_seconds": left}).filter(
-        "expires_in_seconds > 0").withColumn(
-        "expires_in_human", human_time(F.col("expires_in_seconds")))
+        "expires_in_seconds > 0").withColumns({
+            "expires_in_human": human_time(F.col("expires_in_seconds")),
+            "rank": F.row_number().over(newest)})
 
 
-def catalogue(rows: DataFrame) -> DataFrame:
-    """Add a label in title case to rows with an `id`."""
-    return rows.withColumn("label", F.initcap(F.replace("id", F.lit("_"), F.lit(" "))))
+def catalogue(spark: SparkSession, requests: DataFrame) -> DataFrame:
+    """(kind, id, label, description, anim_type, asked): what can be asked for.
+
+    Clip styles have a description, caption styles an animation; `asked` counts
+    the requests (clip_style, caption_style) that name each.
+    """
+    listed = spark.createDataFrame(
+        [("clip", i, text, None) for i, text in fixed.CLIP_STYLES]
+        + [("caption", p[0], None, p[fixed.CLIP_ANIMATION]) for p in fixed.CLIP_PRESETS],
+        "kind string, id string, description string, anim_type string")
+    named = requests.select(F.explode(F.array(
+        F.struct(F.lit("clip").alias("kind"), F.col("clip_style").alias("id")),
+        F.struct(F.lit("caption").alias("kind"), F.col("caption_style").alias("id")))).alias("x"))
+    asked = named.groupBy("x.kind", "x.id").agg(F.count("*").alias("asked"))
+    return listed.join(asked, ["kind", "id"], "left").select(
+        "kind", "id", F.initcap(F.replace("id", F.lit("_"), F.lit(" "))).alias("label"),
+        "description", "anim_type", F.coalesce("asked", F.lit(0)).alias("asked"))
 
 
 def clip_rows(clips: DataFrame) -> DataFrame:

@@ -38,8 +38,10 @@ def recent_jobs(jobs: DataFrame, n: int = 50) -> DataFrame:
 
 
 def unseen(jobs: DataFrame) -> DataFrame:
-    """Finished jobs the user has not seen."""
-    return jobs.filter(~F.col("seen") & F.col("status").isin(*fixed.FINAL_STATUSES))
+    """Finished jobs the user has not seen, ranked newest first."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_s"), F.desc("id"))
+    return jobs.filter(~F.col("seen") & F.col("status").isin(*fixed.FINAL_STATUSES)).withColumn(
+        "rank", F.row_number().over(w))
 
 
 def mark_seen(jobs: DataFrame, acks: DataFrame) -> DataFrame:
@@ -69,15 +71,16 @@ def surviving_jobs(jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def object_paths_of(jobs: DataFrame) -> DataFrame:
-    """(id, pos, path): the stored objects of jobs, source before output."""
+    """(id, user_id, pos, path): the stored objects of jobs, source before output."""
     paths = F.posexplode(F.array("source_path", "output_path")).alias("pos", "path")
-    return jobs.select("id", paths).filter(F.coalesce("path", F.lit("")) != "")
+    return jobs.select("id", "user_id", paths).filter(F.coalesce("path", F.lit("")) != "")
 
 
 def deletion_batches(paths: DataFrame, n: int = fixed.DELETE_BATCH) -> DataFrame:
     """(batch, paths): at most `n` paths each, in order of job id.
 
-    Paths are counted per block of ids, then by what the earlier blocks hold.
+    Paths are counted per block of ids, then by what the earlier blocks hold:
+    one row per block is all that a single task sees.
     """
     placed = paths.withColumn("at", F.col("id") * 2 + F.col("pos")).withColumn(
         "blk_", position_block("at", BATCH_BLOCK))

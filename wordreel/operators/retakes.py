@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from wordreel import fixed
 from wordreel.functions.text import display_text, ends_clause, norm_token, strip, tenths
@@ -19,12 +17,11 @@ SYSTEM_PROMPT = (
     "after a slip, or different lines that only sound alike. Emphasis and lists are not retakes. "
     "Answer with JSON only."
 )
-PROMPT_HEAD = "Attempts, in order:\n"
+PROMPT_HEAD = "Attempts, in order:"
 PROMPT_TAIL = (
-    '\n\nAnswer with {"retake": true or false, "keep": number of the attempt to keep, '
+    'Answer with {"retake": true or false, "keep": number of the attempt to keep, '
     '"confidence": 0 to 1, "reason": "a few words"}. Keep the most complete and fluent attempt.'
 )
-PROMPT_PART = 256       # attempts per part of one prompt
 
 
 def phrase_bounds_measured(words: DataFrame, silences: DataFrame) -> DataFrame:
@@ -43,6 +40,15 @@ def phrase_bounds_measured(words: DataFrame, silences: DataFrame) -> DataFrame:
         "boundary", F.coalesce("boundary", F.lit(False)))
 
 
+def pauses_of_cuts(cuts: DataFrame) -> DataFrame:
+    """Padded silence cuts as pauses, where only the cut list is at hand.
+
+    They are shorter than what was measured by the padding on either side, so
+    fewer of them are long enough to end a phrase.
+    """
+    return cuts.filter(F.col("reason") == "silence").select("take_id", "start_ms", "end_ms")
+
+
 def phrase_bounds_punct(words: DataFrame) -> DataFrame:
     """Add `boundary` where nothing was measured: clause punctuation, or no text at all."""
     shown = display_text()
@@ -145,14 +151,17 @@ def groups(links: DataFrame) -> DataFrame:
     """(take_id, grp, j): attempts at one line, numbered by the order groups open.
 
     Links point back, so they form a forest. Every round a phrase takes over
-    the target of its target; chains halve, so the rounds are few.
+    the target of its target; chains halve, and a round that moves nothing ends it.
     """
     ends = settle(links.select("take_id", "j", F.col("earlier").alias("root")), "links")
-    rounds = max(1, math.ceil(math.log2(max(2, _longest(ends)))))
-    for _ in range(rounds):
+    while True:
+        moved = Observation()
         jump = ends.select("take_id", F.col("j").alias("root"), F.col("root").alias("further"))
-        ends = settle(join_takes(ends, jump, "j", "left", on=["take_id", "root"]).select(
+        ends = settle(join_takes(ends, jump, "j", "left", on=["take_id", "root"]).observe(
+            moved, F.count("further").alias("n")).select(
             "take_id", "j", F.coalesce("further", "root").alias("root")), "links")
+        if not moved.get["n"]:
+            break
     opened = ends.groupBy("take_id", "root").agg(F.min("j").alias("opened"))
     order = numbered(opened, ["take_id"], "opened", "grp")
     members = ends.select("take_id", "root", "j").unionByName(
@@ -161,12 +170,6 @@ def groups(links: DataFrame) -> DataFrame:
                       on=["take_id", "root"]).select("take_id", "grp", "j")
 
 
-def _longest(ends: DataFrame) -> int:
-    """Upper bound for a chain of links: the most links any take has."""
-    top = ends.groupBy("take_id").count().agg(F.max("count")).first()[0]
-    return int(top or 1)
-
-
 def group_counts(members: DataFrame, n: int = fixed.MAX_GROUPS) -> DataFrame:
     """How many groups a take has, and how many are asked about under the cap."""
     per = members.groupBy("take_id").agg((F.max("grp") + 1).alias("found"))
@@ -190,21 +193,22 @@ def attempts(members: DataFrame, phrases_j: DataFrame) -> DataFrame:
 
 
 def retake_prompts(members: DataFrame) -> DataFrame:
-    """(take_id, grp, part, body): the question about each group, in parts when long."""
-    line = F.concat(F.lit("["), F.col("at").cast("string"), F.lit("] "), tenths(F.col("start_ms")),
+    """(take_id, grp, line_no, line): the question about each group, line by line.
+
+    The lines of a group in their order, joined by line ends, are one question,
+    however many attempts it has.
+    """
+    said = F.concat(F.lit("["), F.col("at").cast("string"), F.lit("] "), tenths(F.col("start_ms")),
                     F.lit("s-"), tenths(F.col("end_ms")), F.lit("s: "), F.col("text"))
-    sizes = members.groupBy("take_id", "grp").agg(F.count("*").alias("size"))
-    parts = (
-        members.withColumn("part", F.floor(F.col("at") / PROMPT_PART).cast("bigint"))
-        .groupBy("take_id", "grp", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))).alias("lines"))
-        .join(sizes, ["take_id", "grp"])
-    )
-    last = F.floor((F.col("size") - 1) / PROMPT_PART)
-    return parts.select("take_id", "grp", "part", F.concat(
-        F.when(F.col("part") == 0, F.lit(PROMPT_HEAD)).otherwise("\n"),
-        F.array_join(F.col("lines.line"), "\n"),
-        F.when(F.col("part") == last, F.lit(PROMPT_TAIL)).otherwise("")).alias("body"))
+    attempts_ = members.select("take_id", "grp", (F.col("at") + 1).alias("line_no"),
+                               said.alias("line"))
+    frame = members.groupBy("take_id", "grp").agg(F.count("*").alias("size")).select(
+        "take_id", "grp", F.explode(F.array(
+            F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(PROMPT_HEAD).alias("line")),
+            F.struct((F.col("size") + 1).alias("line_no"), F.lit("").alias("line")),
+            F.struct((F.col("size") + 2).alias("line_no"), F.lit(PROMPT_TAIL).alias("line"))))
+        .alias("x")).select("take_id", "grp", "x.*")
+    return frame.unionByName(attempts_)
 
 
 def verdicts(replies: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -239,27 +243,29 @@ def retake_cuts(members: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def retake_report(members: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row per confirmed group and part, with its attempts."""
-    both = members.withColumn("part", F.floor(F.col("at") / PROMPT_PART).cast("bigint"))
-    both = join_takes(both, judged, "j", on=["take_id", "grp"])
-    one = F.struct("at", "start_ms", "end_ms", "text")
-    return both.groupBy("take_id", "grp", "part", "keep", "confidence_pct", "reason").agg(
-        F.array_sort(F.collect_list(one)).alias("attempts"))
+    """One row per attempt of a confirmed group, and whether it is dropped."""
+    both = join_takes(members, judged, "j", on=["take_id", "grp"])
+    return both.select("take_id", "grp", "at", "keep", "confidence_pct", "reason", "start_ms",
+                       "end_ms", "text", (F.col("at") != F.col("keep")).alias("dropped"))
 
 
 def retake_status(takes: DataFrame, counts: DataFrame, replies: DataFrame, judged: DataFrame,
                   model: bool = True) -> DataFrame:
     """How the run ended for each take, and how many groups were asked and skipped.
 
-    Asking stops at the first failed reply; `replies` has `ok` per group.
+    Asking stops at the first failed reply; `replies` has `ok` and `error` per
+    group, and the error of that reply is the run's.
     """
     if not model:
         return takes.select("take_id", F.lit("no-model").alias("status"),
+                            F.lit(None).cast("string").alias("error"),
                             F.lit(0).cast("bigint").alias("asked"),
                             F.lit(0).cast("bigint").alias("skipped"))
     asked = replies.join(counts.select("take_id", F.col("asked").alias("cap")), "take_id").filter(
         F.col("grp") < F.col("cap"))
-    broke = asked.groupBy("take_id").agg(F.min(F.when(~F.col("ok"), F.col("grp"))).alias("broke"))
+    failed = F.when(~F.col("ok"), F.col("grp"))
+    broke = asked.groupBy("take_id").agg(F.min(failed).alias("broke"),
+                                         F.min_by("error", failed).alias("error"))
     state = (takes.select("take_id").join(counts, "take_id", "left").join(broke, "take_id", "left"))
     confirmed = judged.select("take_id", "grp").join(
         state.select("take_id", "broke", F.col("asked").alias("cap")), "take_id").filter(
@@ -271,6 +277,7 @@ def retake_status(takes: DataFrame, counts: DataFrame, replies: DataFrame, judge
         F.when(F.coalesce("found", F.lit(0)) == 0, "none-found")
         .when(F.col("broke").isNotNull(), "model-error")
         .when(F.coalesce("confirmed", F.lit(0)) == 0, "none-confirmed").otherwise("ok").alias("status"),
+        F.when(F.col("broke").isNotNull(), F.col("error")).alias("error"),
         F.coalesce(F.col("broke") + 1, "asked", F.lit(0)).alias("asked"),
         F.coalesce(F.when(F.col("broke").isNotNull(), F.col("found") - F.col("broke") - 1)
                    .otherwise(F.col("skipped")), F.lit(0)).alias("skipped"))

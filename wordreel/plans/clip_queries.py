@@ -250,26 +250,29 @@ def validated_requests(spark, d):
     return K.validate_requests(requests(spark, d)).select("request_id", "error")
 
 
+part("asked", """
+SELECT * FROM requests
+UNION ALL
+SELECT * REPLACE (request_id + 10000000 AS request_id) FROM requests WHERE request_id % 3 > 0""")
 part("keyed", """
 SELECT request_id, user_id, sha256(user_id || '||' || url || '||' || coalesce(instructions, '') || '||'
   || clip_style || '||' || caption_style || '||' || coalesce(nullif(n, 0)::VARCHAR, '') || '||' ||
   coalesce(nullif(lo, 0)::VARCHAR, '') || '||' || coalesce(nullif(hi, 0)::VARCHAR, ''))[:16] AS key
-FROM (SELECT * REPLACE (CASE WHEN request_id % 3 = 0 THEN n END AS n, NULL::BIGINT AS lo,
-                        NULL::BIGINT AS hi, NULL::VARCHAR AS instructions) FROM requests)""")
+FROM asked""")
 
 
 @query("request_cache", sql("""
 SELECT request_id, key, done IS NOT NULL AS cached,
        coalesce(done, min(request_id) OVER (PARTITION BY key)) AS job
-FROM keyed LEFT JOIN (SELECT key, 1000000 + min(request_id) AS done FROM keyed
+FROM keyed LEFT JOIN (SELECT key, 20000000 + min(request_id) AS done FROM keyed
                       WHERE user_id % 2 = 0 GROUP BY key) USING (key)"""))
 def request_cache(spark, d):
-    asked = requests(spark, d).withColumns({
-        "clip_count": F.when(F.col("request_id") % 3 == 0, F.col("clip_count")),
-        "min_clip_length": F.lit(None).cast("bigint"), "max_clip_length": F.lit(None).cast("bigint"),
-        "instructions": F.lit(None).cast("string")})
+    """Requests, two thirds of them asked again, beside the finished jobs of half the users."""
+    once = requests(spark, d)
+    asked = once.unionByName(once.filter("request_id % 3 > 0").withColumn(
+        "request_id", F.col("request_id") + 10_000_000))
     done = asked.filter("user_id % 2 = 0").withColumn("key", K.request_key()).groupBy("key").agg(
-        (F.min("request_id") + 1_000_000).alias("job_id"))
+        (F.min("request_id") + 20_000_000).alias("job_id"))
     return K.dedupe_requests(asked, done).select("request_id", "key", "cached", "job")
 
 
@@ -303,6 +306,7 @@ NOW_EVENTS = 1705320000  # 2024-01-15 12:00 UTC, inside the events
 
 @query("clip_library", sql(f"""
 SELECT event_id, user_id, left_s AS expires_in_seconds,
+       row_number() OVER (PARTITION BY user_id ORDER BY left_s DESC, event_id DESC) AS rank,
        CASE WHEN left_s >= 3600 THEN left_s // 3600 || 'h ' ELSE '' END || left_s % 3600 // 60 || 'm'
          AS expires_in_human
 FROM (SELECT *, 21600 + CASE WHEN event_id % 50 = 0 THEN 0
@@ -313,18 +317,27 @@ def clip_library(spark, d):
     made = T.table(spark, d, "events").select(
         "event_id", "user_id", F.when(F.col("event_id") % 50 == 0, "soon").otherwise(text)
         .alias("created_at"))
-    return K.clip_library(made, F.lit(NOW_EVENTS)).select(
-        "event_id", "user_id", "expires_in_seconds", "expires_in_human")
+    return K.clip_library(made, F.lit(NOW_EVENTS), "event_id").select(
+        "event_id", "user_id", "expires_in_seconds", "expires_in_human",
+        F.col("rank").cast("bigint").alias("rank"))
+
+
+_quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_LISTED = ", ".join(
+    [f"('clip', {_quoted(i)}, {_quoted(text)}, NULL)" for i, text in fixed.CLIP_STYLES]
+    + [f"('caption', {_quoted(p[0])}, NULL, {_quoted(p[fixed.CLIP_ANIMATION])})"
+       for p in fixed.CLIP_PRESETS])
 
 
-@query("catalogue", sql("""
-SELECT DISTINCT lower(replace(p_name, ' ', '_')) AS id,
-       array_to_string(list_transform(string_split(p_name, ' '),
-                       lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label FROM part"""))
+@query("catalogue", sql(f"""
+SELECT kind, id, array_to_string(list_transform(string_split(id, '_'),
+                                 lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label,
+       description, anim_type, CASE kind WHEN 'clip'
+         THEN (SELECT count(*) FROM requests r WHERE r.clip_style = t.id)
+         ELSE (SELECT count(*) FROM requests r WHERE r.caption_style = t.id) END AS asked
+FROM (VALUES {_LISTED}) t(kind, id, description, anim_type)"""))
 def catalogue(spark, d):
-    ids = T.table(spark, d, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit("_")))
-                                           .alias("id")).distinct()
-    return K.catalogue(ids)
+    return K.catalogue(spark, requests(spark, d))
 
 
 # Jobs --------------------------------------------------------------------------
@@ -392,9 +405,12 @@ def recent_jobs(spark, d):
 
 
 @query("unseen_jobs", sql("""
-SELECT user_id, id, status, created_s FROM jobs WHERE NOT seen AND status IN ('completed', 'failed')"""))
+SELECT user_id, id, status, created_s, row_number() OVER (PARTITION BY user_id
+       ORDER BY created_s DESC, id DESC) AS rank
+FROM jobs WHERE NOT seen AND status IN ('completed', 'failed')"""))
 def unseen_jobs(spark, d):
-    return J.unseen(good_jobs(spark, d)).select("user_id", "id", "status", "created_s")
+    return J.unseen(good_jobs(spark, d)).select(
+        "user_id", "id", "status", "created_s", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("marked_seen", sql("""
@@ -478,14 +494,14 @@ def kept_job_records(spark, d):
 
 
 @query("account_objects", sql("""
-SELECT id, source_path AS path FROM jobs WHERE source_path IS NOT NULL
-  AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""))
+SELECT id, unnest(paths) AS path
+FROM (SELECT id, list_filter([source_path, output_path], lambda p: p IS NOT NULL) AS paths FROM jobs
+      WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))"""))
 def account_objects(spark, d):
-    listing = good_jobs(spark, d).filter("source_path IS NOT NULL").select(
-        "id", "user_id", F.col("source_path").alias("path"))
+    """All that is stored for users who leave: what they sent and what was made of it."""
     leaving = T.table(spark, d, "customer").filter("c_acctbal < 0").select(
         F.col("c_custkey").alias("user_id"))
-    return J.user_objects(listing, leaving).select("id", "path")
+    return J.user_objects(J.object_paths_of(good_jobs(spark, d)), leaving).select("id", "path")
 
 
 @query("owned_uploads", sql("""

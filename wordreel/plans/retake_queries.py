@@ -145,12 +145,17 @@ def group_counts(spark, d):
     return R.group_counts(R.groups(R.best_links(P.usable(spark, d))))
 
 
-@query("retake_prompts", sql("""
-SELECT take_id, grp, 0::BIGINT AS part, 'Attempts, in order:' || chr(10) ||
-       string_agg('[' || cast("at" AS VARCHAR) || '] ' || (start_ms + 50) // 1000 || '.' || (start_ms + 50) // 100 % 10
-         || 's-' || (end_ms + 50) // 1000 || '.' || (end_ms + 50) // 100 % 10 || 's: ' || text,
-         chr(10) ORDER BY "at") || '""" + R.PROMPT_TAIL.replace("\n", "' || chr(10) || '") + """' AS body
-FROM attempts WHERE grp < 12 GROUP BY take_id, grp"""))
+@query("retake_prompts", sql(f"""
+SELECT take_id, grp, "at" + 1 AS line_no, '[' || cast("at" AS VARCHAR) || '] ' ||
+       (start_ms + 50) // 1000 || '.' || (start_ms + 50) // 100 % 10 || 's-' ||
+       (end_ms + 50) // 1000 || '.' || (end_ms + 50) // 100 % 10 || 's: ' || text AS line
+FROM attempts WHERE grp < 12
+UNION ALL
+SELECT take_id, grp, 0, '{R.PROMPT_HEAD}' FROM attempts WHERE grp < 12 AND "at" = 0
+UNION ALL
+SELECT take_id, grp, size + 1, '' FROM attempts WHERE grp < 12 AND "at" = 0
+UNION ALL
+SELECT take_id, grp, size + 2, '{R.PROMPT_TAIL}' FROM attempts WHERE grp < 12 AND "at" = 0"""))
 def retake_prompts(spark, d):
     return R.retake_prompts(R.cap_groups(P.grouped(spark, d)[1]))
 
@@ -172,23 +177,19 @@ def retake_cuts(spark, d):
 
 
 @query("retake_report", sql("""
-SELECT a.take_id, a.grp, c.keep, 'second is complete' AS reason, count(*) AS attempts,
-       string_agg(a.start_ms || '-' || a.end_ms || ':' || a.text, '|' ORDER BY a.at) AS said
-FROM attempts a JOIN confirmed c USING (take_id, grp) GROUP BY a.take_id, a.grp, c.keep"""))
+SELECT a.take_id, a.grp, a.at AS "at", c.keep, 'second is complete' AS reason, a.start_ms, a.end_ms,
+       a.text, a.at <> c.keep AS dropped
+FROM attempts a JOIN confirmed c USING (take_id, grp)"""))
 def retake_report(spark, d):
     members = P.grouped(spark, d)[1]
-    out = R.retake_report(members, P.judged(members)[1])
-    said = F.transform("attempts", lambda a: F.concat(
-        a["start_ms"].cast("string"), F.lit("-"), a["end_ms"].cast("string"), F.lit(":"), a["text"]))
-    return out.select("take_id", "grp", "keep", "reason",
-                      F.size("attempts").cast("bigint").alias("attempts"),
-                      F.array_join(said, "|").alias("said"))
+    return R.retake_report(members, P.judged(members)[1]).drop("confidence_pct")
 
 
 @query("retake_status", sql("""
 SELECT m.take_id,
        CASE WHEN coalesce(found, 0) = 0 THEN 'none-found' WHEN broke IS NOT NULL THEN 'model-error'
             WHEN coalesce(n, 0) = 0 THEN 'none-confirmed' ELSE 'ok' END AS status,
+       'no answer for ' || broke AS error,
        coalesce(broke + 1, asked, 0) AS asked,
        coalesce(CASE WHEN broke IS NOT NULL THEN found - broke - 1 ELSE skipped END, 0) AS skipped
 FROM media m LEFT JOIN counts USING (take_id) LEFT JOIN failures USING (take_id)
@@ -199,6 +200,29 @@ def retake_status(spark, d):
     return R.retake_status(T.media(spark, d), R.group_counts(members), replies, verdicts)
 
 
+@query("retake_status_no_model", sql("""
+SELECT take_id, 'no-model' AS status, NULL::VARCHAR AS error, 0::BIGINT AS asked,
+       0::BIGINT AS skipped FROM media"""))
+def retake_status_no_model(spark, d):
+    takes = T.media(spark, d)
+    none = takes.filter("false").select("take_id")
+    return R.retake_status(takes, none, none, none, model=False)
+
+
+part("silence_spans", """
+SELECT take_id, start_ms, end_ms FROM cuts WHERE reason = 'silence'""")
+part("cut_bounds", """
+SELECT g.*, EXISTS (SELECT 1 FROM silence_spans s WHERE s.take_id = g.take_id
+         AND s.end_ms - s.start_ms >= 450 AND s.start_ms < g.end_ms + g.gap_after
+         AND s.end_ms > g.end_ms - 50) AS boundary FROM gaps g""")
+
+
+@query("phrases_from_cuts", sql(PHRASE_SQL, **_phrases("cut_bounds")))
+def phrases_from_cuts(spark, d):
+    words, _, cuts = tighten.tightened(spark, d)
+    return _flat(R.phrases(R.phrase_bounds_measured(words, R.pauses_of_cuts(cuts))))
+
+
 @query("promoted_cuts", sql("""
 SELECT take_id, start_ms, end_ms, reason, cast(confidence_pct AS BIGINT) AS confidence_pct, text,
        auto FROM cuts

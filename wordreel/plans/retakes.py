@@ -49,8 +49,10 @@ def replies_of(members: DataFrame) -> DataFrame:
             .when(pick % 5 == 2, F.lit('{"retake": "true", "keep": 0}'))
             .when(pick % 5 == 3, yes)
             .otherwise(F.lit('{"retake": true, "keep": 1.0}')))
-    return sizes.select("take_id", "grp", "size", (pick % 11 != 10).alias("ok"),
-                        F.when(pick % 11 != 10, body).alias("body"))
+    failed = pick % 11 == 10
+    return sizes.select("take_id", "grp", "size", (~failed).alias("ok"),
+                        F.when(~failed, body).alias("body"), F.when(failed, F.concat(
+                            F.lit("no answer for "), F.col("grp").cast("string"))).alias("error"))
 
 
 def judged(members: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -50,6 +50,32 @@ def transcript_words(spark, d):
         "take_id", "idx", "start_ms", "end_ms", "text")
 
 
+@query("blank_words", sql(r"""
+SELECT take_id, idx, start_ms, end_ms, text FROM (
+  SELECT take_id, i AS idx, i * 250 AS start_ms, i * 250 + 200 AS end_ms,
+         CASE WHEN i % 7 = 6 THEN '' ELSE text END AS text
+  FROM (SELECT take_id, unnest(range(len(toks))) AS i, unnest(toks) AS text FROM turns
+        WHERE turn % 3 <> 0)
+  UNION ALL
+  SELECT take_id, 0, 500, len(toks) * 250, regexp_replace(text, '^\s+|\s+$', '', 'g')
+  FROM turns WHERE turn % 3 = 0 OR len(toks) = 0)"""))
+def blank_words(spark, d):
+    return S.transcript_words(S.parse_transcripts(transcript_rows(spark, d)), keep_blank=True).select(
+        "take_id", "idx", "start_ms", "end_ms", "text")
+
+
+@query("rejected_transcripts", sql("""
+SELECT take_id, 'not a transcript: neither segments nor words' AS error FROM turns
+WHERE take_id % 5 IN (0, 1)"""))
+def rejected_transcripts(spark, d):
+    """Two in five texts are cut off or something else than a transcript."""
+    k = F.col("take_id") % 5
+    rows = transcript_rows(spark, d).withColumn("body", F.when(
+        k == 0, F.expr("substring(body, 1, length(body) - 3)")).when(k == 1, '{"language": "en"}')
+        .otherwise(F.col("body")))
+    return S.rejected_transcripts(S.parse_transcripts(rows))
+
+
 @query("clamped_words", sql("""
 SELECT take_id, idx, start_ms, least(end_ms, duration_ms - 3000) AS end_ms
 FROM words JOIN media USING (take_id)"""))
@@ -202,22 +228,30 @@ def clip_rows(spark, d):
 
 # Romanization ------------------------------------------------------------------
 
+HINDI = (("क्या", "kya"), ("नहीं", "nahin"), ("डॉक्टर", "doktar"), ("समय", "samay"),
+         ("\u092c\u095c\u093e", "bad"))
+
+
 def mixed_words(spark, d):
     """Words of which some are in Devanagari, in runs of a third of the takes."""
     hindi = (F.col("take_id") % 3 == 0) & (F.floor(F.col("idx") / 80) % 2 == 0) \
         & (F.col("idx") % 50 == 7)
-    return T.tokens(spark, d).select("take_id", "idx", F.when(hindi, "क्या").otherwise(
+    word = F.element_at(F.array(*[F.lit(w) for w, _ in HINDI]),
+                        (F.call_function("div", F.col("idx"), F.lit(50).cast("bigint")) % 5 + 1)
+                        .cast("int"))
+    return T.tokens(spark, d).select("take_id", "idx", F.when(hindi, word).otherwise(
         F.col("text")).alias("text"))
 
 
-part("mixed_words", """
-SELECT take_id, idx, idx // 80 AS chunk,
-       CASE WHEN take_id % 3 = 0 AND idx // 80 % 2 = 0 AND idx % 50 = 7 THEN 'क्या' ELSE text END
-         AS text FROM spoken""")
+part("mixed_words", f"""
+SELECT take_id, idx, idx // 80 AS chunk, hindi, CASE WHEN hindi THEN
+         ({[w for w, _ in HINDI]})[idx // 50 % 5 + 1] ELSE text END AS text,
+       CASE WHEN hindi THEN ({[w for _, w in HINDI]})[idx // 50 % 5 + 1] ELSE text END AS latin
+FROM (SELECT *, take_id % 3 = 0 AND idx // 80 % 2 = 0 AND idx % 50 = 7 AS hindi FROM spoken)""")
 
 
 @query("romanize_chunks", sql("""
-SELECT take_id, chunk, count(*) AS n, bool_or(text = 'क्या') AS devanagari
+SELECT take_id, chunk, count(*) AS n, bool_or(hindi) AS devanagari
 FROM mixed_words GROUP BY take_id, chunk"""))
 def romanize_chunks(spark, d):
     return Z.romanize_chunks(mixed_words(spark, d))
@@ -226,15 +260,15 @@ def romanize_chunks(spark, d):
 @query("romanize_prompts", sql(f"""
 SELECT take_id, chunk, '{Z.PROMPT.replace(chr(10), "' || chr(10) || '")}' ||
        cast(to_json(list(text ORDER BY idx)) AS VARCHAR) AS body
-FROM mixed_words GROUP BY take_id, chunk HAVING bool_or(text = 'क्या')"""))
+FROM mixed_words GROUP BY take_id, chunk HAVING bool_or(hindi)"""))
 def romanize_prompts(spark, d):
     return Z.romanize_prompts(mixed_words(spark, d))
 
 
 @query("romanized_words", sql("""
 SELECT take_id, idx, text, CASE
-   WHEN bool_or(text = 'क्या') OVER c AND (take_id + chunk) % 2 = 0 THEN 'r' || idx
-   WHEN text = 'क्या' THEN 'kya' ELSE text END AS hinglish
+   WHEN bool_or(hindi) OVER c AND (take_id + chunk) % 2 = 0 THEN 'r' || idx
+   ELSE latin END AS hinglish
 FROM mixed_words WINDOW c AS (PARTITION BY take_id, chunk)"""))
 def romanized_words(spark, d):
     words = mixed_words(spark, d)
@@ -248,11 +282,34 @@ def romanized_words(spark, d):
     return Z.apply_romanization(words, replies).select("take_id", "idx", "text", "hinglish")
 
 
-@query("romanize_rules")
+# Every small letter stands for a Devanagari one: consonants, signs, the killer, dotted letters.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SPELT = "ािकतीमनगु\u0911सलरदहब\u095bयचशधथ\u0949\u095c्\u0945"
+part("spelt", f"""
+SELECT take_id, idx, translate(lower(text), '{LETTERS}', '{SPELT}') AS given FROM spoken""")
+part("rule_carried", f"""
+SELECT *, regexp_replace(regexp_replace(translate(given, '{fixed.ROMAN_DOTTED + fixed.ROMAN_NUQTA}',
+         '{fixed.ROMAN_PLAIN}'), '([{fixed.ROMAN_CONSONANTS}])', '\\1a', 'g'),
+         'a([{fixed.ROMAN_SIGNS + fixed.ROMAN_KILLER}])', '\\1', 'g') AS x FROM spelt""")
+part("rule_letters", f"""
+SELECT *, replace(translate(regexp_replace(regexp_replace(regexp_replace(x,
+         '([{fixed.ROMAN_ASPIRATES}])', '\\1h', 'g'), '([{fixed.ROMAN_AI}])', '\\1i', 'g'),
+         '([{fixed.ROMAN_AU}])', '\\1u', 'g'),
+         '{fixed.ROMAN_CONSONANTS + fixed.ROMAN_VOWELS + fixed.ROMAN_SIGNS + fixed.ROMAN_OTHER
+           + fixed.ROMAN_KILLER}',
+         '{fixed.ROMAN_CONSONANT_BASES + fixed.ROMAN_VOWEL_BASES + fixed.ROMAN_SIGN_BASES
+           + fixed.ROMAN_OTHER_BASES.replace("'", "''")}'), 'c', 'ch') AS y FROM rule_carried""")
+
+
+@query("romanize_rules", sql("""
+SELECT take_id, idx, given, CASE WHEN NOT regexp_matches(given, '[\\x{0900}-\\x{097F}]') THEN given
+  ELSE CASE z """ + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fixed.ROMAN_EXCEPTIONS) + """
+       ELSE z END END AS latin
+FROM (SELECT *, regexp_replace(y, '^(.{2,}[^aeiou])a([.,!?]*)$', '\\1\\2') AS z
+      FROM rule_letters)"""))
 def romanize_rules(spark, d):
     """Every word, its letters taken as Devanagari ones, back in Latin."""
-    given = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz",
-                        "ािकतीमनगुपसलरदहबवयचशधथणञजझ")
+    given = F.translate(F.lower("text"), LETTERS, SPELT)
     return T.tokens(spark, d).select("take_id", "idx", given.alias("given"),
                                      Z.romanize_rules(given).alias("latin"))
 

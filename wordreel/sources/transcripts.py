@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wordreel import fixed
 from wordreel.functions.text import strip
 from wordreel.operators.scan import join_takes
 
@@ -53,14 +54,25 @@ def transcript_words(parsed: DataFrame, keep_blank: bool = False) -> DataFrame:
 
 def parse_transcripts(rows: DataFrame, body: str = "body") -> DataFrame:
     """(take_id, t) from JSON texts; texts that are no transcript have a NULL `t`."""
-    return rows.select("take_id", F.from_json(body, SEGMENTS).alias("t"))
+    t = F.from_json(body, SEGMENTS)
+    said = t["segments"].isNotNull() | t["words"].isNotNull()
+    return rows.select("take_id", F.when(said, t).alias("t"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, words...) of every JSON transcript file under a path, one document per file."""
+def rejected_transcripts(parsed: DataFrame) -> DataFrame:
+    """(take_id, error) of texts that have neither segments nor words."""
+    return parsed.filter("t IS NULL").select("take_id", F.lit(fixed.BAD_TRANSCRIPT).alias("error"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(words, rejects) of every JSON file under a path, one document per file.
+
+    A JSON document over several lines cannot be split, so each file is one row.
+    """
     rows = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("take_id"), F.col("value").alias("body"))
-    return transcript_words(parse_transcripts(rows))
+    parsed = parse_transcripts(rows)
+    return transcript_words(parsed), rejected_transcripts(parsed)
 
 
 def write_transcripts(words: DataFrame, path: str) -> None:
