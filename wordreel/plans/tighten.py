@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from wordreel.operators import detect as D, intervals as I
 from wordreel.session import settle
@@ -17,10 +17,9 @@ LEXICON = D.Lexicon(
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(words, media) as tables, for runs that read them more than once."""
-    words = settle(T.words(spark, sf_dir), "words")
-    ends = words.groupBy("take_id").agg(F.max("end_ms").alias("last_ms"))
-    return words, settle(T.media_of(ends), "media")
+    """(words, media): words as a plan, which is cheaper to run again than to write out;
+    media, one row per take, written."""
+    return T.words(spark, sf_dir), settle(T.media(spark, sf_dir), "media")
 
 
 def raw_cuts(words: DataFrame) -> DataFrame:
@@ -33,7 +32,7 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tightened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words, media, merged cuts), all written."""
+    """(words, media, merged cuts); media and cuts are written."""
     words, media = inputs(spark, sf_dir)
     return words, media, settle(D.merge_cuts(raw_cuts(words), media), "cuts")
 

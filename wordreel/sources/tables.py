@@ -8,16 +8,25 @@ and event tables. All of it is one read of the source and grows with it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from wordreel.operators.scan import BLOCK, running, with_neighbours
+from wordreel.operators.scan import BLOCK, with_neighbours
 
 TOKENS = r"split(btrim(text, ' \n\r\t'), '[ \n\r\t]+')"
-DURATION = "100L + 60L * least(length(text), 12)"
-GAP = """CASE WHEN right(text, 1) IN ('.', '!', '?') THEN 500L + (idx * 37) % 900
-              WHEN right(text, 1) IN (',', ';', ':') THEN 250L + (idx * 29) % 300
-              WHEN idx % 17 = 0 THEN 300L + (idx * 13) % 400
-              ELSE (idx * 7) % 60 END"""
+
+
+def duration(text: str) -> str:
+    return f"100L + 60L * least(length({text}), 12)"
+
+
+def gap(text: str, idx: str) -> str:
+    return f"""CASE WHEN right({text}, 1) IN ('.', '!', '?') THEN 500L + ({idx} * 37) % 900
+              WHEN right({text}, 1) IN (',', ';', ':') THEN 250L + ({idx} * 29) % 300
+              WHEN {idx} % 17 = 0 THEN 300L + ({idx} * 13) % 400
+              ELSE ({idx} * 7) % 60 END"""
+
+
+DURATION, GAP = duration("text"), gap("text", "idx")
 FPS = """element_at(array(23.976D, 25.0D, 29.97D, 30.0D, 59.94D), cast(take_id % 5 + 1 as int))"""
 
 
@@ -25,40 +34,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a source of fewer files than cores; larger sources stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+def blocks(spark: SparkSession, sf_dir: str, timed: bool = False) -> DataFrame:
+    """(take_id, blk, part): tokens in blocks of one row each; with `timed` also `carry`,
+    the time that the blocks before take.
 
-
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(take_id, blk, idx, text): words in order, already spread by block of a take.
-
-    What is shuffled are blocks of words, one row each, so that a long document
-    is timed by many tasks.
+    A document is one row anyway, so what its earlier blocks add up to is found
+    in that row; only documents of several blocks are added up. What is shuffled
+    are blocks, so that a long document is many tasks' work.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
-        F.col("doc_id").alias("take_id"), F.expr(TOKENS).alias("toks")
-    )
-    cut = F.expr(
-        f"transform(sequence(0, greatest(size(toks) - 1, 0) div {BLOCK}),"
-        f" b -> slice(toks, cast(b * {BLOCK} + 1 as int), {BLOCK}))"
-    )
-    blocks = docs.select("take_id", F.posexplode(cut).alias("blk", "part"))
-    blocks = blocks.withColumn("blk", F.col("blk").cast("bigint")).repartition("take_id", "blk")
-    return blocks.select("take_id", "blk", F.posexplode("part").alias("at", "text")).filter(
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("take_id"),
+                                                    F.expr(TOKENS).alias("toks"))
+    last = f"greatest(size(toks) - 1, 0) div {BLOCK}"
+    part = f"slice(toks, cast(b * {BLOCK} + 1 as int), {BLOCK})"
+    if not timed:
+        cut = f"transform(sequence(0, {last}), b -> named_struct('part', {part}))"
+    else:
+        step = f"{duration('x')} + {gap('x', 'acc.idx')}"
+        docs = docs.withColumn("sums", F.expr(
+            f"CASE WHEN size(toks) > {BLOCK} THEN transform(sequence(0, {last} - 1), b ->"
+            f" aggregate({part}, named_struct('ms', 0L, 'idx', b * {BLOCK}L),"
+            f" (acc, x) -> named_struct('ms', acc.ms + {step}, 'idx', acc.idx + 1L)).ms) END"))
+        cut = (f"transform(sequence(0, {last}), b -> named_struct('part', {part}, 'carry',"
+               " coalesce(aggregate(slice(sums, 1, cast(b as int)), 0L, (acc, x) -> acc + x), 0L)))")
+    out = docs.select("take_id", F.posexplode(F.expr(cut)).alias("blk", "b"))
+    return out.select("take_id", F.col("blk").cast("bigint").alias("blk"), "b.*").repartition(
+        "take_id", "blk")
+
+
+def _exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select("take_id", "blk", *keep, F.posexplode("part").alias("at", "text")).filter(
         "text <> ''").select(
-        "take_id", "blk", (F.col("blk") * BLOCK + F.col("at")).alias("idx"), "text"
-    )
+        "take_id", "blk", (F.col("blk") * BLOCK + F.col("at")).alias("idx"), "text", *keep)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(take_id, blk, idx, text): words in order, spread by block of a take."""
+    return _exploded(blocks(spark, sf_dir))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(take_id, blk, idx, start_ms, end_ms, text, hinglish, devanagari)."""
-    timed = tokens(spark, sf_dir).withColumn("dur_", F.expr(DURATION))
-    timed = timed.withColumn("step_", F.col("dur_") + F.expr(GAP))
-    timed = running(timed, ["take_id"], "blk", ["idx"], sums={"start_ms": F.col("step_")})
+    """(take_id, blk, idx, start_ms, end_ms, text, hinglish, devanagari); one read, one shuffle."""
+    timed = _exploded(blocks(spark, sf_dir, timed=True), "carry").withColumn(
+        "dur_", F.expr(DURATION))
+    before = Window.partitionBy("take_id", "blk").orderBy("idx").rowsBetween(
+        Window.unboundedPreceding, -1)
+    spent = F.sum(F.col("dur_") + F.expr(GAP)).over(before)
+    start = F.col("carry") + F.coalesce(spent, F.lit(0))
     missing = F.lit(None).cast("string")
-    return timed.select(
+    return timed.withColumn("start_ms", start).select(
         "take_id", "blk", "idx", "start_ms", (F.col("start_ms") + F.col("dur_")).alias("end_ms"),
         "text", missing.alias("hinglish"), missing.alias("devanagari"),
     )
