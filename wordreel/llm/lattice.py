@@ -144,43 +144,61 @@ class Lattice:
     end: np.ndarray         # ascending; single bytes reach every place
     piece: np.ndarray
 
-    def _layers(self) -> np.ndarray:
-        return np.searchsorted(self.end, np.arange(1, self.size + 2) * self.n)
+    def _first(self) -> np.ndarray:
+        """Where the pieces of every place but the words' starts begin, and the end of all."""
+        return np.searchsorted(self.end, np.arange(self.n, self.n * (self.size + 1) + 1))
 
-    def forward(self, log_p: np.ndarray) -> np.ndarray:
+    def forward(self, log_p: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log of the summed weight of all paths to every place."""
-        alpha = np.zeros(self.n * (self.size + 1))
-        layer = self._layers()
+        n = self.n
+        alpha = np.zeros(n * (self.size + 1))
         weight = log_p[self.piece]
-        for a, b in zip(layer, layer[1:]):
+        for t in range(self.size):
+            a, b = first[t * n], first[(t + 1) * n]
+            own = first[t * n: (t + 1) * n] - a
             x = alpha[self.start[a:b]] + weight[a:b]
-            to = self.end[a:b]
-            new = np.ones(b - a, bool)
-            new[1:] = to[1:] != to[:-1]
-            first = np.flatnonzero(new)
-            top = np.maximum.reduceat(x, first)
-            x = np.exp(x - np.repeat(top, np.diff(first, append=b - a)))
-            alpha[to[first]] = top + np.log(np.add.reduceat(x, first))
+            top = np.maximum.reduceat(x, own)
+            x -= top[self.end[a:b] - (t + 1) * n]
+            alpha[(t + 1) * n: (t + 2) * n] = top + np.log(np.add.reduceat(np.exp(x), own))
         return alpha
 
-    def log_likelihood(self, log_p: np.ndarray) -> np.ndarray:
-        return self.forward(log_p)[-self.n:]
+    def log_likelihood(self, *log_p: np.ndarray) -> list[np.ndarray]:
+        """Log weight of every word, under each of several sets of weights."""
+        first = self._first()
+        return [self.forward(w, first)[-self.n:] for w in log_p]
 
     def expected(self, log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected uses of every piece over words that occur `times` times."""
-        alpha = self.forward(log_p)
+        n, first = self.n, self._first()
+        alpha = self.forward(log_p, first)
         share = np.exp(alpha[self.start] + log_p[self.piece] - alpha[self.end])
-        visits = np.zeros(self.n * (self.size + 1))
-        visits[-self.n:] = times
-        layer = self._layers()
-        for a, b in zip(layer[-2::-1], layer[:0:-1]):
+        visits = np.zeros(n * (self.size + 1))
+        visits[-n:] = times
+        for t in range(self.size - 1, -1, -1):
+            a, b = first[t * n], first[(t + 1) * n]
             share[a:b] *= visits[self.end[a:b]]
-            visits[: self.end[a]] += np.bincount(self.start[a:b], share[a:b],
-                                                 minlength=self.end[a])
+            # a piece begins at most its own length before
+            low = max(0, t + 1 - MAX_PIECE) * n
+            visits[low: (t + 1) * n] += np.bincount(self.start[a:b] - low, share[a:b],
+                                                    minlength=(t + 1) * n - low)
         return np.bincount(self.piece, share, minlength=len(log_p))
 
 
-def same_length(words: list[bytes], rows: int = 2_048) -> Iterator[np.ndarray]:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together, so that words of one length are many at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def same_length(words: list[bytes], rows: int = 4_096) -> Iterator[np.ndarray]:
     """Indexes of words of one length, as many at a time as make a small lattice."""
     size = np.array([len(w) for w in words], np.int64)
     order = np.argsort(size, kind="stable")
@@ -200,31 +218,29 @@ def word_counts(docs: DataFrame, groups: int) -> DataFrame:
 
     A null grp is held out: its words count in `everywhere` only.
     """
-    names = ["word", "everywhere", "trained", *[f"c{g}" for g in range(groups)]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses = [Counter() for _ in range(groups + 1)]       # the last is held out
 
-        def flush() -> pa.RecordBatch:
-            words = list(set().union(*uses))
-            by = [np.fromiter((c[w] for w in words), np.int64, len(words)) for c in uses]
-            trained = sum(by[:-1], np.zeros(len(words), np.int64))
-            for c in uses:
+        def flush() -> Iterator[pa.RecordBatch]:
+            for g, c in enumerate(uses):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c.keys()), pa.binary()), pa.array([g] * len(c), pa.int32()),
+                     pa.array(list(c.values()), pa.int64())], names=["word", "grp", "n"])
                 c.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()),
-                 *map(pa.array, [trained + by[-1], trained, *by[:-1]])], names=names)
 
         for batch in batches:
             for text, g in zip(batch.column(0), batch.column(1).to_pylist()):
                 uses[-1 if g is None else g].update(tokens(text.as_py() or ""))
                 if sum(map(len, uses)) > FLUSH:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
-    schema = "word binary, " + ", ".join(f"{n} bigint" for n in names[1:])
-    return (docs.select("text", "grp").mapInArrow(run, schema)
-            .groupBy("word").agg(*[F.sum(n).alias(n) for n in names[1:]]))
+    counted = docs.select("text", "grp").mapInArrow(run, "word binary, grp int, n bigint")
+    own = lambda g: F.sum(F.when(F.col("grp") == g, F.col("n")).otherwise(0))
+    return counted.groupBy("word").agg(
+        F.sum("n").alias("everywhere"),
+        F.sum(F.when(F.col("grp") < groups, F.col("n")).otherwise(0)).alias("trained"),
+        *[own(g).alias(f"c{g}") for g in range(groups)])
 
 
 def fit(words: DataFrame, path: str, groups: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -242,7 +258,7 @@ def fit(words: DataFrame, path: str, groups: int, rounds: int = ROUNDS) -> np.nd
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = Pieces(path)
             sums = np.zeros_like(sent.value)
-            for batch in batches:
+            for batch in gathered(batches):
                 ws = batch.column(0).to_pylist()
                 for g in range(groups):
                     own = np.flatnonzero(batch.column(g + 1).to_numpy() > 0)
@@ -273,13 +289,11 @@ def word_paths(words: DataFrame, log_p: np.ndarray, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for batch in batches:
+        for batch in gathered(batches):
             ws = batch.column(0).to_pylist()
             out = np.zeros((len(names), len(ws)))
             for part in same_length(ws):
-                lattice = pieces.lattice([ws[i] for i in part])
-                for g, weights in enumerate(sent.value):
-                    out[g, part] = lattice.log_likelihood(weights)
+                out[:, part] = pieces.lattice([ws[i] for i in part]).log_likelihood(*sent.value)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *[pa.array(x / math.log(10)) for x in out]],
                 names=[*batch.schema.names, *names])
