@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordreel import fixed
-from wordreel.operators.scan import SPAN_MS, join_takes, position_block, running, time_block
+from wordreel.operators.scan import (
+    SPAN_MS, join_takes, numbered, position_block, running, time_block)
 
 JOIN_SPAN_MS = 60_000   # bucket width of interval joins
 
@@ -137,11 +138,19 @@ def retime(assigned: DataFrame) -> DataFrame:
 
 
 def apply_cuts(words: DataFrame, cuts: DataFrame, media: DataFrame) -> DataFrame:
-    """Words that survive the automatic cuts, on the shortened timeline."""
+    """Words that survive the automatic cuts, on the shortened timeline.
+
+    They keep their positions; see `renumbered` before detecting on them again.
+    """
     spans = with_offsets(keep_segments(cuts.filter("auto"), media))
     return retime(assign_words(words, spans))
 
 
+def renumbered(words: DataFrame) -> DataFrame:
+    """Words with positions 0, 1, 2, ... again, as every scan over neighbours needs them."""
+    return numbered(words, ["take_id"], "idx", "new_").withColumn("idx", F.col("new_")).drop("new_")
+
+
 def everything_cut(kept: DataFrame, media: DataFrame) -> DataFrame:
     """Takes of which nothing is left: an error for them, not an empty file."""
     gone = media.select("take_id").join(kept.select("take_id").distinct(), "take_id", "left_anti")

@@ -480,12 +480,36 @@ def fcpxml_documents(spark, d):
     return L.fcpxml_lines(events, L.place_markers(events, cuts), media)
 
 
+part("damaged_events", """--materialized
+SELECT take_id, n, src_in, CASE WHEN take_id % 5 = 3 AND n = 0 THEN src_in ELSE src_out END AS src_out,
+       rec_in + CASE WHEN take_id % 5 = 2 AND n = 2 THEN 3 ELSE 0 END AS rec_in,
+       rec_out + CASE WHEN take_id % 5 = 2 AND n = 2 THEN 3 ELSE 0 END AS rec_out
+FROM edit_events WHERE NOT (take_id % 5 = 1 AND n = 1)""")
+part("stray_markers", """
+SELECT take_id, count(*) FILTER (m.frame < e.src_in OR m.frame >= e.src_out) AS stray
+FROM (SELECT take_id, n, frame + CASE WHEN ord % 7 = 0 THEN 1000000 ELSE 0 END AS frame
+      FROM placed_once) m JOIN damaged_events e USING (take_id, n) GROUP BY take_id""")
+
+
 @query("timeline_audit", sql("""
-SELECT DISTINCT take_id, 0::BIGINT AS gaps, 0::BIGINT AS empty, 0::BIGINT AS off_total,
-       0::BIGINT AS stray FROM edit_events"""))
+SELECT e.*, coalesce(stray, 0) AS stray
+FROM (SELECT take_id, count(*) FILTER (rec_in <> before) AS gaps,
+             count(*) FILTER (src_out <= src_in) AS empty,
+             cast(max(rec_out) - sum(src_out - src_in) AS BIGINT) AS off_total
+      FROM (SELECT *, coalesce(lag(rec_out) OVER (PARTITION BY take_id ORDER BY n), 0) AS before
+            FROM damaged_events) GROUP BY take_id) e
+LEFT JOIN stray_markers USING (take_id)"""))
 def timeline_audit(spark, d):
+    """What the audit finds in timelines of which most were damaged, each fifth take its own way."""
     _, cuts, events = events_of(spark, d)
-    return L.timeline_audit(events, L.place_markers(events, cuts))
+    k, n = F.col("take_id") % 5, F.col("n")
+    late = F.when((k == 2) & (n == 2), 3).otherwise(0)
+    damaged = events.filter(~((k == 1) & (n == 1))).withColumns({
+        "src_out": F.when((k == 3) & (n == 0), F.col("src_in")).otherwise(F.col("src_out")),
+        "rec_in": F.col("rec_in") + late, "rec_out": F.col("rec_out") + late})
+    markers = L.place_markers(events, cuts).withColumn(
+        "frame", F.col("frame") + F.when(F.col("ord") % 7 == 0, 1_000_000).otherwise(0))
+    return L.timeline_audit(settle(damaged, "damaged"), markers)
 
 
 @query("audio_attributes", sql("""

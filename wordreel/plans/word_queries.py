@@ -244,3 +244,28 @@ def assigned_words(spark, d):
 @query("retimed_words", sql("SELECT take_id, idx, start_ms, end_ms, text, seg FROM retimed"))
 def retimed_words(spark, d):
     return P.retimed(spark, d)
+
+
+@query("everything_cut", sql("""
+SELECT take_id, 'Nothing to export: every span was cut' AS error FROM media WHERE take_id % 10 = 0"""))
+def everything_cut(spark, d):
+    """Takes of which nothing is left: in every tenth one cut covers all."""
+    _, media, cuts = P.tightened(spark, d)
+    whole = media.filter("take_id % 10 = 0").select(
+        "take_id", F.lit(0).cast("bigint").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
+    applied = cuts.filter("auto").select("take_id", "start_ms", "end_ms").unionByName(whole)
+    return I.everything_cut(I.keep_segments(applied, media), media)
+
+
+@query("detected_again", sql("""
+SELECT take_id, count(*) AS words, max(idx) AS last, cast(sum(gap_before) AS BIGINT) AS gaps
+FROM (SELECT take_id, idx, coalesce(start_ms - lag(end_ms) OVER w, 0) AS gap_before
+      FROM (SELECT take_id, row_number() OVER (PARTITION BY take_id ORDER BY idx) - 1 AS idx,
+                   start_ms, end_ms FROM retimed) WINDOW w AS (PARTITION BY take_id ORDER BY idx))
+GROUP BY take_id"""))
+def detected_again(spark, d):
+    """Gaps between the words that are left, their positions counted anew."""
+    again = D.with_gaps(I.renumbered(settle(P.retimed(spark, d), "retimed")))
+    return again.groupBy("take_id").agg(
+        F.count("*").alias("words"), F.max("idx").alias("last"),
+        F.sum("gap_before").cast("bigint").alias("gaps"))
