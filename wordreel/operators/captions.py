@@ -203,8 +203,8 @@ def word_events(display: DataFrame, styles: DataFrame, m: Markup) -> DataFrame:
     the rest of the style joins the finished cues.
     """
     per_line = styles.select("style_id", F.col("style.words_per_line").alias("per_line"))
-    sized = join_takes(display, per_line, "rn", on="style_id")
-    rows = join_takes(chunks(sized, F.col("per_line"), "style_id"), styles, "cue", on="style_id")
+    sized = join_takes(display, per_line, on="style_id")
+    rows = join_takes(chunks(sized, F.col("per_line"), "style_id"), styles, on="style_id")
     karaoke = m.animation == "karaoke"
     single = rows.select("take_id", "style", "said", F.posexplode("said").alias("at", "word")).filter(
         ~karaoke | (F.col("at") == 0))

@@ -90,7 +90,7 @@ def rank_clips(listed: DataFrame, *keys: str) -> DataFrame:
 
 def clamp_clips(clips: DataFrame, media: DataFrame, on: str = "video_id") -> DataFrame:
     """Hold the window inside the video; the end is at least a second after the start."""
-    held = join_takes(clips, media.select(on, "duration_ms"), "start_ms", on=on)
+    held = join_takes(clips, media.select(on, "duration_ms"), on=on)
     start = F.greatest(F.lit(0), F.least(F.coalesce("start_ms", F.lit(0)), "duration_ms"))
     end = F.least(F.coalesce("end_ms", F.lit(10_000)), "duration_ms")
     return held.withColumn("start_ms", start).withColumn(
@@ -100,8 +100,8 @@ def clamp_clips(clips: DataFrame, media: DataFrame, on: str = "video_id") -> Dat
 def audit_clips(clips: DataFrame, media: DataFrame, limits: DataFrame,
                 on: str = "video_id") -> DataFrame:
     """Report columns per clip: what was asked of the model, now checked. No row is dropped."""
-    held = join_takes(clips, media.select(on, "duration_ms"), "clip_id", on=on)
-    held = join_takes(held, limits.select(on, "min_len", "max_len"), "clip_id", on=on)
+    held = join_takes(clips, media.select(on, "duration_ms"), on=on)
+    held = join_takes(held, limits.select(on, "min_len", "max_len"), on=on)
     blocked = held.withColumn("blk_", time_block("start_ms"))
     seen = running(blocked, [on], "blk_", ["start_ms", "end_ms", "clip_id"],
                    maxima={"reach": F.col("end_ms")})
@@ -187,8 +187,8 @@ def dedupe_requests(requests: DataFrame, done: DataFrame) -> DataFrame:
     keyed = requests.withColumn("key", request_key())
     first = keyed.groupBy("key").agg(F.min("request_id").alias("first"))
     owner = first.join(done.select("key", F.col("job_id").alias("finished")), "key", "left")
-    salted = join_takes(keyed, owner, "request_id", on="key")
-    return salted.withColumn("cached", F.col("finished").isNotNull()).withColumn(
+    owned = join_takes(keyed, owner, on="key")
+    return owned.withColumn("cached", F.col("finished").isNotNull()).withColumn(
         "job", F.coalesce("finished", "first")).drop("finished", "first")
 
 

@@ -212,7 +212,7 @@ def score(near: DataFrame, cfg: TightenConfig = TightenConfig()) -> DataFrame:
         .withColumn("nearby", F.count("*").over(w))
         .filter(F.col("bin_") == home)
     )
-    counted = join_takes(counted, typical, "idx", "left", on=["take_id", "token"])
+    counted = join_takes(counted, typical, how="left", on=["take_id", "token"])
     drawn_out = (F.col("median_ms") > 0) & (
         (F.col("end_ms") - F.col("start_ms")) * 10 >= F.col("median_ms") * fixed.DRAWN_OUT_TIMES_TEN)
     points = (
@@ -246,7 +246,7 @@ def detect(words: DataFrame, silences: DataFrame | None = None, media: DataFrame
     if cfg.silence and silences is None:
         in_pass.append(_gap_cut(cfg))
     elif cfg.silence:
-        context = join_takes(context, media.select("take_id", "measured"), "idx", "left")
+        context = join_takes(context, media.select("take_id", "measured"), how="left")
         in_pass.append(F.when(~F.coalesce("measured", F.lit(False)), _gap_cut(cfg)))
     if cfg.fillers:
         in_pass.append(_sound_cut(lexicon))
@@ -282,7 +282,7 @@ def merge_cuts(cuts: DataFrame, media: DataFrame | None = None,
     pad = cfg.edge_padding_ms
     end = F.col("end_ms") + pad
     if media is not None:
-        cuts = join_takes(cuts, media.select("take_id", "duration_ms"), "start_ms", "left")
+        cuts = join_takes(cuts, media.select("take_id", "duration_ms"), how="left")
         end = F.least(end, F.col("duration_ms"))
     padded = cuts.withColumns({
         "a": F.greatest(F.lit(0), F.col("start_ms") - pad), "b": end,

@@ -57,7 +57,7 @@ def keep_segments(cuts: DataFrame, media: DataFrame) -> DataFrame:
     between = join_takes(
         held.select("take_id", F.greatest(F.lit(0), F.coalesce("reach", F.lit(0))).alias("pos"),
                     F.col("start_ms").alias("next")).filter("next > pos"),
-        lengths, "pos",
+        lengths,
     ).select("take_id", F.col("pos").alias("start_ms"),
              F.least("next", "duration_ms").alias("end_ms"))
     last = cuts.groupBy("take_id").agg(F.max("end_ms").alias("reach"))

@@ -121,7 +121,7 @@ def purged_jobs(jobs: DataFrame, now: Column, age: int = fixed.JOB_TTL_SECONDS)
 
 def user_objects(listing: DataFrame, users: DataFrame) -> DataFrame:
     """Everything stored for the given users, for deletion of their accounts."""
-    return join_takes(listing, users.select("user_id").distinct(), "path", on="user_id")
+    return join_takes(listing, users.select("user_id").distinct(), on="user_id")
 
 
 def owned() -> Column:

@@ -55,11 +55,13 @@ def phrase_bounds_punct(words: DataFrame) -> DataFrame:
     return words.withColumn("boundary", ends_clause(shown) | (strip(shown) == ""))
 
 
-def phrases(bounded: DataFrame, max_tokens: int | None = None) -> DataFrame:
-    """(take_id, i0, i1, start_ms, end_ms, text, tokens) of phrases that have a token.
+def phrases(bounded: DataFrame, max_tokens: int = fixed.MAX_WORDS) -> DataFrame:
+    """(take_id, i0, i1, start_ms, end_ms, n, text, tokens) of phrases that have a token.
 
-    Pieces of phrases are put together per block of words first. With
-    `max_tokens`, longer phrases are counted but never collected.
+    `n` counts the tokens; phrases of more than `max_tokens` have no text and no
+    list of tokens, as a take without any pause is one phrase. Their words are the
+    rows of `bounded` between i0 and i1. Pieces of phrases are put together per
+    block of words first.
     """
     base = bounded.select("take_id", "idx", "start_ms", "end_ms", "boundary",
                           position_block("idx").alias("blk"), display_text().alias("raw"))
@@ -73,18 +75,17 @@ def phrases(bounded: DataFrame, max_tokens: int | None = None) -> DataFrame:
         .agg(F.count_if(F.col("token") != "").alias("n"), F.max("idx").alias("last"),
              F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"),
              F.collect_list(word).alias("said"))
-    )
-    if max_tokens is not None:
-        pieces = pieces.withColumn("said", F.when(F.col("n") <= max_tokens, F.col("said")))
+    ).withColumn("said", F.when(F.col("n") <= max_tokens, F.col("said")))
     whole = pieces.groupBy("take_id", "i0").agg(
         F.sum("n").alias("n"), (F.max("last") + 1).alias("i1"),
         F.min_by("start_ms", "blk").alias("start_ms"), F.max_by("end_ms", "blk").alias("end_ms"),
         F.array_sort(F.flatten(F.collect_list("said"))).alias("said"),
-    ).filter("n > 0" if max_tokens is None else f"n BETWEEN 1 AND {max_tokens}")
+    ).filter("n > 0")
+    short = F.col("n") <= max_tokens
     return whole.select(
-        "take_id", "i0", "i1", "start_ms", "end_ms",
-        strip(F.array_join(F.col("said.raw"), " ")).alias("text"),
-        F.array_compact(F.col("said.token")).alias("tokens"))
+        "take_id", "i0", "i1", "start_ms", "end_ms", "n",
+        F.when(short, strip(F.array_join(F.col("said.raw"), " "))).alias("text"),
+        F.when(short, F.array_compact(F.col("said.token"))).alias("tokens"))
 
 
 def numbered_phrases(found: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def usable(found: DataFrame) -> DataFrame:
 
 
 def usable_of(bounded: DataFrame) -> DataFrame:
-    fit = phrases(bounded, fixed.MAX_WORDS).filter(F.size("tokens") >= fixed.MIN_WORDS)
+    fit = phrases(bounded).filter(F.col("n").between(fixed.MIN_WORDS, fixed.MAX_WORDS)).drop("n")
     return usable(settle(fit, "phrases"))
 
 
@@ -157,7 +158,7 @@ def groups(links: DataFrame) -> DataFrame:
     while True:
         moved = Observation()
         jump = ends.select("take_id", F.col("j").alias("root"), F.col("root").alias("further"))
-        ends = settle(join_takes(ends, jump, "j", "left", on=["take_id", "root"]).observe(
+        ends = settle(join_takes(ends, jump, how="left", on=["take_id", "root"]).observe(
             moved, F.count("further").alias("n")).select(
             "take_id", "j", F.coalesce("further", "root").alias("root")), "links")
         if not moved.get["n"]:
@@ -166,7 +167,7 @@ def groups(links: DataFrame) -> DataFrame:
     order = numbered(opened, ["take_id"], "opened", "grp")
     members = ends.select("take_id", "root", "j").unionByName(
         opened.select("take_id", "root", F.col("root").alias("j")))
-    return join_takes(members, order.select("take_id", "root", "grp"), "j",
+    return join_takes(members, order.select("take_id", "root", "grp"),
                       on=["take_id", "root"]).select("take_id", "grp", "j")
 
 
@@ -235,7 +236,7 @@ def verdicts(replies: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def retake_cuts(members: DataFrame, judged: DataFrame) -> DataFrame:
     """Every attempt but the one kept, always as a suggestion."""
-    both = join_takes(members, judged.drop("reason"), "j", on=["take_id", "grp"])
+    both = join_takes(members, judged.drop("reason"), on=["take_id", "grp"])
     return both.filter(F.col("at") != F.col("keep")).select(
         "take_id", "start_ms", "end_ms", F.lit("retake").alias("reason"), "confidence_pct",
         F.substring("text", 1, 120).alias("text"), F.lit(False).alias("auto"),
@@ -244,7 +245,7 @@ def retake_cuts(members: DataFrame, judged: DataFrame) -> DataFrame:
 
 def retake_report(members: DataFrame, judged: DataFrame) -> DataFrame:
     """One row per attempt of a confirmed group, and whether it is dropped."""
-    both = join_takes(members, judged, "j", on=["take_id", "grp"])
+    both = join_takes(members, judged, on=["take_id", "grp"])
     return both.select("take_id", "grp", "at", "keep", "confidence_pct", "reason", "start_ms",
                        "end_ms", "text", (F.col("at") != F.col("keep")).alias("dropped"))
 

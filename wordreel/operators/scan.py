@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 4096            # rows of one take per block of positions
 SPAN_MS = 600_000       # width of one block of time
-SALTS = 16              # copies of a take-level row in a salted join
 
 
 def position_block(position: str | Column, size: int = BLOCK) -> Column:
@@ -126,16 +125,12 @@ def numbered(df: DataFrame, keys: Sequence[str], position: str, name: str,
     return running(out, keys, "blk_", [position], sums={name: F.lit(1)}).drop("blk_")
 
 
-def join_takes(df: DataFrame, takes: DataFrame, spread: str | Column, how: str = "inner",
-               on: str | Sequence[str] = "take_id", parts: int = SALTS) -> DataFrame:
-    """Join rows of many kinds of takes to one row per take, salted.
+def join_takes(df: DataFrame, takes: DataFrame, how: str = "inner",
+               on: str | Sequence[str] = "take_id") -> DataFrame:
+    """Join rows of all kinds of takes to one row per take.
 
-    The take side is repeated `parts` times and the rows of a hot take spread
-    over them by `spread`. Where Spark sees that the take side is small it still
-    broadcasts it, behind its own size check.
+    Where Spark sees that the take side is small it broadcasts it, behind its own
+    size check; else adaptive execution splits the rows of a hot take over
+    several tasks, as nothing above this join needs them together.
     """
-    keys = [on] if isinstance(on, str) else list(on)
-    spread = F.col(spread) if isinstance(spread, str) else spread
-    salted = takes.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    tagged = df.withColumn("salt_", F.pmod(F.hash(spread), F.lit(parts)))
-    return tagged.join(salted, [*keys, "salt_"], how).drop("salt_")
+    return df.join(takes, [on] if isinstance(on, str) else list(on), how)

@@ -30,14 +30,14 @@ def styled(words):
 
 def cue_rows(spark, d):
     per_line = styles_of(C.presets(spark)).select("style_id", "style.words_per_line")
-    shown = join_takes(styled(T.words(spark, d)), per_line, "rn", on="style_id")
+    shown = join_takes(styled(T.words(spark, d)), per_line, on="style_id")
     return C.cues(shown, F.col("words_per_line"))
 
 
 def heads_of(spark, d, styles, head):
     """The head of every take's document, also where nothing can be shown."""
     takes = T.media(spark, d).select("take_id", (F.col("take_id") % 4).alias("style_id"))
-    return join_takes(takes, styles, "take_id", on="style_id").select("take_id", head.alias("head"))
+    return join_takes(takes, styles, on="style_id").select("take_id", head.alias("head"))
 
 
 def style_requests(spark, d):

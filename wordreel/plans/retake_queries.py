@@ -101,8 +101,10 @@ SELECT take_id, max(grp) + 1 AS found, least(12, max(grp) + 1) AS asked,
        greatest(0, max(grp) + 1 - 12) AS skipped FROM members GROUP BY take_id""")
 
 PHRASE_SQL = """
-SELECT take_id, i0, i1, start_ms, end_ms, trim(text) AS text,
-       array_to_string(tokens, ' ') AS tokens FROM all_phrases"""
+SELECT take_id, i0, i1, start_ms, end_ms, len(tokens) AS n,
+       CASE WHEN len(tokens) <= 40 THEN trim(text) END AS text,
+       CASE WHEN len(tokens) <= 40 THEN array_to_string(tokens, ' ') END AS tokens
+FROM all_phrases"""
 
 
 def _flat(df):

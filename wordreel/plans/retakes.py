@@ -20,7 +20,7 @@ def bounded_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = settle(T.words(spark, sf_dir), "words")
     by_pause = R.phrase_bounds_measured(w, T.pauses(w)).withColumnRenamed("boundary", "paused")
     both = join_takes(R.phrase_bounds_punct(by_pause),
-                      T.media(spark, sf_dir).select("take_id", "measured"), "idx")
+                      T.media(spark, sf_dir).select("take_id", "measured"))
     return both.withColumn("boundary", F.when(F.col("measured"), F.col("paused"))
                            .otherwise(F.col("boundary")))
 

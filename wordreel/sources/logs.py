@@ -15,11 +15,17 @@ TRACK_LANGUAGES = ("en", "en-US", "en-GB")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(take_id, line_no, line): one file per take, lines numbered within it."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("take_id"), F.split("value", "\r?\n").alias("lines"))
-    return files.select("take_id", F.posexplode("lines").alias("line_no", "line")).withColumn(
-        "line_no", F.col("line_no").cast("bigint"))
+    """(take_id, line_no, line): one file per take, lines numbered within it.
+
+    A long file is read by several tasks; lines are counted in each of their
+    pieces, then by what the pieces before hold.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("take_id"),
+        F.col("_metadata.file_block_start").alias("blk_"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return running(rows, ["take_id"], "blk_", ["at"], sums={"line_no": F.lit(1)}).select(
+        "take_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
 def silences_from_log(lines: DataFrame) -> DataFrame:

@@ -82,5 +82,5 @@ def write_transcripts(words: DataFrame, path: str) -> None:
 
 def clamp_words(words: DataFrame, media: DataFrame) -> DataFrame:
     """Hold word ends inside the clip."""
-    held = join_takes(words, media.select("take_id", "duration_ms"), "idx")
+    held = join_takes(words, media.select("take_id", "duration_ms"))
     return held.withColumn("end_ms", F.least("end_ms", "duration_ms")).drop("duration_ms")
