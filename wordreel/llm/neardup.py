@@ -3,11 +3,12 @@
 Pass 1 counts in how many documents each five-word shingle stands, in a table of
 a fixed number of hashed counters. Pass 2 draws improved consistent weighted
 samples of each document's weighted shingles; samples are banded into keys. What
-is compared is linear in the number of keys: every text of a bucket with the most
-central text of it, and the same in the narrower buckets of two adjacent keys.
-Pairs are verified by exact weighted Jaccard similarity, linked texts get one
-class, and classes that still meet in a narrow bucket are compared by their most
-central texts until nothing new links.
+is compared stays linear in the number of keys: first every text with the most
+central text that it shares a bucket with. Pairs are verified by exact weighted
+Jaccard similarity and linked texts get one class. Then, until nothing new links,
+the classes of a bucket are compared through the most central text that each has
+in it, all with the foremost class of the bucket; the same in the narrower buckets
+of two keys, adjacent ones and ones further apart, where other texts lead.
 
 Equal texts are one node from the start, so copies cost nothing beyond their rows.
 """
@@ -26,6 +27,7 @@ from wordreel.session import settle
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 3, 14         # 0.8 similar texts share a band with probability 0.9999
+STEPS = (1, 5)              # how far apart the keys of a narrow bucket stand
 COUNTERS = 1 << 18          # hashed document-frequency counters
 IDF_SHARE = 0.25            # how much the rarest shingle weighs more than one that all texts have
 SAMPLES = 1 << 16           # size of the tables that the samples' random numbers come from
@@ -247,12 +249,37 @@ def components(links: DataFrame) -> DataFrame:
         state = done.select("node", "class")
 
 
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`classes` after more links; only classes that one of them touches are looked at."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = settle(ends.join(classes, "node", "left").withColumn(
+        "class", F.coalesce("class", "node")), "ends")
+    between = (links.join(named.select(F.col("node").alias("a"), F.col("class").alias("from")), "a")
+               .join(named.select(F.col("node").alias("b"), F.col("class").alias("to")), "b")
+               .filter(F.col("from") != F.col("to"))
+               .select(F.col("from").alias("a"), F.col("to").alias("b")))
+    moved = components(between).select(F.col("node").alias("class"), F.col("class").alias("now"))
+    every = classes.unionByName(named.join(classes, "node", "left_anti").select("node", "class"))
+    return settle(every.join(moved, "class", "left").select(
+        "node", F.coalesce("now", "class").alias("class")), "classes")
+
+
 def _stars(buckets: DataFrame, centre: DataFrame) -> DataFrame:
-    """(a, b): every node of a bucket of (key, node) with the most central one."""
+    """(a, b, n): every node of a bucket of (key, node) with the most central one."""
     ranked = buckets.join(centre, "node")
     leader = ranked.groupBy("key").agg(F.max(F.struct("n", "node")).alias("top"))
-    return (buckets.join(leader.select("key", F.col("top.node").alias("a")), "key")
-            .filter("a <> node").select("a", F.col("node").alias("b")))
+    return (buckets.join(leader.select("key", F.col("top.node").alias("a"),
+                                       F.col("top.n").alias("n")), "key")
+            .filter("a <> node").select("a", F.col("node").alias("b"), "n"))
+
+
+def _fronts(buckets: DataFrame, centre: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, class, node): of each class in a bucket that has several the most central node."""
+    placed = (buckets.join(centre, "node").join(classes, "node", "left")
+              .withColumn("class", F.coalesce("class", "node")))
+    top = placed.groupBy("key", "class").agg(F.max(F.struct("n", "node")).alias("top"))
+    several = top.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return top.join(several, "key").select("key", "class", F.col("top.node").alias("node"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -276,19 +303,22 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     idf = spark.sparkContext.broadcast(idf_table(rows))       # 1 MB, whatever the data
     sketch = settle(sketches(rows, idf), "sketches")
-    nodes = sketch.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands")
-                                       .alias("bands"))
-
-    # wide buckets by one key, narrow ones by a key and the next
-    wide = nodes.select("node", F.posexplode("bands").alias("i", "key"), "bands")
-    wide = wide.select("node", "key", F.xxhash64(
-        "key", F.element_at("bands", (F.col("i") + 1) % F.size("bands") + 1)).alias("narrow"))
+    nodes = sketch.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
+        F.count(F.lit(1)).alias("copies"))
+
+    # wide buckets by one key, narrow ones by a key and another
+    with_key = lambda step: F.xxhash64("key", F.element_at(
+        "bands", (F.col("i") + step) % F.size("bands") + 1))
+    wide = nodes.select("node", F.posexplode("bands").alias("i", "key"), "bands").select(
+        "node", "key", F.array(*[with_key(step) for step in STEPS]).alias("narrow"))
     sizes = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = settle(wide.join(sizes, "key"), "members")
     centre = settle(members.groupBy("node").agg(F.sum("n").alias("n")), "centre")
-    in_narrow = members.select(F.col("narrow").alias("key"), "node")
-    first = _stars(members.select("key", "node"), centre).unionByName(_stars(in_narrow, centre))
-    tried = settle(_ordered(first), "pairs")
+    in_wide, in_narrow = members.select("key", "node"), members.select(
+        F.explode("narrow").alias("key"), "node")
+    nearest = _stars(in_wide, centre).groupBy("b").agg(F.max(F.struct("n", "a")).alias("top"))
+    tried = settle(_ordered(nearest.select(F.col("top.a").alias("a"), "b")), "pairs")
 
     # the text of one row of every node that any bucket compares
     wanted = centre.select("node").join(nodes.select("node", "doc_id"), "node")
@@ -298,38 +328,28 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id",
                            & F.col("id_").eqNullSafe(F.col("doc_id")))
                    .select("node", "text"), "texts")
 
-    links = settle(verified(tried, texts, idf, least).distinct(), "links")
+    classes = components(verified(tried, texts, idf, least))
     while True:
-        classes = components(links)
-        placed = (in_narrow.join(centre, "node").join(classes, "node", "left")
-                  .withColumn("class", F.coalesce("class", "node")))
-        top = placed.groupBy("key", "class").agg(F.max(F.struct("n", "node")).alias("top"))
-        several = top.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        top = settle(top.join(several, "key").select("key", "class", F.col("top.node")
-                                                     .alias("node")), "fronts")
-        other = top.select("key", F.col("class").alias("class_b"), F.col("node").alias("b"))
-        new = settle(_ordered(top.join(other, "key").filter("class < class_b")
-                              .select(F.col("node").alias("a"), "b"))
-                     .join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = settle(verified(new, texts, idf, least).distinct(), "links")
+        fronts = settle(_fronts(in_wide, centre, classes).unionByName(
+            _fronts(in_narrow, centre, classes)), "fronts")
+        led = _stars(fronts.select("key", "node"), centre).select("a", "b")
+        new = settle(_ordered(led).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = settle(verified(new, texts, idf, least), "links")
         if found.isEmpty():
             break
-        links = settle(links.unionByName(found), "links")
+        classes = joined_classes(classes, found)
         tried = tried.unionByName(new)
 
-    ids = nodes.select("node", "doc_id").join(classes, "node", "left").withColumn(
+    ids = nodes.select("node", "doc_id", "copies").join(classes, "node", "left").withColumn(
         "class", F.coalesce("class", "node"))
     named = ids.groupBy("class").agg(
-        F.min("doc_id").alias("class_id"),
+        F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
-    ids = settle(ids.select("node", "class").join(named, "class").select(
-        "node", "class_id", F.col("first.node").alias("first_node")), "named")
-    out = sketch.select("doc_id", "node").join(ids, "node")
-    size = (out.groupBy("first_node").agg(F.count(F.lit(1)).alias("class_size")))
-    return out.join(size, "first_node").select(
+    ids = ids.select("node", "class").join(named, "class").select(
+        "node", "class_id", "class_size", (F.col("node") == F.col("first.node")).alias("named"))
+    return sketch.select("doc_id", "node").join(ids, "node").select(
         "doc_id", "node", "class_id", "class_size",
-        ((F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .alias("kept"))
+        (F.col("named") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id",
