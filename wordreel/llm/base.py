@@ -127,13 +127,15 @@ def tokenizer_file(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
-def bounded_sample(df: DataFrame, by: str, key: Column, rows: int) -> DataFrame:
-    """About `rows` rows of each value of `by`, chosen by the hash of `key`.
+def bounded_sample(df: DataFrame, by: str, key: Column, rows: int, values: int = 512) -> DataFrame:
+    """About `rows` rows of each of the `values` most frequent values of `by`.
 
-    One count per value, then a filter: no sort, no group in one task. Values
-    with fewer rows are kept whole; the result has about rows x values rows.
+    One count per value, then a filter by the hash of `key` against a table of
+    at most `values` rows: no sort, no group in one task, no shuffle of what the
+    rows hold. Values with fewer rows are kept whole.
     """
     spread = F.pmod(F.xxhash64(key), F.lit(1_000_000))
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n__"))
-    return (df.join(counts, by).filter(spread < F.lit(rows) * F.lit(1e6) / F.col("n__"))
-            .drop("n__"))
+    counts = (df.groupBy(by).agg(F.count(F.lit(1)).alias("n__"))
+              .orderBy(F.desc("n__"), by).limit(values))
+    return (df.join(F.broadcast(counts), by)
+            .filter(spread < F.lit(rows) * F.lit(1e6) / F.col("n__")).drop("n__"))

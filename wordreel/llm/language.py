@@ -55,7 +55,8 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text"
     # the counts that rank languages come from all rows, the text from the sample
     ranked = (rows.groupBy("l_").count().orderBy(F.desc("count"), "l_").limit(MAX_LANGUAGES)
               .collect())
-    sample = bounded_sample(rows.filter(rows.t_.rlike(r"\p{L}")), "l_", F.col("k_"), sample_docs)
+    sample = bounded_sample(rows.filter(rows.t_.rlike(r"\p{L}")), "l_", F.col("k_"), sample_docs,
+                            MAX_LANGUAGES)
     got: dict[str, list[tuple[int, str]]] = {}
     for k, t, l in sample.select(F.xxhash64("k_").alias("k"), F.substring("t_", 1, SAMPLE_CHARS),
                                  "l_").collect():
