@@ -127,3 +127,69 @@ def test_class_size_counts_rows(spark):
     n = got.groupBy("class_id").agg(F.count("*").alias("n"), F.max("class_size").alias("m"),
                                     F.sum(F.col("kept").cast("int")).alias("k"))
     assert n.filter("n <> m OR k <> 1").count() == 0
+
+
+def brute_classes(spark, docs, least=0.8):
+    """Components of documents by weighted Jaccard similarity of all pairs."""
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    idf = neardup.idf_table(df)
+    bounds, shingle, times = neardup.Shingler().sets([t for _, t in docs])
+    w = neardup.weights(shingle, times, idf)
+    names, token = np.unique(shingle, return_inverse=True)
+    total = np.array([w[a:b].sum() for a, b in zip(bounds, bounds[1:])])
+    dense = np.zeros((len(docs), len(names)), np.float32)
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        dense[i, token[a:b]] = w[a:b]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        mine = token[bounds[i]: bounds[i + 1]]
+        both = np.minimum(dense[i + 1:, mine], dense[i, mine]).sum(axis=1)
+        for j in np.flatnonzero(both >= least * (total[i] + total[i + 1:] - both)) + i + 1:
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    return df.repartition(5), {docs[i][0]: docs[r][0] for i, r in enumerate(root)}
+
+
+def families(n, seed):
+    """Texts of one template in pairs that are alike only to each other, and a chain of versions."""
+    rng = random.Random(seed)
+    said = lambda k: [f"s{rng.randrange(10**7)}" for _ in range(k)]
+    template, docs = said(70), []
+    for _ in range(n):
+        words = template + said(40)
+        docs.append(" ".join(words))
+        words[90 + rng.randrange(15)] = said(1)[0]
+        docs.append(" ".join(words))
+    version = said(100)
+    for _ in range(n):
+        version[rng.randrange(100)] = said(1)[0]
+        version[rng.randrange(100)] = said(1)[0]
+        docs.append(" ".join(version))
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_families_equal_brute_force(spark):
+    df, want = brute_classes(spark, families(700, 11))
+    assert len(set(want.values())) > 100
+    assert classes(df) == want
+
+
+def test_blocks_hold_every_pair(spark):
+    rng = random.Random(2)
+    rows = [("k", f"n{i:03}", "big" if i < 60 else f"n{i:03}", rng.uniform(20, 60), 100)
+            for i in range(150)]
+    df = spark.createDataFrame(
+        [(1, *r[1:]) for r in rows], "key bigint, node string, class string, weight double, size bigint")
+    met = set()
+    by_piece = {}
+    for r in neardup.block_pairs(df, 0.8, block=16).collect():
+        by_piece.setdefault(r["piece"], []).append((r["block"], r["node"]))
+    for piece in by_piece.values():
+        single = len({b for b, _ in piece}) == 1
+        assert len(piece) < 80
+        met |= {tuple(sorted((x, y))) for a, x in piece for b, y in piece
+                if x != y and (single or a != b)}
+    want = {(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and x[2] != y[2]
+            and min(x[3], y[3]) >= 0.8 * max(x[3], y[3])}
+    assert want <= met

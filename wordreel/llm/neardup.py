@@ -2,32 +2,36 @@
 
 Pass 1 counts in how many documents each five-word shingle stands, in a table of
 a fixed number of hashed counters. Pass 2 draws improved consistent weighted
-samples of each document's weighted shingles; samples are banded into keys. What
-is compared stays linear in the number of keys: first every text with the most
-central text that it shares a bucket with. Pairs are verified by exact weighted
-Jaccard similarity and linked texts get one class. Then, until nothing new links,
-the classes of a bucket are compared through the most central text that each has
-in it, all with the foremost class of the bucket; the same in the narrower buckets
-of two keys, adjacent ones and ones further apart, where other texts lead.
+samples of each document's weighted shingles; samples are banded into keys. First
+every text is compared with the most central text that it shares a bucket with.
+Pairs are verified by exact weighted Jaccard similarity and linked texts get one
+class. Then every bucket that still holds several classes is compared exhaustively:
+all pairs of its texts that are not of one class and whose weights allow the
+similarity. Large buckets are cut into blocks by weight and each pair of blocks is
+a piece of work of bounded size, so no bucket lands in one task. No pair that shares
+a key is left out; a family of m texts that stay apart costs about m * m / 2
+comparisons, but only m * m / BLOCK rows.
 
 Equal texts are one node from the start, so copies cost nothing beyond their rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wordreel.llm.base import U64, Powers, chunks, mix, word_spans
+from wordreel.llm.base import CHUNK, U64, Powers, chunks, mix, word_spans
 from wordreel.session import settle
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 3, 14         # 0.8 similar texts share a band with probability 0.9999
-STEPS = (1, 5)              # how far apart the keys of a narrow bucket stand
+BLOCK = 512                 # texts of a bucket that are compared in one piece, about
+BLOCK_CHARS = 1 << 21       # and their characters
 COUNTERS = 1 << 18          # hashed document-frequency counters
 IDF_SHARE = 0.25            # how much the rarest shingle weighs more than one that all texts have
 SAMPLES = 1 << 16           # size of the tables that the samples' random numbers come from
@@ -125,6 +129,10 @@ def weights(shingle: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarr
     return tf * idf[(shingle & U64(len(idf) - 1)).astype(np.int64)]
 
 
+def _running(weight: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(weight, dtype=np.float64)])
+
+
 # --- samples --------------------------------------------------------------
 
 class Sampler:
@@ -168,21 +176,29 @@ class Sampler:
 
 
 def sketches(docs: DataFrame, idf, words: int = WORDS) -> DataFrame:
-    """doc_id, node (a digest of the text) and band keys of every row of (doc_id, text)."""
+    """Of every row of (doc_id, text) doc_id, node (a digest of the text), band keys, the
+    weight of all its shingles and its number of characters."""
     rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("node"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler, table = Shingler(words), Sampler(), idf.value
         for batch in batches:
             keys: list = []
+            total: list[float] = []
+            size: list[int] = []
             for _, texts in text_chunks(batch, "text"):
                 bounds, shingle, times = shingler.sets(texts)
-                keys += sampler.keys(bounds, shingle, weights(shingle, times, table))
+                weight = weights(shingle, times, table)
+                keys += sampler.keys(bounds, shingle, weight)
+                total += np.diff(_running(weight)[bounds]).tolist()
+                size += map(len, texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "bands"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(total, pa.float64()), pa.array(size, pa.int64())],
+                names=["doc_id", "node", "bands", "weight", "size"])
 
-    return rows.mapInArrow(run, "doc_id bigint, node string, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, node string, bands array<bigint>, "
+                                "weight double, size bigint")
 
 
 # --- verification ---------------------------------------------------------
@@ -273,19 +289,150 @@ def _stars(buckets: DataFrame, centre: DataFrame) -> DataFrame:
             .filter("a <> node").select("a", F.col("node").alias("b"), "n"))
 
 
-def _fronts(buckets: DataFrame, centre: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, class, node): of each class in a bucket that has several the most central node."""
-    placed = (buckets.join(centre, "node").join(classes, "node", "left")
-              .withColumn("class", F.coalesce("class", "node")))
-    top = placed.groupBy("key", "class").agg(F.max(F.struct("n", "node")).alias("top"))
-    several = top.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return top.join(several, "key").select("key", "class", F.col("top.node").alias("node"))
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+# --- buckets as a whole ---------------------------------------------------
+
+def open_buckets(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node, class, weight, size) of buckets with several classes; of buckets with equal
+    members one."""
+    placed = settle(members.join(classes, "node", "left").select(
+        "key", "node", F.coalesce("class", "node").alias("class"), "weight", "size"), "placed")
+    several = (placed.groupBy("key").agg(
+        F.min("class").alias("least"), F.max("class").alias("most"),
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark_2"))
+        .filter("least <> most").groupBy("n", "mark", "mark_2").agg(F.min("key").alias("key")))
+    return placed.join(several.select("key"), "key")
+
+
+def block_pairs(members: DataFrame, least: float, block: int = BLOCK,
+                chars: int = BLOCK_CHARS) -> DataFrame:
+    """(piece, block, node, class): pieces of work that hold every pair of nodes of a bucket
+    that is not of one class and whose weights are close enough.
+
+    A bucket of up to `block` texts and `chars` characters is one piece. Others are
+    cut by weight, texts of a class that fills a block apart, and dealt to blocks by
+    hash; every two blocks make a piece, unless both are of one class or their weights
+    are too far apart.
+    """
+    width = 1.001 * max(-math.log(max(least, 1e-3)), 1e-2)
+    whole = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    wide = whole.filter((F.col("n") > block) | (F.col("s") > chars)).select("key")
+    large = (members.join(wide, "key").groupBy("key", "class").count()
+             .filter(F.col("count") >= block)
+             .select("key", "class", F.col("class").alias("apart")))
+    small = members.join(wide, "key", "left_anti").select(
+        F.xxhash64("key", F.lit("whole")).alias("piece"), F.lit(0).cast("bigint").alias("block"),
+        "node", "class")
+
+    cut = settle(members.join(wide, "key").join(large, ["key", "class"], "left").select(
+        "key", "node", "class", "size", F.coalesce("apart", F.lit("")).alias("apart"),
+        F.floor(F.log(F.greatest("weight", F.lit(1e-9))) / width).alias("step")), "cut")
+    groups = (cut.groupBy("key", "apart", "step")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+              .select("key", "apart", "step", F.greatest(
+                  F.ceil(F.col("n") / block), F.ceil(F.col("s") / chars), F.lit(1))
+                  .alias("blocks")))
+    dealt = cut.join(groups, ["key", "apart", "step"]).select(
+        "key", F.xxhash64("key", "apart", "step", F.pmod(F.xxhash64("node"), "blocks"))
+        .alias("block"), "node", "class")
+    blocks = groups.select("key", "apart", "step", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("i")).select(
+        "key", "apart", "step", F.xxhash64("key", "apart", "step", "i").alias("block"))
+    other = blocks.select("key", F.col("apart").alias("apart_2"), F.col("step").alias("step_2"),
+                          F.col("block").alias("block_2"))
+    pieces = (blocks.join(other, "key")
+              .filter((F.col("block") <= F.col("block_2"))
+                      & (F.abs(F.col("step") - F.col("step_2")) <= 1)
+                      & ((F.col("apart") != F.col("apart_2")) | (F.col("apart") == "")))
+              .select("key", F.xxhash64("block", "block_2").alias("piece"),
+                      F.explode(F.array_distinct(F.array("block", "block_2"))).alias("block")))
+    return small.unionByName(pieces.join(dealt, ["key", "block"]).select(
+        "piece", "block", "node", "class"))
+
+
+def linked(sets: list, piece: tuple, least: float) -> Iterator[tuple[int, int]]:
+    """Links between the classes of one piece: as many as join all that any pair joins.
+
+    `sets` holds (shingle, weight) pairs, `piece` the block and the class of each. Two
+    texts of one block are compared if the piece has no other block.
+    """
+    block, group = (np.unique(np.array(x), return_inverse=True)[1] for x in piece)
+    single = block.max() == 0
+    size = np.array([len(x) for x, _ in sets])
+    start = np.cumsum(size) - size
+    token = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)[1]
+    weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+    total = np.diff(_running(weight)[np.append(start, len(weight))])
+    own = np.zeros(int(token.max()) + 1 if len(token) else 0)
+    near = least - 1e-6         # sums in another order; what is found is decided below
+    for x in range(len(sets) - 1):
+        at = np.arange(x + 1, len(sets))
+        at = at[(group[at] != group[x]) & (single | (block[at] != block[x])) & (size[at] > 0)
+                & (total[at] >= near * total[x]) & (total[x] >= near * total[at])]
+        if not len(at) or not size[x]:
+            continue
+        mine = token[start[x]: start[x] + size[x]]
+        own[mine] = weight[start[x]: start[x] + size[x]]
+        for c in range(0, len(at), 64):         # bounds the memory of a comparison
+            part = at[c: c + 64]
+            first = np.cumsum(size[part]) - size[part]
+            where = np.repeat(start[part] - first, size[part]) + np.arange(size[part].sum())
+            both = np.add.reduceat(np.minimum(weight[where], own[token[where]]), first)
+            for y in part[both >= near * (total[x] + total[part] - both)]:
+                if group[y] != group[x] and weighted_jaccard(sets[x], sets[y]) >= least:
+                    yield x, int(y)
+                    group[group == group[y]] = group[x]
+        own[mine] = 0
+
+
+def compared(pieces: DataFrame, texts: DataFrame, idf, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links that join all classes of `pieces` that any pair joins."""
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (pieces.join(texts, "node").select("piece", "block", "class", "node", "text")
+            .repartition(tasks, "piece").sortWithinPartitions("piece"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, table = Shingler(), idf.value
+        held: list[tuple] = []
+        size = 0
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            """Of the rows of whole pieces."""
+            sets: list = []
+            texts = [r[4] for r in rows]
+            for a, b in chunks(texts):
+                for c in range(a, b, 1 << 15):
+                    bounds, shingle, times = shingler.sets(texts[c: min(b, c + (1 << 15))])
+                    w = weights(shingle, times, table)
+                    sets += [(shingle[i:j], w[i:j]) for i, j in zip(bounds, bounds[1:])]
+            left, right, a = [], [], 0
+            for b in range(1, len(rows) + 1):
+                if b == len(rows) or rows[b][0] != rows[a][0]:
+                    if b - a > 1:
+                        for x, y in linked(sets[a:b], tuple(zip(*rows[a:b]))[1:3], least):
+                            left.append(rows[a + x][3])
+                            right.append(rows[a + y][3])
+                    a = b
+            return pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size > CHUNK and row[0] != held[-1][0]:
+                    yield done(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield done(held)
+
+    return rows.mapInArrow(run, "a string, b string")
+
+
 def classify(docs: DataFrame, text: str = "text", key: str = "doc_id",
              least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, node, class_id, class_size, kept.
@@ -305,19 +452,14 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id",
     sketch = settle(sketches(rows, idf), "sketches")
     nodes = sketch.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
+        F.first("weight").alias("weight"), F.first("size").alias("size"),
         F.count(F.lit(1)).alias("copies"))
 
-    # wide buckets by one key, narrow ones by a key and another
-    with_key = lambda step: F.xxhash64("key", F.element_at(
-        "bands", (F.col("i") + step) % F.size("bands") + 1))
-    wide = nodes.select("node", F.posexplode("bands").alias("i", "key"), "bands").select(
-        "node", "key", F.array(*[with_key(step) for step in STEPS]).alias("narrow"))
+    wide = nodes.select("node", F.explode("bands").alias("key"), "weight", "size")
     sizes = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = settle(wide.join(sizes, "key"), "members")
     centre = settle(members.groupBy("node").agg(F.sum("n").alias("n")), "centre")
-    in_wide, in_narrow = members.select("key", "node"), members.select(
-        F.explode("narrow").alias("key"), "node")
-    nearest = _stars(in_wide, centre).groupBy("b").agg(F.max(F.struct("n", "a")).alias("top"))
+    nearest = _stars(members.select("key", "node"), centre).groupBy("b").agg(F.max(F.struct("n", "a")).alias("top"))
     tried = settle(_ordered(nearest.select(F.col("top.a").alias("a"), "b")), "pairs")
 
     # the text of one row of every node that any bucket compares
@@ -329,16 +471,8 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id",
                    .select("node", "text"), "texts")
 
     classes = components(verified(tried, texts, idf, least))
-    while True:
-        fronts = settle(_fronts(in_wide, centre, classes).unionByName(
-            _fronts(in_narrow, centre, classes)), "fronts")
-        led = _stars(fronts.select("key", "node"), centre).select("a", "b")
-        new = settle(_ordered(led).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = settle(verified(new, texts, idf, least), "links")
-        if found.isEmpty():
-            break
-        classes = joined_classes(classes, found)
-        tried = tried.unionByName(new)
+    pieces = block_pairs(open_buckets(members, classes), least)
+    classes = joined_classes(classes, settle(compared(pieces, texts, idf, least), "links"))
 
     ids = nodes.select("node", "doc_id", "copies").join(classes, "node", "left").withColumn(
         "class", F.coalesce("class", "node"))
