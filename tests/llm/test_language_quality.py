@@ -48,6 +48,26 @@ def test_equal_sizes_are_rejected():
     assert (lang[0], score[0], margin[0], rejected[0]) == ("a", 0.5, 0.0, True)
 
 
+def test_clean_short_texts_stay(two_languages):
+    many = language.predictor(language.train(two_languages, F.lit(True)))
+    texts = ["Who.", "The old", "knew", "Wer.", "Das alte", "und"]
+    lang, score, margin, rejected = many(texts)
+    assert lang == ("en", "en", "en", "de", "de", "de") and not any(rejected)
+    assert min(margin) >= language.MIN_MARGIN and min(score) > 0.5
+
+
+def test_clean_short_documents_pass_the_stage(spark, documents):
+    import corpus_pipeline
+
+    short = documents.filter("length(text) < 40 AND text RLIKE '[a-z]{3}'")
+    ids = [(10**6 + i, t, lang) for i, (t, lang) in enumerate(
+        [("This.", "en"), ("Der Weg.", "de"), ("La vie.", "fr"), ("El camino", "es")])]
+    more = spark.createDataFrame(ids, "doc_id bigint, text string, lang string")
+    docs = documents.unionByName(more, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert kept >= {i for i, _, _ in ids} | {r["doc_id"] for r in short.collect()}
+
+
 def test_long_text_is_judged_whole(two_languages):
     many = language.predictor(language.train(two_languages, F.lit(True)))
     mixed = EN * 30 + DE * 3_000

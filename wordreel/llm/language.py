@@ -3,7 +3,9 @@
 For every language a zstandard compressor holds raw text of that language as
 dictionary. A text is lower-cased, reduced to letters and spaces and compressed
 in blocks with each of them; the smallest total wins. Blocks keep the dictionary
-in reach all through a long text.
+in reach all through a long text. Sizes are whole bytes, which says little about a
+short text: where they tie, the bits that the trigrams of the same dictionaries give
+to its bytes decide.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wordreel.llm.base import attach, bounded_sample
@@ -34,6 +37,31 @@ def letters(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_SPACE, _DROP)
 
 
+class Trigrams:
+    """Bits of a text by how often its three-byte strings stand in a dictionary."""
+
+    def __init__(self, raw: bytes):
+        code = self.codes(raw)
+        self.three, self.n_three = np.unique(code, return_counts=True)
+        self.two, self.n_two = np.unique(code >> 8, return_counts=True)
+
+    @staticmethod
+    def codes(data: bytes) -> np.ndarray:
+        x = np.frombuffer(b"  " + data + b" ", np.uint8).astype(np.int64)
+        return (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
+
+    @staticmethod
+    def _count(names: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(names, of), len(names) - 1)
+        return np.where(names[at] == of, n[at], 0)
+
+    def bits(self, data: bytes) -> float:
+        code = self.codes(data)
+        three = self._count(self.three, self.n_three, code)
+        two = self._count(self.two, self.n_two, code >> 8)
+        return float(-np.log2((three + 1 / 8) / (two + 32)).sum())
+
+
 @dataclass(frozen=True)
 class Model:
     """Dictionaries by language, most frequent language first (it wins ties)."""
@@ -80,6 +108,13 @@ def predictor(model: Model, min_margin: float = MIN_MARGIN):
         named.append((lang, zstandard.ZstdCompressor(
             level=LEVEL, dict_data=d, write_content_size=False)))
 
+    trigrams: dict[int, Trigrams] = {}      # of the languages that a tie has asked for
+
+    def bits(i: int, data: bytes) -> float:
+        if i not in trigrams:
+            trigrams[i] = Trigrams(model.dictionaries[i][1])
+        return trigrams[i].bits(data)
+
     def one(text: str | None) -> tuple[str, float, float, bool]:
         if text is None or not named or not _LETTER.search(text):
             return UNKNOWN, 0.0, 0.0, True
@@ -94,6 +129,11 @@ def predictor(model: Model, min_margin: float = MIN_MARGIN):
             return named[order[0]][0], 1.0, 1.0, False
         best, second = sizes[order[0]], sizes[order[1]]
         margin = (second - best) / second
+        if margin < min_margin and best * min_margin < 1:       # less than a byte apart
+            fine = {i: bits(i, data) for i in order if (sizes[i] - best) / sizes[i] < min_margin}
+            order = sorted(sorted(fine), key=fine.__getitem__)
+            best, second = fine[order[0]], fine[order[1]]
+            margin = (second - best) / second
         return named[order[0]][0], min(1.0, 0.5 + 2.5 * margin), margin, margin < min_margin
 
     def many(texts: list) -> tuple[list, ...]:
@@ -107,8 +147,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "",
     """`docs` with lang_pred, score, margin and rejected (names after `prefix`).
 
     Null texts and texts without a letter are ``und``, score 0, rejected; so is
-    every text if nothing could be learned. Equal sizes go to the language with
-    more training rows, with margin 0 (rejected). Score is 0.5 for no margin and
+    every text if nothing could be learned. Where sizes below 1 / min_margin bytes
+    tie, margin is that of the trigram bits. What ties then too goes to the language
+    with more training rows, with margin 0 (rejected). Score is 0.5 for no margin and
     1 from a fifth on. Repeated rows are predicted each.
     """
     fields = [T.StructField(f"{prefix}lang_pred", T.StringType()),
