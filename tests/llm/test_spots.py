@@ -55,6 +55,13 @@ def test_ids_far_apart(spark):
     check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), rows)
 
 
+def test_ids_beyond_doubles(spark):
+    ids = [r[0] for r in spark.range(300).select(F.xxhash64("id")).collect()]
+    rows = [(i, f"the text {k} of many and more") for k, i in enumerate(ids)]
+    rows += [(2**63 - 1, "the last of all"), (-(2**63) + 1, "the first of all"), (None, "no id")]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), rows)
+
+
 def test_signatures_are_spots_with_chains():
     s = spots.Spotter(["the", "of"], chain=2)
     keys = s.sets(["the red house of stone", "the red house of stone", "of stone", "x", ""])

@@ -168,8 +168,9 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple
     """(part, halo, doc_id, text) dealt so that each part holds consecutive ids and the row
     after its last, marked as halo; and the number of parts.
 
-    Parts are cut at quantiles of the ids, so ids may be of any kind and
-    density. Null ids stand before all others.
+    Parts are cut near quantiles of the ids, so ids may be of any kind and
+    density. Quantiles are doubles, which hold no id beyond 2**53 exactly: a part
+    begins at its smallest real id. Null ids stand before all others.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"),
@@ -179,7 +180,23 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple
     n = 4 * tasks           # so that the hash of the parts is dealt evenly
     cut = rows.agg(F.min(ids).alias("least"), F.percentile_approx(
         ids, [i / n for i in range(1, n)], 20 * n).alias("at")).first()
-    bounds = np.array(sorted({cut["least"], *cut["at"]} if cut["at"] else [0]), np.int64)
+    near = np.array(sorted({cut["least"], *cut["at"]} if cut["at"] else [0]), np.int64)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for batch in batches:
+            key_of = np.sort(batch.column(0).to_numpy())
+            part, first = np.unique(np.searchsorted(near, key_of, side="right"),
+                                    return_index=True)
+            for p, k in zip(part.tolist(), key_of[first].tolist()):
+                found[p] = min(k, found.get(p, k))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()),
+                                          pa.array(list(found.values()), pa.int64())],
+                                         names=["part", "id"])
+
+    firsts = (rows.select(ids.alias("id")).mapInArrow(smallest, "part int, id bigint")
+              .groupBy("part").agg(F.min("id").alias("id")).collect())      # at most n rows
+    bounds = np.array(sorted(r["id"] for r in firsts) or [0], np.int64)
     parts = len(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
