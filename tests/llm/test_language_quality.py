@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,18 @@ def test_clean_short_documents_pass_the_stage(spark, documents):
     assert kept >= {i for i, _, _ in ids} | {r["doc_id"] for r in short.collect()}
 
 
+def test_all_sampled_documents_share_the_dictionary(spark):
+    rows = [(i, f"mark{chr(97 + i // 26)}{chr(97 + i % 26)} " * 2_000 + "ending " * 2_000, "en")
+            for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    raw = language.train(df, F.lit(True), dictionary_bytes=10_000).dictionaries[0][1]
+    assert len(raw) <= 10_000 and b"ending" in raw
+    assert len(set(re.findall(rb"mark\w\w", raw))) > 15
+    parts = language.shared([b"a" * 5, b"b" * 900, b"c" * 900], 300)
+    assert len(parts) <= 300 and parts.count(b"a") == 5 and abs(
+        parts.count(b"b") - parts.count(b"c")) < 3 and parts.count(b"b") > 140
+
+
 def test_long_text_is_judged_whole(two_languages):
     many = language.predictor(language.train(two_languages, F.lit(True)))
     mixed = EN * 30 + DE * 3_000

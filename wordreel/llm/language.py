@@ -21,7 +21,7 @@ from wordreel.llm.base import attach, bounded_sample
 UNKNOWN = "und"
 DICTIONARY_BYTES = 112_640      # raw text per language, sent to every task
 SAMPLE_DOCS = 400               # training documents per language, about
-SAMPLE_CHARS = 4_096            # of each of them
+SAMPLE_CHARS = 4_096            # of each of them, of which the dictionary takes a share
 MAX_LANGUAGES = 512             # languages that a model may hold, the most frequent ones
 BLOCK = 4_096
 LEVEL = 6
@@ -75,7 +75,8 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text"
     """Dictionaries from a bounded sample of the rows that may be learned from.
 
     At most `MAX_LANGUAGES` languages, about `sample_docs` documents of each and
-    `SAMPLE_CHARS` characters of each document reach the driver.
+    `SAMPLE_CHARS` characters of each document reach the driver; all of them share
+    the dictionary of their language.
     """
     rows = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_"), F.col(lang).alias("l_"),
                        learn.alias("learn_"))
@@ -86,17 +87,31 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text"
     sample = bounded_sample(rows.filter(rows.t_.rlike(r"\p{L}")), "l_", F.col("k_"), sample_docs,
                             MAX_LANGUAGES)
     got: dict[str, list[tuple[int, str]]] = {}
-    for k, t, l in sample.select(F.xxhash64("k_").alias("k"), F.substring("t_", 1, SAMPLE_CHARS),
+    # a slice from anywhere in the text, so that what long texts hold later is learned too
+    room = F.greatest(F.length("t_") - SAMPLE_CHARS, F.lit(0)) + 1
+    begin = (F.pmod(F.xxhash64("k_", F.lit("slice")), room) + 1).cast("int")
+    for k, t, l in sample.select(F.xxhash64("k_").alias("k"),
+                                 F.substring(F.col("t_"), begin, F.lit(SAMPLE_CHARS)),
                                  "l_").collect():
         got.setdefault(l, []).append((k, t))
     out = []
     for l in (r["l_"] for r in ranked):
-        text_of = b" ".join(letters(t) for _, t in sorted(got.get(l, [])))
+        text_of = shared([letters(t) for _, t in sorted(got.get(l, []))], dictionary_bytes)
         if text_of:
-            out.append((l, text_of[:dictionary_bytes]))
+            out.append((l, text_of))
     return Model(tuple(out))
 
 
+def shared(texts: list[bytes], room: int) -> bytes:
+    """The texts side by side within `room` bytes: all have a part of it, and what short ones
+    leave goes to the longer ones."""
+    part, left = [0] * len(texts), room
+    for n, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        part[i] = max(min(len(texts[i]), left // (len(texts) - n) - 1), 0)
+        left -= part[i] + 1
+    return b" ".join(t[:k] for t, k in zip(texts, part))[:room]
+
+
 def predictor(model: Model, min_margin: float = MIN_MARGIN):
     """A function from texts to (language, score, margin, rejected) columns."""
     import zstandard
