@@ -69,3 +69,13 @@ def test_digests(odd, library):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         text = library.decode(ids, skip_special_tokens=False)
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_every_code_point_between_two_letters(library):
+    """Also those that Python's Unicode tables and the library's class differently."""
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    chars += [chr(c) for c in range(0x20000, 0x110000, 4099)]
+    texts = ["".join(f"a{c}b " for c in chars[i: i + 64]) for i in range(0, len(chars), 64)]
+    encoded = library.encode_batch(texts, add_special_tokens=False)
+    for words, want in zip(bpe.Encoder(PATH).encoded(texts), encoded):
+        assert [int(i) for _, s, _ in words for i in s.split()] == want.ids

@@ -16,6 +16,9 @@ CONTRACT = {
     "op8_byte_pairs": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9_lattice_scores": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op10_language": "doc_id held_out lang_pred score",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_token_counts": "doc_id n_bytes n_tokens over_limit",
 }
 TYPES = {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint",
          "ids_crc32": "bigint", "offset": "bigint", "held_out": "boolean", "predicted": "int",
@@ -23,7 +26,9 @@ TYPES = {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigin
          "near_edited": "double", "near_next": "double", "query_id": "bigint", "rank": "int",
          "vec_id": "bigint", "page_id": "bigint", "payload_bytes": "bigint",
          "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint",
-         "base_score": "double", "refers_to": "bigint"}
+         "base_score": "double", "refers_to": "bigint", "over_limit": "boolean", "n": "bigint",
+         "n_near": "bigint", "form_n": "bigint", "n_a": "bigint", "n_b": "bigint",
+         "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint"}
 
 
 def test_all_are_registered():

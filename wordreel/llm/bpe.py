@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +18,11 @@ from pyspark.sql import DataFrame, types as T
 
 from wordreel.llm.base import attach, tokenizer_file
 from wordreel.llm.packing import _byte_of_char
+from wordreel.llm.words import Splitter, odd
 
 CACHE_WORDS = 400_000       # words a task remembers before it starts anew
 BATCH_WORDS = 100_000       # new words encoded together, at most
 NEVER = np.iinfo(np.int64).max
-# fixed value: how this kind of tokenizer splits text into words
-WORD = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 class Vocabulary:
@@ -110,11 +108,11 @@ def _apart(hit: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to words to ids, with the words of earlier texts remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd_chars: str | None = None):
         import regex
 
         self.vocabulary = Vocabulary(path)
-        self.words_of = regex.compile(WORD).findall
+        self.words_of = Splitter(path, odd(path) if odd_chars is None else odd_chars).words
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split \
             if special else None
@@ -130,9 +128,7 @@ class Encoder:
             if i % 2:
                 out.append("\0" + part)
                 continue
-            # letter by letter: a final capital sigma has no form of its own here
-            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            out += self.words_of(low)
+            out += self.words_of(part)
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -176,9 +172,10 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None,
            name: str = "ids") -> DataFrame:
     """`docs` with an array of token ids of a text; a null text has none, like an empty one."""
     path = path or tokenizer_file("word_bpe_49k.json")
+    odd_chars = odd(path)
 
     def make():
-        encoder = Encoder(path)
+        encoder = Encoder(path, odd_chars)
 
         def run(texts: list) -> list:
             return [[[int(i) for _, ids, _ in words for i in ids.split()]
@@ -212,9 +209,10 @@ def round_trip(docs: DataFrame, text: str = "text", path: str | None = None) ->
     equal digests.
     """
     path = path or tokenizer_file("word_bpe_49k.json")
+    odd_chars = odd(path)
 
     def make():
-        encoder = Encoder(path)
+        encoder = Encoder(path, odd_chars)
 
         def run(texts: list) -> tuple[list, list, list]:
             n, ids, decoded = [], [], []

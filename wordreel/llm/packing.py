@@ -38,12 +38,13 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def byte_encoder(path: str):
+def byte_encoder(path: str, plain: bool = False):
     """text -> numpy uint32 ids, equal to the tokenizer file's own encoding.
 
     The vocabulary of the file is run by tiktoken, several times faster; the two
     agree as ids stand in the order of merges, which is checked here. Texts with
-    a special token's own spelling go to the tokenizers library.
+    a special token's own spelling go to the tokenizers library, unless `plain`
+    has them read as ordinary text.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -63,7 +64,7 @@ def byte_encoder(path: str):
     whole = Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if not plain and any(s in text for s in special):
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordreel.llm import (
-    bpe, language, lattice, neardup, packing, quality, spots, substrings, topk, warc)
+    align, bpe, counts, language, lattice, neardup, packing, quality, spots, substrings, topk,
+    variants, warc)
 from wordreel.llm.base import held_out, table
+from wordreel.llm.variants_sql import SPELLING_VARIANTS
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +78,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model).drop("text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, the more frequent spelling it varies, and the end of that chain."""
+    return variants.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers correspond in every document."""
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over 2,048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Run] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -87,6 +105,9 @@ QUERIES: dict[str, Run] = {
     "op8_byte_pairs": op8_byte_pairs,
     "op9_lattice_scores": op9_lattice_scores,
     "op10_language": op10_language,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -123,4 +144,5 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> origin THEN origin END AS refers_to
 FROM d JOIN o USING (payload_digest, payload_bytes)
 """,
+    "op11_spelling_variants": SPELLING_VARIANTS,
 }
