@@ -87,6 +87,12 @@ def test_endless_phrase_is_counted_not_collected(spark, words):
     assert [(r.i0, r.i1, r.j) for r in got] == [(10_000, 10_007, 0)]
     whole = R.phrases(R.phrase_bounds_punct(words({1: said}))).filter("i0 = 0").first()
     assert (whole.n, whole.i1, whole.text, whole.tokens) == (10_000, 10_000, None, None)
+    rows = R.phrase_words(R.phrase_bounds_punct(words({1: said})))
+    first = rows.filter("i0 = 0").orderBy("idx").collect()
+    assert [r.idx for r in first] == list(range(10_000))
+    assert {(r.i1, r.n, r.token, r.start_ms, r.end_ms) for r in first} == {
+        (10_000, 10_000, "w", 0, 99_999)}
+    assert first[-1].text == "w." and rows.count() == 10_007
 
 
 GOOD = '{"retake": true, "keep": 1, "confidence": 0.8, "reason": "fine"}'

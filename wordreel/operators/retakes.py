@@ -59,19 +59,40 @@ def phrases(bounded: DataFrame, max_tokens: int = fixed.MAX_WORDS) -> DataFrame:
     """(take_id, i0, i1, start_ms, end_ms, n, text, tokens) of phrases that have a token.
 
     `n` counts the tokens; phrases of more than `max_tokens` have no text and no
-    list of tokens, as a take without any pause is one phrase. Their words are the
-    rows of `bounded` between i0 and i1. Pieces of phrases are put together per
+    list of tokens here, as a take without any pause is one phrase: `phrase_words`
+    has the words of every phrase as rows. Pieces of phrases are put together per
     block of words first.
     """
+    return _phrases(_segments(bounded), max_tokens)
+
+
+def _segments(bounded: DataFrame) -> DataFrame:
+    """Words as (take_id, blk, i0, idx, start_ms, end_ms, raw, token); i0 begins their phrase."""
     base = bounded.select("take_id", "idx", "start_ms", "end_ms", "boundary",
                           position_block("idx").alias("blk"), display_text().alias("raw"))
     base = base.withColumn("token", norm_token("raw"))
-    numbered_words = running(base, ["take_id"], "blk", ["idx"], maxima={
-        "i0": F.when(F.col("boundary"), F.col("idx") + 1)})
+    return running(base, ["take_id"], "blk", ["idx"], maxima={
+        "i0": F.when(F.col("boundary"), F.col("idx") + 1)}).withColumn(
+        "i0", F.coalesce("i0", F.lit(0))).drop("boundary")
+
+
+def phrase_words(bounded: DataFrame) -> DataFrame:
+    """Every word of every phrase that has a token, with the phrase's i0, i1, start_ms, end_ms, n.
+
+    (take_id, i0, i1, start_ms, end_ms, n, idx, text, token): phrases of any length,
+    none of them gathered in one row. A word without a token has an empty one.
+    """
+    segments = settle(_segments(bounded), "phrase-words")
+    whole = _phrases(segments, 0).drop("text", "tokens")
+    words = segments.select("take_id", "i0", "idx", F.col("raw").alias("text"), "token")
+    return words.join(whole, ["take_id", "i0"]).select(
+        *whole.columns, "idx", "text", "token")
+
+
+def _phrases(segments: DataFrame, max_tokens: int) -> DataFrame:
     word = F.struct("idx", "raw", F.nullif("token", F.lit("")).alias("token"))
     pieces = (
-        numbered_words.withColumn("i0", F.coalesce("i0", F.lit(0)))
-        .groupBy("take_id", "blk", "i0")
+        segments.groupBy("take_id", "blk", "i0")
         .agg(F.count_if(F.col("token") != "").alias("n"), F.max("idx").alias("last"),
              F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"),
              F.collect_list(word).alias("said"))

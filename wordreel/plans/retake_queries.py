@@ -101,24 +101,18 @@ SELECT take_id, max(grp) + 1 AS found, least(12, max(grp) + 1) AS asked,
        greatest(0, max(grp) + 1 - 12) AS skipped FROM members GROUP BY take_id""")
 
 PHRASE_SQL = """
-SELECT take_id, i0, i1, start_ms, end_ms, len(tokens) AS n,
-       CASE WHEN len(tokens) <= 40 THEN trim(text) END AS text,
-       CASE WHEN len(tokens) <= 40 THEN array_to_string(tokens, ' ') END AS tokens
-FROM all_phrases"""
-
-
-def _flat(df):
-    return df.withColumn("tokens", F.array_join("tokens", " "))
+SELECT w.take_id, i0, i1, p.start_ms, p.end_ms, len(tokens) AS n, idx, w.text, token
+FROM all_phrases p JOIN word_phrases w ON w.take_id = p.take_id AND w.idx >= i0 AND w.idx < i1"""
 
 
 @query("phrases_punct", sql(PHRASE_SQL))
 def phrases_punct(spark, d):
-    return _flat(R.phrases(P.bounded(spark, d)))
+    return R.phrase_words(P.bounded(spark, d))
 
 
 @query("phrases_measured", sql(PHRASE_SQL, **_phrases("mixed_bounds")))
 def phrases_measured(spark, d):
-    return _flat(R.phrases(P.bounded_measured(spark, d)))
+    return R.phrase_words(P.bounded_measured(spark, d))
 
 
 @query("usable_phrases", sql("SELECT take_id, j, i0, i1, len(tokens) AS n FROM usable"))
@@ -222,7 +216,7 @@ SELECT g.*, EXISTS (SELECT 1 FROM silence_spans s WHERE s.take_id = g.take_id
 @query("phrases_from_cuts", sql(PHRASE_SQL, **_phrases("cut_bounds")))
 def phrases_from_cuts(spark, d):
     words, _, cuts = tighten.tightened(spark, d)
-    return _flat(R.phrases(R.phrase_bounds_measured(words, R.pauses_of_cuts(cuts))))
+    return R.phrase_words(R.phrase_bounds_measured(words, R.pauses_of_cuts(cuts)))
 
 
 @query("promoted_cuts", sql("""
