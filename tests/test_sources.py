@@ -140,6 +140,44 @@ def test_clip_rows_are_appended(spark, tmp_path):
     assert (back[0].hook, back[0].virality_score, back[0].storage_path) == (None, None, "1/2/f.mp4")
 
 
+def test_one_file_for_each_take(spark, words, tmp_path):
+    """Takes of all sizes; one lies over several tasks, one task holds many."""
+    said = {t: [(i * 10, i * 10 + 9, f"w{t}x{i}") for i in range(1 + t % 4)] for t in range(1, 100)}
+    said[40] = [(i * 10, i * 10 + 9, f"w{i}é") for i in range(20_000)]
+    lines = C.srt_lines(C.cues(C.display_words(words(said)), 1))
+    (tmp_path / "srt").mkdir()
+    (tmp_path / "srt" / "7.srt").write_text("old")
+    (tmp_path / "srt" / "900.srt").write_text("another take's")
+    sinks.write_files(lines, str(tmp_path / "srt"), ".srt", "\r\n")
+    want = {}
+    for r in lines.orderBy("take_id", "line_no", "sub").collect():
+        want[r.take_id] = want.get(r.take_id, b"") + r.line.encode() + b"\r\n"
+    got = {int(f.stem): f.read_bytes() for f in (tmp_path / "srt").glob("*.srt")}
+    assert got.pop(900) == b"another take's" and got == want and len(want) == 99
+    assert sorted(f.name for f in (tmp_path / "srt").iterdir() if f.suffix != ".srt") == ["_SUCCESS"]
+    sinks.write_files(lines.filter("false"), str(tmp_path / "none"), ".srt")
+    assert [f.name for f in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+
+
+def test_a_writer_that_fails_leaves_whole_files_only(tmp_path):
+    from wordreel.sources.take_files import Edges, TakeFileWriter
+    w = TakeFileWriter(str(tmp_path / "out"), ".txt", "\n", False)
+    for task, (first, last) in enumerate([(b"1a\n", b"2a\n"), (b"2b\n", b"2c\n"), (b"2d\n", b"3a\n")]):
+        (tmp_path / "out" / "_parts" / f"{task}-first").write_bytes(first)
+        (tmp_path / "out" / "_parts" / f"{task}-last").write_bytes(last)
+    part = lambda k, which: str(tmp_path / "out" / "_parts" / f"{k}-{which}")
+    ends = [("1", "2"), ("2", "2"), ("2", "3")]
+    w.commit([Edges(k, [(a, part(k, "first")), (b, part(k, "last"))])
+              for k, (a, b) in reversed(list(enumerate(ends)))] + [None])
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()} == {
+        "1.txt": b"1a\n", "2.txt": b"2a\n2b\n2c\n2d\n", "3.txt": b"3a\n", "_SUCCESS": b""}
+    again = TakeFileWriter(str(tmp_path / "out"), ".txt", "\n", False)
+    again.abort([])
+    assert len(list((tmp_path / "out").iterdir())) == 4
+    TakeFileWriter(str(tmp_path / "out"), ".txt", "\n", True)
+    assert [f.name for f in (tmp_path / "out").iterdir()] == ["_parts"]
+
+
 def test_old_files_are_listed_not_deleted(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     files = J.list_files(spark, str(tmp_path))
@@ -189,15 +227,10 @@ EVENTS = [
     (7, 2, at(50), "completed"), (8, 3, at(300), "queued"), (2, 1, at(10), "rendering")]
 
 
-def replay(spark, tmp_path, parts, fold, merge):
-    """Drain the stream once after every part of the events."""
-    for part in parts:
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(
-            str(tmp_path / "in"))
-        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-        L.write_folded(stream, fold, merge, str(tmp_path / "out"),
-                       str(tmp_path / "state")).awaitTermination()
-    return L.folded(spark, str(tmp_path / "out"))
+def put(spark, tmp_path, part):
+    spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(
+        str(tmp_path / "in"))
+    return spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
 
 
 ORDERS = {"in order": (EVENTS[:5], EVENTS[5:]), "late": (EVENTS[7:], EVENTS[3:7], EVENTS[:3]),
@@ -206,20 +239,84 @@ ORDERS = {"in order": (EVENTS[:5], EVENTS[5:]), "late": (EVENTS[7:], EVENTS[3:7]
 
 @pytest.mark.parametrize("order", ORDERS)
 def test_final_states_stand_whatever_the_order(spark, tmp_path, order):
-    got = L.latest_status(replay(spark, tmp_path, ORDERS[order], L.fold_status, L.merge_status))
-    assert {r.job: r.status for r in got.collect()} == {1: "completed", 2: "completed", 3: "queued"}
-    assert len(list((tmp_path / "out").iterdir())) <= 2
+    """The stream is drained once after every part of the events."""
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for k, part in enumerate(ORDERS[order]):
+        L.write_changes(put(spark, tmp_path, part), out, state).awaitTermination()
+        # a batch writes the jobs that it touches and no others
+        newest = max((tmp_path / "out").glob("batch=*"), key=lambda p: int(p.name[6:]))
+        assert {r.job for r in spark.read.parquet(str(newest)).collect()} == {e[1] for e in part}
+        if k == 1:
+            L.compact(spark, out)
+    want = {1: "completed", 2: "completed", 3: "queued"}
+
+    def seen():
+        return {r.job: r.status for r in L.latest_status(L.states(spark, out)).collect()}
+
+    assert seen() == want
+    # a batch that is not written to the end is not read
+    half = tmp_path / "out" / "batch=1000"
+    spark.createDataFrame([(1, (at(0), 9, "failed"), None)],
+                          "job bigint, done struct<ts: timestamp, event_id: bigint, status: string>,"
+                          " open struct<ts: timestamp, event_id: bigint, status: string>"
+                          ).write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    assert seen() == want
+    L.compact(spark, out)
+    L.compact(spark, out)
+    assert seen() == want
+    assert len(L._whole(spark, out, "base")) <= 2
+
+
+def failures(spark, tmp_path, parts, delay):
+    for part in parts:
+        L.write_failures(put(spark, tmp_path, part), str(tmp_path / "out"), str(tmp_path / "state"),
+                         delay).awaitTermination()
+    return sorted((r.job, r.failed_at, r.last_status) for r in
+                  spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+END = (99, 9, at(3000), "completed")    # moves the clock past all delays
 
 
 @pytest.mark.parametrize("order", ORDERS)
 def test_silent_jobs_fail_once(spark, tmp_path, order):
-    rows = replay(spark, tmp_path, ORDERS[order], L.fold_stretches, L.merge_stretches)
-    got = L.stale_jobs(rows).collect()
-    assert [(r.job, r.failed_at, r.last_status) for r in got] == [(2, at(35), "rendering")]
+    """Events come up to five hours late here; a second drain says nothing twice."""
+    got = failures(spark, tmp_path, [*ORDERS[order], [END], [END], [(100, 9, at(3001), "queued")]],
+                   "6 hours")
+    assert got == [(2, at(35), "rendering"), (3, at(330), "queued")]
+
+
+def test_a_failure_is_said_when_the_clock_is_past_it(spark, tmp_path):
+    one, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for part, want in (([(1, 1, at(0), "queued")], []), ([(2, 2, at(39), "completed")], []),
+                       ([(3, 2, at(40), "completed")], [1]), ([(4, 1, at(41), "queued")], [1]),
+                       ([(5, 3, at(0), "queued")], [1, 3])):
+        L.write_failures(put(spark, tmp_path, part), one, state).awaitTermination()
+        assert sorted(r.job for r in spark.read.parquet(one).collect()) == want
 
 
 def test_an_event_that_comes_late_joins_two_stretches(spark, tmp_path):
     parts = [[(1, 1, at(0), "queued"), (2, 1, at(45), "rendering")],
              [(3, 1, at(25), "rendering"), (4, 2, at(500), "queued")]]
-    rows = replay(spark, tmp_path, parts, L.fold_stretches, L.merge_stretches)
-    assert [(r.job, r.failed_at) for r in L.stale_jobs(rows).collect()] == [(1, at(75))]
+    assert failures(spark, tmp_path, parts, "30 minutes") == [(1, at(75), "rendering")]
+
+
+def test_retention_keeps_its_cadence_over_restarts(spark, tmp_path):
+    report = spark.createDataFrame([("a",)], "path string")
+    out, now = tmp_path / "out", [1_000_000.0]
+
+    def start(k):
+        stream = put(spark, tmp_path, [(k, 1, at(k), "queued")])
+        L.retention_stream(stream, lambda: report, str(out), str(tmp_path / "state"), drain=True,
+                           clock=lambda: now[0]).awaitTermination()
+        return len(list(out.glob("run=*")))
+
+    assert start(1) == 1
+    now[0] += 1799
+    assert start(2) == 1        # started again within the half hour
+    now[0] += 2
+    assert start(3) == 2
+    (max(out.glob("run=*")) / "_SUCCESS").unlink()      # that run did not end
+    now[0] += 1
+    assert start(4) == 3

@@ -11,8 +11,8 @@ from wordreel.operators.scan import join_takes
 from wordreel.plans import tighten as P
 from wordreel.plans.registry import query
 from wordreel.plans.sql import part, sql
-from wordreel.session import settle
-from wordreel.sources import tables as T
+from wordreel.session import run_folder, settle
+from wordreel.sources import sinks, tables as T
 
 NAMES = [p[0] for p in fixed.STYLE_PRESETS]
 
@@ -168,11 +168,33 @@ FROM (SELECT take_id, cue, CASE WHEN cue > 0 THEN [''] ELSE [] END || [cast(cue
       FROM {rows})"""
 
 
+def files_of(spark, write, suffix):
+    """(take_id, bytes, md5) of the files that `write` leaves, one for each take."""
+    folder = run_folder(spark, "files")
+    write(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    return found.select(
+        F.regexp_extract("path", r"([^/]+)\.\w+$", 1).cast("bigint").alias("take_id"),
+        F.length("content").cast("bigint").alias("bytes"), F.md5("content").alias("md5"))
+
+
+def files_sql(lines, end="chr(10)"):
+    """The same from SQL for the lines."""
+    return f"""SELECT take_id, octet_length(encode(body)) AS bytes, md5(body) AS md5 FROM (
+  SELECT take_id, string_agg(line || {end}, '' ORDER BY line_no, sub) AS body
+  FROM ({lines}) GROUP BY take_id)"""
+
+
 @query("srt_documents", sql(_srt_sql("cue_rows")))
 def srt_documents(spark, d):
     return C.srt_lines(cue_rows(spark, d))
 
 
+@query("srt_files", sql(files_sql(_srt_sql("cue_rows"))))
+def srt_files(spark, d):
+    return files_of(spark, lambda to: sinks.srt_files(cue_rows(spark, d), to), ".srt")
+
+
 @query("tightened_srt", sql(_srt_sql("""
 (SELECT take_id, rn // 3 AS cue, arg_min(start_ms, rn) AS start_ms,
         arg_max(end_ms, rn) AS end_ms, string_agg(text, ' ' ORDER BY rn) AS text
@@ -382,7 +404,7 @@ def rational_times(spark, d):
         tf.frame_duration(fps).alias("frame"))
 
 
-@query("edl_documents", sql(f"""
+EDL_SQL = f"""
 SELECT take_id, n AS line_no, unnest(range(len(ls))) AS sub, unnest(ls) AS line FROM (
   SELECT take_id, n, CASE WHEN n = 0 THEN ['TITLE: TIGHTENED', 'FCM: ' ||
            CASE WHEN dropped THEN 'DROP FRAME' ELSE 'NON-DROP FRAME' END, ''] ELSE [''] END || [
@@ -392,12 +414,21 @@ SELECT take_id, n AS line_no, unnest(range(len(ls))) AS sub, unnest(ls) AS line
          || ' AA/V  C        ' || {timecode('src_in')} || ' ' || {timecode('src_out')} || ' ' ||
          {timecode('rec_in')} || ' ' || {timecode('rec_out')},
          '* FROM CLIP NAME: take & ' || take_id || '.mp4'] AS ls
-  FROM edit_events)"""))
+  FROM edit_events)"""
+
+
+@query("edl_documents", sql(EDL_SQL))
 def edl_documents(spark, d):
     media, _, events = events_of(spark, d)
     return L.edl_lines(events, media)
 
 
+@query("edl_files", sql(files_sql(EDL_SQL, "chr(13) || chr(10)")))
+def edl_files(spark, d):
+    media, _, events = events_of(spark, d)
+    return files_of(spark, lambda to: sinks.edl_files(events, media, to), ".edl")
+
+
 part("hints", """--materialized
 SELECT take_id, cast(round_even(start_ms / 1000::DOUBLE * rate, 0) AS BIGINT) AS frame,
        coalesce(nullif(text, ''), reason) AS label, start_ms * 2 + 1 AS ord
@@ -480,6 +511,13 @@ def fcpxml_documents(spark, d):
     return L.fcpxml_lines(events, L.place_markers(events, cuts), media)
 
 
+@query("fcpxml_files", sql(files_sql(FCPXML_SQL)))
+def fcpxml_files(spark, d):
+    media, cuts, events = events_of(spark, d)
+    markers = L.place_markers(events, cuts)
+    return files_of(spark, lambda to: sinks.fcpxml_files(events, markers, media, to), ".fcpxml")
+
+
 part("damaged_events", """--materialized
 SELECT take_id, n, src_in, CASE WHEN take_id % 5 = 3 AND n = 0 THEN src_in ELSE src_out END AS src_out,
        rec_in + CASE WHEN take_id % 5 = 2 AND n = 2 THEN 3 ELSE 0 END AS rec_in,

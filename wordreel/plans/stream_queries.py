@@ -10,6 +10,7 @@ from wordreel.operators import jobs as J
 from wordreel.plans.clip_queries import NOW, good_jobs
 from wordreel.plans.registry import query
 from wordreel.plans.sql import part, sql
+from wordreel.session import run_folder
 from wordreel.sources import tables as T
 from wordreel.streaming import progress as L
 
@@ -22,13 +23,27 @@ def progress(spark, d):
     rows = T.table(spark, d, "events").select(
         "event_id", F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"),
         F.expr(STATUS).alias("status"))
-    folder = L.run_folder(spark, "progress")
+    folder = run_folder(spark, "progress")
     rows.repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def progress_by_time(spark, d, slices=4):
+    """The same in slices of time, one file each, without order inside a slice."""
+    rows = T.table(spark, d, "events").select(
+        "event_id", F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"),
+        F.expr(STATUS).alias("status"))
+    folder = run_folder(spark, "slices")
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    at = F.floor((F.unix_micros("ts") - low) * slices / (high - low + 1))
+    for k in range(slices):     # one after the other: a stream reads files by their age
+        rows.filter(at == k).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode(
+            "append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _drain(spark, name, start, read):
-    folder = L.run_folder(spark, name)
+    folder = run_folder(spark, name)
     out = os.path.join(folder, "out")
     start(out, os.path.join(folder, "state")).awaitTermination()
     return read(spark, out)
@@ -44,8 +59,8 @@ SELECT job, coalesce(min_by(status, ts) FILTER (final), max_by(status, ts)) AS s
        coalesce(min_by(event_id, ts) FILTER (final), max_by(event_id, ts)) AS event_id
 FROM progress GROUP BY job"""))
 def latest_status(spark, d):
-    states = _drain(spark, "latest", lambda out, state: L.write_folded(
-        progress(spark, d), L.fold_status, L.merge_status, out, state), L.folded)
+    states = _drain(spark, "latest", lambda out, state: L.write_changes(
+        progress(spark, d), out, state), L.states)
     return L.latest_status(states).select("job", "status", "event_id")
 
 
@@ -62,12 +77,12 @@ FROM stretches WHERE stretch = 1 GROUP BY job
 HAVING NOT bool_or(final)
    AND max(ts) + INTERVAL 1800 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""))
 def stale_stream(spark, d):
-    stretches = _drain(spark, "stretches", lambda out, state: L.write_folded(
-        progress(spark, d), L.fold_stretches, L.merge_stretches, out, state), L.folded)
+    failures = _drain(spark, "failures", lambda out, state: L.write_failures(
+        progress_by_time(spark, d), out, state), lambda s, p: s.read.parquet(p))
     # The table's times have no zone; neither has this count of seconds.
     failed = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00',"
                     " cast(failed_at AS timestamp_ntz))")
-    return L.stale_jobs(stretches).select("job", failed.alias("failed_s"), "last_status")
+    return failures.select("job", failed.alias("failed_s"), "last_status")
 
 
 @query("retention_stream", sql("SELECT id, path FROM gone_paths"))
@@ -76,5 +91,5 @@ def retention_stream(spark, d):
         return J.object_paths_of(J.expired_jobs(good_jobs(spark, d), F.lit(NOW))).select("id", "path")
 
     return _drain(spark, "retention", lambda out, state: L.retention_stream(
-        progress(spark, d), clean, out, state, every=None),
+        progress(spark, d), clean, out, state, drain=True),
         lambda s, p: s.read.parquet(p)).select("id", "path").distinct()

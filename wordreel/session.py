@@ -45,6 +45,11 @@ def stage_dir(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), "wordreel", spark.sparkContext.applicationId)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder among this application's stages."""
+    return os.path.join(stage_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -54,7 +59,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     tables, so they stay until `drop_stages`.
     """
     spark = df.sparkSession
-    path = os.path.join(stage_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = run_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
