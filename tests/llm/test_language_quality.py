@@ -31,6 +31,24 @@ def test_language_of_unseen_text(spark, two_languages, odd):
     assert out.count() == odd.count() and out.columns[: len(odd.columns)] == odd.columns
 
 
+def test_every_language_has_a_dictionary_however_many_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    letters = [chr(c) for c in [*range(97, 123), *range(0x430, 0x450), *range(0x3B1, 0x3C9)]]
+    rows, words = [], {}
+    for k in range(600):
+        words[k] = ["".join(rng.choice(letters, 7)) for _ in range(6)]
+        rows += [(k * 3 + j, " ".join(rng.choice(words[k], 40)), f"l{k:03}") for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(4)
+    monkeypatch.setattr(language, "MODEL_BYTES", 600 * 400)
+    model = language.train(docs, F.lit(True))
+    assert len(model.dictionaries) == 600
+    assert sum(len(raw) for _, raw in model.dictionaries) <= language.MODEL_BYTES
+    predict = language.predictor(model)
+    asked = range(0, 600, 50)
+    got = predict([" ".join(rng.choice(words[k], 30)) for k in asked])[0]
+    assert list(got) == [f"l{k:03}" for k in asked]
+
+
 def test_clashing_names_are_refused(spark, odd, two_languages):
     with pytest.raises(ValueError):
         language.predict(odd, language.train(two_languages, F.lit(True)))

@@ -24,7 +24,7 @@ def paths(pieces, log_p, word):
     def walk(at):
         if at == len(text):
             yield 0.0, []
-        for end in range(at + 1, min(len(text), at + lattice.MAX_PIECE) + 1):
+        for end in range(at + 1, len(text) + 1):
             i = of.get(text[at:end])
             if i is not None:
                 for w, rest in walk(end):

@@ -57,6 +57,21 @@ def test_large_components_stay_exact(spark):
     assert got(df) == brute(rows, lambda i: i % 20 == 0, 20)
 
 
+def test_huge_components_are_held_in_a_long(spark):
+    """Finite floats of any size: components and scores end where a 64-bit integer ends."""
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([3e38, -3e38, 1e17, -1e9, 0.5]) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    hold = lambda x: min(max(x, topk.LEAST), topk.MOST)
+    v = {r["vec_id"]: [min(max(math.floor(64 * x), -(1 << 63)), topk.MOST) for x in r["embedding"]]
+         for r in df.collect()}
+    want = set()
+    for q in range(0, 60, 20):
+        best = sorted((-hold(sum(a * b for a, b in zip(v[q], v[i]))), i) for i in v if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best[:20])}
+    assert got(df) == want
+
+
 def test_bounds_keep_every_competitive_row():
     import numpy as np
 

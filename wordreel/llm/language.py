@@ -22,7 +22,8 @@ UNKNOWN = "und"
 DICTIONARY_BYTES = 112_640      # raw text per language, sent to every task
 SAMPLE_DOCS = 400               # training documents per language, about
 SAMPLE_CHARS = 4_096            # of each of them, of which the dictionary takes a share
-MAX_LANGUAGES = 512             # languages that a model may hold, the most frequent ones
+LEAST_DOCS = 16                 # of each language, however many there are
+MODEL_BYTES = 48 << 20          # raw text of all languages together; many share it
 BLOCK = 4_096
 LEVEL = 6
 MIN_MARGIN = 0.004              # relative size difference below which a text is rejected
@@ -74,18 +75,20 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text"
           dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """Dictionaries from a bounded sample of the rows that may be learned from.
 
-    At most `MAX_LANGUAGES` languages, about `sample_docs` documents of each and
-    `SAMPLE_CHARS` characters of each document reach the driver; all of them share
-    the dictionary of their language.
+    About `sample_docs` documents of each language and `SAMPLE_CHARS` characters of
+    each document reach the driver; all of them share the dictionary of their
+    language. Every language has one: where there are so many that the dictionaries
+    would be more than `MODEL_BYTES` together, they and the samples are smaller.
     """
     rows = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_"), F.col(lang).alias("l_"),
                        learn.alias("learn_"))
     rows = rows.filter("learn_ AND l_ IS NOT NULL AND t_ IS NOT NULL").drop("learn_")
     # the counts that rank languages come from all rows, the text from the sample
-    ranked = (rows.groupBy("l_").count().orderBy(F.desc("count"), "l_").limit(MAX_LANGUAGES)
-              .collect())
-    sample = bounded_sample(rows.filter(rows.t_.rlike(r"\p{L}")), "l_", F.col("k_"), sample_docs,
-                            MAX_LANGUAGES)
+    ranked = rows.groupBy("l_").count().orderBy(F.desc("count"), "l_").collect()
+    share = min(1.0, MODEL_BYTES / (max(1, len(ranked)) * dictionary_bytes))
+    dictionary_bytes = max(64, int(dictionary_bytes * share))
+    sample = bounded_sample(rows.filter(rows.t_.rlike(r"\p{L}")), "l_", F.col("k_"),
+                            max(LEAST_DOCS, int(sample_docs * share)), max(1, len(ranked)))
     got: dict[str, list[tuple[int, str]]] = {}
     # a slice from anywhere in the text, so that what long texts hold later is learned too
     room = F.greatest(F.length("t_") - SAMPLE_CHARS, F.lit(0)) + 1

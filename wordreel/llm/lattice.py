@@ -35,7 +35,6 @@ from wordreel.llm.base import MIX1, MIX2, U64, Powers, tokenizer_file
 from wordreel.session import settle
 
 START = b"\xff"             # never part of UTF-8
-MAX_PIECE = 18              # bytes of the longest pieces used
 SHARE = 2_000_000           # a word with more than 1/SHARE of all tokens is sent to all tasks
 FLUSH = 300_000             # distinct words that a task counts before it hands them on
 GROUPS = 7                  # groups of training documents with weights of their own
@@ -64,7 +63,7 @@ class Pieces:
             start = text.startswith("▁")
             rest = text[1:] if start else text
             raw = (START if start else b"") + rest.encode("utf-8").lower()
-            if "▁" not in rest and len(raw) <= MAX_PIECE:
+            if "▁" not in rest:
                 named.append((-model.get_score(i), raw))
         best: dict[bytes, float] = {}
         for score, raw in sorted(named):
@@ -72,6 +71,7 @@ class Pieces:
         for b in range(256):
             best.setdefault(bytes([b]), max(best.values(), default=0.0) + 1)
         self.pieces = list(best)
+        self.longest = max(map(len, self.pieces))
         order = np.array(list(best.values()))
         weight = 1 / (order - order.min() + 10)         # the scores rank the pieces
         self.log_p = np.log(weight / weight.sum())
@@ -122,7 +122,7 @@ class Pieces:
         sums = np.zeros((size + 1, n), U64)
         np.cumsum((data + U64(1)) * self.powers.up[:size, None], axis=0, dtype=U64, out=sums[1:])
         start, end, piece = [], [], []
-        for l in range(1, min(size, MAX_PIECE) + 1):
+        for l in range(1, min(size, self.longest) + 1):
             raw = (sums[l:] - sums[: size + 1 - l]) * self.powers.down[: size + 1 - l, None]
             at, found = self.find(raw.ravel())
             start.append(at)
@@ -130,7 +130,7 @@ class Pieces:
             piece.append(found)
         end_of = np.concatenate(end)
         order = np.argsort(end_of, kind="stable")
-        return Lattice(n, size, np.concatenate(start)[order], end_of[order],
+        return Lattice(n, size, self.longest, np.concatenate(start)[order], end_of[order],
                        np.concatenate(piece)[order])
 
 
@@ -140,6 +140,7 @@ class Lattice:
 
     n: int
     size: int
+    longest: int            # bytes of the longest piece
     start: np.ndarray
     end: np.ndarray         # ascending; single bytes reach every place
     piece: np.ndarray
@@ -178,7 +179,7 @@ class Lattice:
             a, b = first[t * n], first[(t + 1) * n]
             share[a:b] *= visits[self.end[a:b]]
             # a piece begins at most its own length before
-            low = max(0, t + 1 - MAX_PIECE) * n
+            low = max(0, t + 1 - self.longest) * n
             visits[low: (t + 1) * n] += np.bincount(self.start[a:b] - low, share[a:b],
                                                     minlength=(t + 1) * n - low)
         return np.bincount(self.piece, share, minlength=len(log_p))

@@ -32,7 +32,6 @@ LENGTH = 200
 GRAM = 64
 FILTER_BITS = 1 << 27
 GROUP = 512         # distinct phrases of one gram that are compared in one group
-NO_ID = -(1 << 63)
 
 
 # --- parsing --------------------------------------------------------------
@@ -126,9 +125,9 @@ def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, th, text): an id and a hash of the text tell rows with one id apart."""
-    text_of = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"),
-                       F.hash(text_of).alias("th"), text_of.alias("text"))
+    doc, th = _identity(key, text)
+    return docs.select(doc.alias("doc"), th.alias("th"),
+                       F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def gram_counts(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -159,7 +158,7 @@ def shared_phrases(rows: DataFrame, grams: DataFrame, length: int, gram: int) ->
                      pa.array(got["hi"][ok].astype(np.int32))],
                     names=["gram", "phrase", "doc", "th", "lo", "hi"])
 
-    found = rows.mapInArrow(run, "gram bigint, phrase bigint, doc bigint, th int, lo int, hi int")
+    found = rows.mapInArrow(run, "gram bigint, phrase bigint, doc bigint, th bigint, lo int, hi int")
     return found.join(grams.select("gram"), "gram")
 
 
@@ -181,7 +180,7 @@ def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
                 names=["doc", "th", "packed"])
 
     texts = rows.select("doc", "th", "text", F.xxhash64("doc", "th").alias("key_")).mapInArrow(
-        run, "doc bigint, th int, packed binary")
+        run, "doc bigint, th bigint, packed binary")
     return texts.join(keyed.drop("key_"), ["doc", "th"])
 
 
@@ -199,7 +198,7 @@ def _phrase_bytes(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                 text = unpack(packed) if packed else b""
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x["gram"] for x in of], pa.int64()),
-                    pa.array([doc] * len(of), pa.int64()), pa.array([th] * len(of), pa.int32()),
+                    pa.array([doc] * len(of), pa.int64()), pa.array([th] * len(of), pa.int64()),
                     pa.array([x["lo"] for x in of], pa.int32()),
                     pa.array([x["single"] for x in of], pa.bool_()),
                     pa.array([x["large"] for x in of], pa.bool_()),
@@ -208,7 +207,7 @@ def _phrase_bytes(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
     joined = _with_lists(rows, lists)
     # a batch of few rows stands for a whole text each: join the small batches again
-    return joined.mapInArrow(_rebatched(run), "gram bigint, doc bigint, th int, lo int, "
+    return joined.mapInArrow(_rebatched(run), "gram bigint, doc bigint, th bigint, lo int, "
                                               "single boolean, large boolean, bytes binary")
 
 
@@ -284,7 +283,7 @@ def _small_groups(phrases: DataFrame, length: int) -> DataFrame:
 
     return (phrases.filter("NOT large").select("gram", "doc", "th", "lo", "single", "bytes")
             .repartition("gram").sortWithinPartitions("gram")
-            .mapInArrow(run, "doc bigint, th int, lo int, hi int"))
+            .mapInArrow(run, "doc bigint, th bigint, lo int, hi int"))
 
 
 def _large_groups(phrases: DataFrame, length: int) -> DataFrame:
@@ -305,7 +304,7 @@ def _large_groups(phrases: DataFrame, length: int) -> DataFrame:
 
     windows = settle(
         phrases.filter("large").select("gram", "doc", "th", "lo", "single", "bytes")
-        .mapInArrow(run, "gram bigint, window bigint, doc bigint, th int, lo int, single boolean"),
+        .mapInArrow(run, "gram bigint, window bigint, doc bigint, th bigint, lo int, single boolean"),
         "windows")
     twice = (windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
              .drop("n"))
@@ -377,7 +376,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id",
     A byte goes if a string of `length` bytes covers it that starts at another
     place too, in the same text or in another; matches never cross documents.
     Documents that lose nothing have no row; (doc_id, th) may repeat for repeated
-    rows, which lose the same bytes. th is Spark's hash of the text, null as
+    rows, which lose the same bytes. th is a 64-bit hash of the text, null as
     empty.
     """
     rows = _identified(docs, key, text)
@@ -407,16 +406,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id",
                 [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, arrow)],
                 names=["doc", "th", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    arrow = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(),
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(),
              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     return _with_lists(rows, lists).mapInArrow(
-        run, "doc bigint, th int, n_removed bigint, n_spans bigint, kept_sha256 string, "
+        run, "doc bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
              "spans array<struct<start: bigint, end: bigint>>")
 
 
 def _identity(key: str, text: str) -> tuple[Column, Column]:
-    return (F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)),
-            F.hash(F.coalesce(F.col(text), F.lit(""))))
+    """The id and 64 bits of the text; rows without an id go by 128 bits of the text."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return (F.coalesce(F.col(key).cast("bigint"), F.xxhash64(whole, F.lit("no id"))),
+            F.xxhash64(whole))
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH,

@@ -29,7 +29,8 @@ def quantised(df: DataFrame, vector: str, key: str, scale: int = SCALE) -> DataF
     """(id, v): components as floor(scale * x); rows that cannot take part are left out.
 
     These are null and empty vectors and those with a null or non-finite
-    component, and rows without an id.
+    component, and rows without an id. A finite component beyond a 64-bit integer
+    counts as the end of that range, and so does a score; equal scores go by id.
     """
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     inf = F.lit(math.inf)
@@ -79,8 +80,9 @@ class Best:
         self.id: list[np.ndarray] = [np.zeros(0, np.int64)] * queries
 
     def threshold(self, q: int) -> int | None:
-        """A score below this cannot enter."""
-        return int(self.score[q][-1]) if len(self.score[q]) == self.k else None
+        """A score below this cannot enter; lower ones may yet count as the end of the range."""
+        full = len(self.score[q]) == self.k and self.score[q][-1] > LEAST
+        return int(self.score[q][-1]) if full else None
 
     def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         s = np.concatenate([self.score[q], score])
@@ -93,11 +95,22 @@ class Best:
 
 
 def exact_type(*matrices: np.ndarray) -> type:
-    """Floats if every inner product is exact in them, else 64-bit integers."""
-    most = 1
+    """Floats if every inner product is exact in them, else 64-bit or Python's integers."""
+    most = 2        # a bound is a difference of two products
     for m in matrices:
         most *= max(int(m.max(initial=0)), -int(m.min(initial=0)), 1)
-    return np.float64 if most * matrices[0].shape[1] < 1 << 53 else np.int64
+    most *= matrices[0].shape[1]
+    return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+
+
+LEAST, MOST = 1 - (1 << 63), (1 << 63) - 1
+
+
+def as_long(score: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; those beyond count as the end of the range."""
+    if score.dtype == object:
+        score = np.array([min(max(int(s), LEAST), MOST) for s in score], np.int64)
+    return score.astype(np.int64)
 
 
 def max_score(query: np.ndarray, shard: np.ndarray, low: np.ndarray, high: np.ndarray,
@@ -114,7 +127,7 @@ def max_score(query: np.ndarray, shard: np.ndarray, low: np.ndarray, high: np.nd
         part = query[terms] @ (shard[terms] if rows is None else shard[np.ix_(terms, rows)])
         score = part if score is None else score + part
         if threshold is not None:
-            keep = score + rest[min(at + GROUP, len(order))] >= threshold
+            keep = np.asarray(score + rest[min(at + GROUP, len(order))] >= threshold, bool)
             if not keep.all():
                 rows = np.flatnonzero(keep) if rows is None else rows[keep]
                 score = score[keep]
@@ -170,7 +183,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
         for q in range(len(ids)):
             rows_at, score = max_score(block[q], shard, low, high, best.threshold(q))
             other = row_ids[rows_at] != ids[q]
-            best.add(q, score[other].astype(np.int64), row_ids[rows_at[other]])
+            best.add(q, as_long(score[other]), row_ids[rows_at[other]])
 
     def result(ids: np.ndarray, best: Best) -> pa.RecordBatch:
         n = [len(s) for s in best.score]
