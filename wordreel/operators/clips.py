@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordreel import fixed
-from wordreel.operators.scan import join_takes, running, time_block
+from wordreel.operators.scan import join_takes, ranked, running, time_block
 
 
 def content_type(videos: DataFrame) -> DataFrame:
@@ -227,13 +227,12 @@ def clip_library(clips: DataFrame, now: Column, tie: str = "clip_id") -> DataFra
     `created_at` is text, `now` epoch seconds; a creation time that cannot be read
     counts as now. Clips of one second are ranked by `tie`, the larger first.
     """
-    newest = Window.partitionBy("user_id").orderBy(F.desc("created_s"), F.desc(tie))
     made = F.coalesce(F.unix_timestamp(F.expr("try_to_timestamp(created_at)")), now)
     left = made + fixed.CLIP_TTL_SECONDS - now
-    return clips.withColumns({"created_s": made, "expires_in_seconds": left}).filter(
-        "expires_in_seconds > 0").withColumns({
-            "expires_in_human": human_time(F.col("expires_in_seconds")),
-            "rank": F.row_number().over(newest)})
+    live = clips.withColumns({"created_s": made, "expires_in_seconds": left}).filter(
+        "expires_in_seconds > 0").withColumn(
+        "expires_in_human", human_time(F.col("expires_in_seconds")))
+    return ranked(live, ["user_id"], [F.desc("created_s"), F.desc(tie)], "rank")
 
 
 def catalogue(spark: SparkSession, requests: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordreel import fixed
 from wordreel.operators.scan import (
-    SPAN_MS, join_takes, numbered, position_block, running, time_block)
+    SPAN_MS, join_takes, numbered, position_block, running, time_block, with_neighbours)
 
 JOIN_SPAN_MS = 60_000   # bucket width of interval joins
 
@@ -109,15 +109,43 @@ def assign_words(words: DataFrame, spans: DataFrame) -> DataFrame:
 
     Words without length belong to the span that contains them; words that
     touch no span are gone. `spans` comes from `with_offsets`.
+
+    Words and spans are put in one row of time per block, where a word follows the
+    last span that begins before it. That span is the answer unless another one
+    begins inside the word; only such words, a small part, are joined to spans.
     """
     s = spans.select(
         "take_id", "seg", "offset_ms", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    near = with_neighbours(s, ["take_id"], "seg", next={"next_s": "s"})
+    until = F.greatest("s", "e", F.coalesce(F.col("next_s") - 1, "e"))
+    marks = near.withColumn("span", F.struct("seg", "offset_ms", "s", "e", "next_s")).select(
+        "take_id", F.explode(F.sequence(time_block("s"), time_block(until))).alias("blk_"),
+        "s", "span").select(
+        "take_id", "blk_", F.greatest("s", F.col("blk_") * SPAN_MS).alias("at_"),
+        F.lit(0).alias("kind_"), "span")
+    said = words.select("take_id", time_block("start_ms").alias("blk_"),
+                        F.col("start_ms").alias("at_"), F.lit(1).alias("kind_"),
+                        "idx", "start_ms", "end_ms", "text")
+    w = Window.partitionBy("take_id", "blk_").orderBy("at_", "kind_")
+    placed = said.unionByName(marks, allowMissingColumns=True).withColumn(
+        "span", F.last("span", ignorenulls=True).over(w)).filter("kind_ = 1").select(
+        "take_id", "idx", "start_ms", "end_ms", "text", "span.*")
+    flat = F.col("end_ms") <= F.col("start_ms")
+    # a word without length at the begin of a span may stand at the end of the one before
+    sure = F.coalesce(F.col("s").isNotNull() & F.when(flat, F.col("s") < F.col("start_ms")).otherwise(
+        F.col("next_s").isNull() | (F.col("next_s") >= F.col("end_ms"))), F.lit(False))
+    held = F.when(flat, F.col("start_ms") <= F.col("e")).otherwise(F.col("start_ms") < F.col("e"))
+    rest = placed.filter(~sure).select("take_id", "idx", "start_ms", "end_ms", "text")
+    return placed.filter(sure & held).drop("next_s").unionByName(_by_overlap(rest, s))
+
+
+def _by_overlap(words: DataFrame, s: DataFrame) -> DataFrame:
+    """Words with the one of all spans they touch that they overlap most."""
     flat = F.col("end_ms") <= F.col("start_ms")
     inside = (F.col("s") <= F.col("start_ms")) & (F.col("start_ms") <= F.col("e"))
     over = (F.col("start_ms") < F.col("e")) & (F.col("end_ms") > F.col("s"))
     pairs = interval_join(
-        words.select("take_id", "idx", "start_ms", "end_ms", "text"), s,
-        (F.col("start_ms"), F.col("end_ms")), (F.col("s"), F.col("e")),
+        words, s, (F.col("start_ms"), F.col("end_ms")), (F.col("s"), F.col("e")),
         F.when(flat, inside).otherwise(over))
     # Overlap first, then the lower span, as one number: plain columns keep the
     # aggregation in its hash table, where a struct would have to be sorted.

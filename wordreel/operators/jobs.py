@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordreel import fixed
 from wordreel.functions.text import base_name
-from wordreel.operators.scan import join_takes, running, position_block
+from wordreel.operators.scan import join_takes, position_block, ranked, running
 
 BATCH_BLOCK = 65_536
 
@@ -38,10 +38,9 @@ def recent_jobs(jobs: DataFrame, n: int = 50) -> DataFrame:
 
 
 def unseen(jobs: DataFrame) -> DataFrame:
-    """Finished jobs the user has not seen, ranked newest first."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("created_s"), F.desc("id"))
-    return jobs.filter(~F.col("seen") & F.col("status").isin(*fixed.FINAL_STATUSES)).withColumn(
-        "rank", F.row_number().over(w))
+    """Finished jobs the user has not seen, ranked newest first, however many a user has."""
+    found = jobs.filter(~F.col("seen") & F.col("status").isin(*fixed.FINAL_STATUSES))
+    return ranked(found, ["user_id"], [F.desc("created_s"), F.desc("id")], "rank")
 
 
 def mark_seen(jobs: DataFrame, acks: DataFrame) -> DataFrame:
@@ -79,12 +78,12 @@ def object_paths_of(jobs: DataFrame) -> DataFrame:
 def deletion_batches(paths: DataFrame, n: int = fixed.DELETE_BATCH) -> DataFrame:
     """(batch, paths): at most `n` paths each, in order of job id.
 
-    Paths are counted per block of ids, then by what the earlier blocks hold:
-    one row per block is all that a single task sees.
+    Paths are counted per block of ids, then per block of blocks; a single task sees
+    one row for each of the latter.
     """
     placed = paths.withColumn("at", F.col("id") * 2 + F.col("pos")).withColumn(
         "blk_", position_block("at", BATCH_BLOCK))
-    counted = running(placed, [], "blk_", ["at"], sums={"before": F.lit(1)})
+    counted = running(placed, [], "blk_", ["at"], sums={"before": F.lit(1)}, deep=True)
     return counted.groupBy(F.floor(F.col("before") / n).cast("bigint").alias("batch")).agg(
         F.array_sort(F.collect_list(F.struct("at", "path"))).alias("found")).select(
         "batch", F.col("found.path").alias("paths"))

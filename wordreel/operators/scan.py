@@ -6,7 +6,10 @@ alone. Rows are cut into blocks of a bounded span (of position or of time):
 * ``with_neighbours`` copies the few rows at a block's edge into the next block
   and runs lag/lead per block: one shuffle, no join;
 * ``running`` computes prefix sums and prefix maxima per block, then adds what
-  the earlier blocks of the take contribute, which is one row per block.
+  the earlier blocks of the take contribute, which is one row per block, and where
+  those are many themselves (``deep``) one row per block of blocks;
+* ``ranked`` numbers rows along any order: they are sorted over all tasks, numbered
+  within tasks, and what earlier tasks hold is added.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wordreel.session import settle
+
 BLOCK = 4096            # rows of one take per block of positions
 SPAN_MS = 600_000       # width of one block of time
 
@@ -79,11 +84,14 @@ def running(
     order: Sequence[str | Column],
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
+    deep: bool = False,
 ) -> DataFrame:
     """Add exclusive running sums (0 at the start) and maxima (NULL at the start).
 
     `block` is a bounded block number that never decreases along `order`.
     `df` is read twice, so hand in a table or a settled frame when it is costly.
+    With `deep` no task sees all blocks of a key: blocks are scanned in blocks of
+    their own, for keys (or a whole table, without keys) of very many rows.
     """
     sums, maxima = sums or {}, maxima or {}
     values = {f"v_{n}": e for n, e in {**sums, **maxima}.items()}
@@ -93,16 +101,8 @@ def running(
         *[F.sum(f"v_{n}").alias(f"t_{n}") for n in sums],
         *[F.max(f"v_{n}").alias(f"t_{n}") for n in maxima],
     )
-    # One row per block: this is the only window that sees a whole take.
-    over_blocks = (
-        Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = totals.select(
-        *keys,
-        block,
-        *[F.coalesce(F.sum(f"t_{n}").over(over_blocks), F.lit(0)).alias(f"c_{n}") for n in sums],
-        *[F.max(f"t_{n}").over(over_blocks).alias(f"c_{n}") for n in maxima],
-    )
+    carry = _carried(totals, keys, block, [f"t_{n}" for n in sums], [f"t_{n}" for n in maxima], deep)
+    carry = carry.withColumnsRenamed({f"t_{n}": f"c_{n}" for n in {**sums, **maxima}})
     in_block = (
         Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -118,6 +118,43 @@ def running(
     return done.drop(*[f"{p}_{n}" for n in {**sums, **maxima} for p in "vlc"])
 
 
+def _carried(totals: DataFrame, keys: Sequence[str], block: str, sums: list[str],
+             maxima: list[str], deep: bool) -> DataFrame:
+    """For one row per block what the blocks before it hold, under the same names.
+
+    If not `deep`, one window sees all blocks of a key; if so, a block of blocks, and
+    what earlier ones of these hold is added: one row for `BLOCK` ** 2 positions.
+    """
+    group = [*keys, "sup_"] if deep else list(keys)
+    rows = totals.withColumn("sup_", position_block(block)) if deep else totals
+    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select(
+        *group, block, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums],
+        *[F.max(c).over(before).alias(c) for c in maxima])
+    if not deep:
+        return local
+    above = rows.groupBy(*group).agg(*[F.sum(c).alias(c) for c in sums],
+                                     *[F.max(c).alias(c) for c in maxima])
+    far = _carried(above, keys, "sup_", sums, maxima, False).withColumnsRenamed(
+        {c: f"far_{c}" for c in sums + maxima})
+    return local.join(far, group).select(
+        *keys, block, *[(F.col(c) + F.col(f"far_{c}")).alias(c) for c in sums],
+        *[F.greatest(c, f"far_{c}").alias(c) for c in maxima])
+
+
+def in_order(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """`df` written in this order over all tasks, with the number of the task as `blk_`."""
+    return settle(df.repartitionByRange(*order).withColumn(
+        "blk_", F.spark_partition_id().cast("bigint")), name)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add the rank from 1 within the keys; a key with most of the rows is many tasks' work."""
+    placed = in_order(df, [*[F.col(k) for k in keys], *order], f"ranked-{name}")
+    counted = running(placed, keys, "blk_", order, sums={name: F.lit(1)})
+    return counted.withColumn(name, F.col(name) + 1).drop("blk_")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], position: str, name: str,
              size: int = BLOCK) -> DataFrame:
     """Add a 0-based dense number along an integer `position`, unique per key."""
