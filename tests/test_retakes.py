@@ -171,3 +171,31 @@ def test_pauses_of_padded_cuts(spark):
     cuts = spark.createDataFrame([(1, 100, 700, "silence"), (1, 900, 950, "filler")],
                                  "take_id bigint, start_ms bigint, end_ms bigint, reason string")
     assert [tuple(r) for r in R.pauses_of_cuts(cuts).collect()] == [(1, 100, 700)]
+
+
+def test_waves_ask_nothing_twice(spark):
+    lines = [(t, g, n, f"line {t if g else 0} {g} {n}") for t in (1, 2, 3) for g in range(5)
+             for n in range(3)]
+    digests = R.prompt_digests(spark.createDataFrame(
+        lines, "take_id bigint, grp bigint, line_no bigint, line string"))
+    of = {(r.take_id, r.grp): r.digest for r in digests.collect()}
+    # the first question of all takes is the same, all others differ
+    assert len({of[t, 0] for t in (1, 2, 3)}) == 1 and len(set(of.values())) == 13
+    log = []
+
+    def wave(width=2, tries=2):
+        replies = spark.createDataFrame([(of[k], ok) for k, ok in log], "digest string, ok boolean")
+        return {(r.take_id, r.grp): r.attempt
+                for r in R.next_prompts(digests, replies, width, tries).collect()}
+
+    assert wave() == {(1, 0): 1, (1, 1): 1, (2, 1): 1, (3, 1): 1}
+    log += [((1, 0), True), ((1, 1), True), ((2, 1), False)]       # then the run broke off
+    assert wave() == {(1, 2): 1, (1, 3): 1, (2, 1): 2, (3, 1): 1, (3, 2): 1}
+    log += [((2, 1), False), ((3, 1), True), ((3, 2), True), ((1, 2), True), ((1, 3), True)]
+    assert wave() == {(1, 4): 1, (3, 3): 1, (3, 4): 1}             # take 2 has failed for good
+    log += [((1, 4), True), ((3, 3), False)]
+    assert wave() == {(3, 3): 2}
+    assert wave(tries=1) == {}
+    changed = R.prompt_digests(spark.createDataFrame(
+        [(1, 0, 0, "line 0 0 0 new")], "take_id bigint, grp bigint, line_no bigint, line string"))
+    assert changed.first().digest not in of.values()

@@ -178,6 +178,39 @@ def test_a_writer_that_fails_leaves_whole_files_only(tmp_path):
     assert [f.name for f in (tmp_path / "out").iterdir()] == ["_parts"]
 
 
+def test_a_change_of_jobs_rewrites_the_buckets_it_touches(spark, tmp_path):
+    from wordreel.sources.job_table import JobTable
+    rows = [(i, i % 7, "queued" if i % 2 else "completed", False, None, "2024-01-01T00:00:00Z", i * 10)
+            for i in range(200)]
+    jobs = spark.createDataFrame(rows, "id bigint, user_id bigint, status string, seen boolean, "
+                                       "error string, updated_at string, expires_s bigint")
+    table = JobTable(spark, str(tmp_path / "jobs"))
+    table.create(jobs, 16)
+    before = {r.id: r for r in table.read().collect()}
+    assert len(before) == 200
+    held = table.read()                         # a reader that has begun keeps its moment
+    acks = spark.createDataFrame([(3, 3), (5, 4), (5, 5)], "id bigint, user_id bigint")
+    assert 1 <= len(table.mark_seen(acks)) <= 2
+    files = lambda v: list((tmp_path / "jobs" / "x").parent.glob(f"version={v}-*/bucket=*/*.parquet"))
+    assert 1 <= len(files(1)) <= 2
+    assert {r.id for r in table.read().filter("seen").collect()} == {3, 5}
+    assert held.filter("seen").count() == 0 and table.read().count() == 200
+    assert table.mark_seen(acks.filter("id > 1000")) == []
+    assert len(table.purge(F.lit(15))) <= 2
+    assert {r.id for r in table.read().collect()} == set(range(2, 200))
+    assert len(table.mark_stale(F.lit(1704067200 + 3600))) == 16
+    assert {r.status for r in table.read().filter("id % 2 = 1").collect()} == {"failed"}
+    # a writer that began on an older list is refused, and nothing of it is seen
+    late = JobTable(spark, str(tmp_path / "jobs"))
+    now = late._list()
+    late._list = lambda: now | {"number": now["number"] - 1}
+    with pytest.raises(FileExistsError):
+        late.mark_seen(acks.withColumn("id", F.col("id") + 4).withColumn("user_id", F.col("id") % 7))
+    assert {r.id for r in table.read().filter("seen").collect()} == {3, 5}
+    table.vacuum()
+    assert len(list((tmp_path / "jobs").glob("list-*.json"))) == 2 and table.read().count() == 198
+
+
 def test_old_files_are_listed_not_deleted(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     files = J.list_files(spark, str(tmp_path))

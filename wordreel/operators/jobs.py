@@ -50,13 +50,21 @@ def mark_seen(jobs: DataFrame, acks: DataFrame) -> DataFrame:
         "seen", F.col("seen") | F.coalesce("ack", F.lit(False))).drop("ack")
 
 
+def _silent(now: Column) -> Column:
+    silent = F.coalesce(now - seconds_of("updated_at") > fixed.STALE_SECONDS, F.lit(False))
+    return F.col("status").isin(*fixed.ACTIVE_STATUSES) & silent
+
+
+def silent_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+    return jobs.filter(_silent(now))
+
+
 def mark_stale(jobs: DataFrame, now: Column) -> DataFrame:
     """Active jobs without a sign of life for half an hour have failed.
 
     `updated_at` is text; a time that cannot be read leaves the job alone.
     """
-    silent = F.coalesce(now - seconds_of("updated_at") > fixed.STALE_SECONDS, F.lit(False))
-    stale = F.col("status").isin(*fixed.ACTIVE_STATUSES) & silent
+    stale = _silent(now)
     return jobs.withColumns({"error": F.when(stale, fixed.STALE_MESSAGE).otherwise(F.col("error")),
                              "status": F.when(stale, "failed").otherwise(F.col("status"))})
 

@@ -233,6 +233,41 @@ def retake_prompts(members: DataFrame) -> DataFrame:
     return frame.unionByName(attempts_)
 
 
+def prompt_digests(lines: DataFrame) -> DataFrame:
+    """(take_id, grp, digest) of prompts (take_id, grp, line_no, line), which never meet in one row."""
+    one = lambda *more: F.lpad(F.hex(F.bit_xor(F.xxhash64(
+        "line_no", "line", *more))), 16, "0")
+    return lines.groupBy("take_id", "grp").agg(
+        F.concat(one(), one(F.lit("second")), F.hex(F.count("*"))).alias("digest"))
+
+
+def next_prompts(digests: DataFrame, replies: DataFrame, width: int = fixed.MAX_GROUPS,
+                 tries: int = 1) -> DataFrame:
+    """(take_id, grp, digest, attempt): what the next wave asks, over restarts too.
+
+    `replies` (digest, ok) is the log of all asking so far. A question that has a good
+    reply is not asked again, and one that several takes share is asked for the first
+    of them. A take asks its first `width` open questions; once one of them has failed
+    it is asked alone, and after `tries` failures the take asks no more, as the rest
+    would fail alike.
+    """
+    log = replies.groupBy("digest").agg(F.bool_or("ok").alias("answered"),
+                                        F.count_if(~F.col("ok")).alias("failures"))
+    state = join_takes(digests, log, "left", "digest").withColumns({
+        "answered": F.coalesce("answered", F.lit(False)),
+        "failures": F.coalesce("failures", F.lit(0))})
+    waiting = state.filter(~F.col("answered"))
+    first = waiting.groupBy("take_id").agg(
+        F.min("grp").alias("first"), F.min(F.when(F.col("failures") > 0, F.col("grp"))).alias("failed"),
+        F.max("failures").alias("most"))
+    open_ = join_takes(waiting, first.filter(F.col("most") < tries))
+    wave = open_.filter(F.when(F.col("failed").isNotNull(), F.col("grp") == F.col("failed"))
+                        .otherwise(F.col("grp") < F.col("first") + width))
+    asked = wave.groupBy("digest").agg(
+        F.min(F.struct("take_id", "grp")).alias("p"), F.max("failures").alias("failures"))
+    return asked.select("p.take_id", "p.grp", "digest", (F.col("failures") + 1).alias("attempt"))
+
+
 def verdicts(replies: DataFrame, sizes: DataFrame) -> DataFrame:
     """Replies that really say so, by exact JSON type.
 

@@ -451,6 +451,22 @@ def surviving_jobs(spark, d):
     return J.surviving_jobs(good_jobs(spark, d), F.lit(NOW)).select("id")
 
 
+@query("job_table", sql(f"""
+SELECT id, seen OR (id % 10 < 3 AND id % 2 = 0) AS seen,
+       CASE WHEN stale THEN 'failed' ELSE status END AS status
+FROM aged_jobs WHERE expires_s >= {NOW}"""))
+def job_table(spark, d):
+    """The jobs as files, after acknowledgements, a check for silence and a purge."""
+    table = JobTable(spark, run_folder(spark, "jobs"))
+    own = good_jobs(spark, d)
+    table.create(own, 8)
+    table.mark_seen(own.filter("id % 10 < 3").select(
+        "id", (F.col("user_id") + F.col("id") % 2).alias("user_id")))
+    table.mark_stale(F.lit(NOW))
+    table.purge(F.lit(NOW))
+    return table.read().select("id", "seen", "status")
+
+
 @query("deletion_batches", sql("""
 SELECT n // 100 AS batch, count(*) AS size, string_agg(path, ',' ORDER BY n) AS paths
 FROM (SELECT path, row_number() OVER (ORDER BY id, pos) - 1 AS n FROM gone_paths) GROUP BY n // 100"""))

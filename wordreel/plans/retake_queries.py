@@ -8,6 +8,7 @@ from wordreel.operators import detect as D, retakes as R
 from wordreel.plans import retakes as P, tighten
 from wordreel.plans.registry import query
 from wordreel.plans.sql import norm, part, sql
+from wordreel.session import settle
 from wordreel.sources import tables as T
 
 part("punct_bounds", r"""
@@ -156,6 +157,20 @@ def retake_prompts(spark, d):
     return R.retake_prompts(R.cap_groups(P.grouped(spark, d)[1]))
 
 
+@query("retake_wave", sql("""
+SELECT a.take_id, grp, CASE WHEN ok THEN 1 ELSE 2 END AS attempt
+FROM answers a LEFT JOIN (SELECT take_id, min(grp) AS broke FROM answers
+                          WHERE grp < 2 AND NOT ok GROUP BY take_id) f USING (take_id)
+WHERE CASE WHEN broke IS NOT NULL THEN grp = broke ELSE grp >= 2 AND grp < 2 + 3 END"""))
+def retake_wave(spark, d):
+    """The second wave, three questions to a take, after a first one of two."""
+    members = P.grouped(spark, d)[1]
+    digests = settle(R.prompt_digests(R.retake_prompts(members)), "digests")
+    first = P.replies_of(members).filter("grp < 2").join(digests, ["take_id", "grp"])
+    return R.next_prompts(digests, first.select("digest", "ok"), width=3, tries=2).select(
+        "take_id", "grp", "attempt")
+
+
 @query("retake_verdicts", sql("SELECT take_id, grp, keep, 80::BIGINT AS confidence_pct FROM confirmed"))
 def retake_verdicts(spark, d):
     return P.judged(P.grouped(spark, d)[1])[1].select(

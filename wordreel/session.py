@@ -80,6 +80,33 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    at, store = _store(spark, path)
+    stream = store.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears whole or not at all, and only if it is not there yet."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    at, store = _store(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    out = store.create(draft, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(store.makeQualified(draft), store.makeQualified(at), none)
+    except Exception as e:
+        store.delete(draft, False)
+        raise FileExistsError(f"{path} is there already; another writer was first") from e
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Remove all stages of this application, once its results are written."""
     remove(spark, stage_dir(spark))
