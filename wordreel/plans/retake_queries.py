@@ -158,7 +158,7 @@ def retake_prompts(spark, d):
 
 
 @query("retake_wave", sql("""
-SELECT a.take_id, grp, CASE WHEN ok THEN 1 ELSE 2 END AS attempt
+SELECT a.take_id, grp, CASE WHEN ok THEN 1 ELSE 2 END::BIGINT AS attempt
 FROM answers a LEFT JOIN (SELECT take_id, min(grp) AS broke FROM answers
                           WHERE grp < 2 AND NOT ok GROUP BY take_id) f USING (take_id)
 WHERE CASE WHEN broke IS NOT NULL THEN grp = broke ELSE grp >= 2 AND grp < 2 + 3 END"""))
