@@ -211,6 +211,14 @@ def test_a_change_of_jobs_rewrites_the_buckets_it_touches(spark, tmp_path):
     assert len(list((tmp_path / "jobs").glob("list-*.json"))) == 2 and table.read().count() == 198
 
 
+def test_a_long_history_is_filtered_before_it_is_joined(spark):
+    history = spark.range(300_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), "id")
+    wanted = history.filter("id % 1000 = 7").select("key")
+    left = {r.id for r in K.maybe_wanted(history, wanted).collect()}
+    assert set(range(7, 300_000, 1000)) <= left and len(left) < 330
+    assert K.maybe_wanted(history, wanted.filter("false")).count() == 0
+
+
 def test_old_files_are_listed_not_deleted(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     files = J.list_files(spark, str(tmp_path))

@@ -178,15 +178,37 @@ def request_key() -> Column:
     return F.substring(F.sha2(raw, 256), 1, 16)
 
 
+FILTER_BITS = 25        # a filter has 2 ** 25 bits: 4 MB, whatever it was made of
+
+
+def maybe_wanted(history: DataFrame, wanted: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of `history` without almost all whose key is not in `wanted`; none that is goes.
+
+    The wanted keys set bits of a table of fixed size, which every task has, so rows
+    that nobody asks for are dropped where they are read, before any shuffle.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS).cast("bigint"))
+    part, bit = F.shiftright(at, 15), at.bitwiseAND(F.lit((1 << 15) - 1).cast("bigint"))
+    bits = wanted.select(part.alias("part_"), bit.alias("bit_")).groupBy("part_").agg(
+        F.bitmap_construct_agg("bit_").alias("bits_"))     # at most 1,024 rows of 4 KB
+    found = history.withColumns({"part_": part, "bit_": bit}).join(F.broadcast(bits), "part_")
+    byte = F.conv(F.hex(F.substring("bits_", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    on = F.expr("bit_ % 8").cast("int")
+    return found.withColumn("on_", on).withColumn("byte_", byte.cast("int")).filter(
+        "(shiftright(byte_, on_) & 1) = 1").drop("part_", "bit_", "bits_", "on_", "byte_")
+
+
 def dedupe_requests(requests: DataFrame, done: DataFrame) -> DataFrame:
     """Add `key` and `job`: the finished job to reuse, else the first request of that key.
 
     `job` equals the request's own id where the work must be done. A key many
-    ask for is reduced to its first request before the shuffle.
+    ask for is reduced to its first request before the shuffle, and of a long
+    history only what may be asked for is shuffled.
     """
     keyed = requests.withColumn("key", request_key())
     first = keyed.groupBy("key").agg(F.min("request_id").alias("first"))
-    owner = first.join(done.select("key", F.col("job_id").alias("finished")), "key", "left")
+    past = maybe_wanted(done.select("key", F.col("job_id").alias("finished")), first)
+    owner = first.join(past, "key", "left")
     owned = join_takes(keyed, owner, on="key")
     return owned.withColumn("cached", F.col("finished").isNotNull()).withColumn(
         "job", F.coalesce("finished", "first")).drop("finished", "first")
