@@ -22,3 +22,23 @@ def test_query(spark, con, name):
 
 def test_entry_has_one_row_per_take(spark):
     assert entry.entry(spark).count() == 200
+
+
+def test_the_rest_loads_without_the_text_operators(monkeypatch):
+    import importlib
+    import importlib.util
+    real = importlib.util.find_spec
+
+    def find_spec(name, *more):
+        if name.startswith(("wordreel.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(name)
+        return real(name, *more)
+
+    try:
+        monkeypatch.setattr(importlib.util, "find_spec", find_spec)
+        left = importlib.reload(entry).queries()
+        assert "summary" in left and "pipeline" not in left
+        assert not any(n.startswith("op") for n in left)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)

@@ -277,15 +277,18 @@ def karaoke_cues(spark, d):
     return C.word_events(styled(T.words(spark, d)), styles, C.style_markup()).drop("body")
 
 
-def _ass_sql(heads: str, **local) -> str:
-    return sql(f"""
+ASS_SQL = f"""
 SELECT take_id, 0::BIGINT AS line_no, unnest(range(len(ls))) AS sub, unnest(ls) AS line
 FROM (SELECT m.take_id, string_split(regexp_replace(h.head, chr(10) || '$', ''), chr(10)) AS ls
       FROM media m JOIN heads h ON h.k = m.take_id % 4)
 UNION ALL
 SELECT e.take_id, e.n + 1, 0, 'Dialogue: 0,' || {ass('e.start_ms')} || ',' || {ass('e.end_ms')} ||
        ',Caption,,0,0,0,,' || b.body
-FROM event_times e JOIN event_bodies b USING (take_id, n)""", heads=heads, **local)
+FROM event_times e JOIN event_bodies b USING (take_id, n)"""
+
+
+def _ass_sql(heads: str, **local) -> str:
+    return sql(ASS_SQL, heads=heads, **local)
 
 
 def _heads(rows) -> str:
@@ -310,17 +313,28 @@ STYLE_BODIES = _bodies(
     r"{\c&H0000FFFF\alpha&H00\fscx112\fscy112}")
 
 
-@query("ass_documents", _ass_sql(_heads([
+STYLE_HEADS = _heads([
     ("Arial Black", 72, 80, W, "&H0000FFFF", "&H66000000", 4, 3, 320),
     ("Arial Black", 80, 89, W, "&H0000FFFF", "&H66000000", 5, 3, 320),
     ("Inter", 56, 62, W, "&H0088FF88", "&HBB000000", 2, 1, 300),
-    ("Arial Black", 72, 80, W, "&H000055FF", "&H66000000", 4, 2, 320)]), event_bodies=STYLE_BODIES))
+    ("Arial Black", 72, 80, W, "&H000055FF", "&H66000000", 4, 2, 320)])
+
+
+@query("ass_documents", _ass_sql(STYLE_HEADS, event_bodies=STYLE_BODIES))
 def ass_documents(spark, d):
     styles = styles_of(C.presets(spark))
     events = C.word_events(styled(T.words(spark, d)), styles, C.style_markup())
     return C.ass_lines(events, heads_of(spark, d, styles, C.style_header(F.lit(1080), F.lit(1920))))
 
 
+@query("ass_files", sql(files_sql(ASS_SQL), heads=STYLE_HEADS, event_bodies=STYLE_BODIES))
+def ass_files(spark, d):
+    styles = styles_of(C.presets(spark))
+    events = C.word_events(styled(T.words(spark, d)), styles, C.style_markup())
+    heads = heads_of(spark, d, styles, C.style_header(F.lit(1080), F.lit(1920)))
+    return files_of(spark, lambda to: sinks.ass_files(events, heads, to), ".ass")
+
+
 @query("clip_ass_documents", _ass_sql(_heads([
     ("Arial Black", 72, 80, W, "&H0000FFFF", "&H66000000", 4, 3, 320),
     ("Arial Black", 80, 89, W, "&H0000FFFF", "&H66000000", 5, 3, 320),
