@@ -4,9 +4,12 @@ Components are terms, vectors are documents; in a shard of vectors a query's
 terms are ordered by the most that each can add there. The terms whose bounds
 together cannot lift a vector over the k-th best score so far are non-essential:
 only the others are scored for all vectors, and the rest is probed, term group by
-term group, for those that can still get there. A task takes a block of queries
-through several shards, so the threshold rises from shard to shard; the best of
-the tasks are merged by rank.
+term group, for those that can still get there.
+
+Shards are dealt once, some to a lane; a task keeps the shards of its lane and
+takes one block of queries after the other through them, so the threshold rises
+from shard to shard. Vectors are shuffled once, queries once per lane, and of a
+lane come k rows per query, which are merged by rank.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wordreel.session import settle
+
 K = 20
 SHARD = 4_096           # vectors of a shard
+LANE = 16               # shards of a lane, about; a task holds one lane in memory
 QUERIES = 1_024         # queries of a block
 GROUP = 8               # terms probed at a time
 SCALE = 64
@@ -40,8 +46,11 @@ def quantised(df: DataFrame, vector: str, key: str, scale: int = SCALE) -> DataF
             .select("id", F.transform("v", lambda x: F.floor(x * scale).cast("bigint")).alias("v")))
 
 
-def _blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Vectors packed by `rows`, in every task on its own: one row per block."""
+def _blocks(df: DataFrame, rows: int) -> DataFrame:
+    """(ids, data, kind): vectors packed by `rows`, in every task on its own, one row per block.
+
+    `kind` is the narrowest type that holds the block's components.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         vectors: list[list[int]] = []
@@ -59,16 +68,21 @@ def _blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         flat = np.zeros((len(ids), width), "<i8")       # shorter vectors end in zeros
         for i, v in enumerate(vectors):
             flat[i, : len(v)] = v
+        kind = next(k for k in KINDS if flat.min() >= np.iinfo(k).min
+                    and flat.max() <= np.iinfo(k).max)
         return pa.RecordBatch.from_arrays(
-            [pa.array([np.array(ids, "<i8").tobytes()]), pa.array([flat.tobytes()])],
-            names=[f"{name}_ids", f"{name}_data"])
+            [pa.array([np.array(ids, "<i8").tobytes()]), pa.array([flat.astype(kind).tobytes()]),
+             pa.array([kind])], names=["ids", "data", "kind"])
 
-    return df.mapInArrow(run, f"{name}_ids binary, {name}_data binary")
+    return df.mapInArrow(run, "ids binary, data binary, kind string")
 
 
-def _matrix(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+KINDS = ("<i2", "<i4", "<i8")
+
+
+def _matrix(ids: bytes, data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(data, "<i8").reshape(len(i), -1)
+    return i, np.frombuffer(data, kind).reshape(len(i), -1)
 
 
 class Best:
@@ -113,29 +127,46 @@ def as_long(score: np.ndarray) -> np.ndarray:
     return score.astype(np.int64)
 
 
+def essential(gain: np.ndarray, least: int, threshold: int | None) -> int:
+    """How many terms, of descending gain, are essential.
+
+    A vector whose essential terms all add their least scores below `threshold`
+    whatever its other terms add: before the last essential term no vector can
+    be ruled out, after it some can. Without a threshold all terms are essential.
+    """
+    if threshold is None:
+        return len(gain)
+    left = np.cumsum(gain[::-1])[::-1]      # what a term and those after it can add
+    return int(np.count_nonzero(np.asarray(left + least >= threshold, bool)))
+
+
 def max_score(query: np.ndarray, shard: np.ndarray, low: np.ndarray, high: np.ndarray,
               threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of `shard` (terms by vectors) that may score `threshold` or more, and their scores."""
-    bound = np.where(query >= 0, query * high, query * low)     # the most a term can add
-    order = np.argsort(-np.abs(np.where(query >= 0, query * (high - low), query * (low - high))),
-                       kind="stable")
-    rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)    # what terms from here on can add
-    rows = None
-    score = None
-    for at in range(0, len(order), GROUP):
-        terms = order[at: at + GROUP]
-        part = query[terms] @ (shard[terms] if rows is None else shard[np.ix_(terms, rows)])
-        score = part if score is None else score + part
+    up = query >= 0
+    bound = np.where(up, query * high, query * low)     # the most a term can add
+    worst = np.where(up, query * low, query * high)     # and the least
+    order = np.argsort(worst - bound, kind="stable")
+    n = essential((bound - worst)[order], worst.sum(), threshold)
+    rows = np.arange(shard.shape[1])
+    if n == len(order):
+        score = query @ shard
         if threshold is not None:
-            keep = np.asarray(score + rest[min(at + GROUP, len(order))] >= threshold, bool)
-            if not keep.all():
-                rows = np.flatnonzero(keep) if rows is None else rows[keep]
-                score = score[keep]
-            if not len(score):
-                break
-    if rows is None:
-        rows = np.arange(shard.shape[1])
-    return rows, score
+            keep = np.asarray(score >= threshold, bool)
+            rows, score = rows[keep], score[keep]
+        return rows, score
+    if n == 0:
+        return rows[:0], np.zeros(0, query.dtype)
+    rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)    # what terms from here on can add
+    score = query[order[:n]] @ shard[order[:n]]
+    while True:
+        keep = np.asarray(score + rest[n] >= threshold, bool)
+        rows, score = rows[keep], score[keep]
+        if n == len(order) or not len(rows):
+            return rows, score
+        terms = order[n: n + GROUP]
+        score = score + query[terms] @ shard[np.ix_(terms, rows)]
+        n = min(n + GROUP, len(order))
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
@@ -148,30 +179,34 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     no rows give no result.
     """
     spark = rows.sparkSession
-    shards = _blocks(rows, SHARD, "row").withColumn(
-        "lane", F.pmod(F.xxhash64("row_ids"), F.lit(lanes(spark))).cast("int"))
-    blocks = _blocks(queries, QUERIES, "query").withColumn(
-        "lane", F.explode(F.sequence(F.lit(0), F.lit(lanes(spark) - 1))))
-    # the stated queries against all rows, block by block
-    met = (blocks.join(shards, "lane").repartition("lane", "query_ids")
-           .sortWithinPartitions("lane", "query_ids"))
-    met = met.select("query_ids", "query_data", "row_ids", "row_data")
+    shards = settle(_blocks(rows, SHARD), "shards")
+    n = shards.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(1, -(-n // LANE), min(n, tasks))
+    # the stated queries against all rows, block by block: a lane's shards, then all query blocks
+    dealt = shards.select(
+        F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"),
+        F.lit(False).alias("asks"), "ids", "data", "kind")
+    asked = _blocks(queries, QUERIES).select(
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
+        F.lit(True).alias("asks"), "ids", "data", "kind")
+    met = (dealt.unionByName(asked).repartitionById(lanes, "lane")
+           .sortWithinPartitions("lane", "asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: bytes | None = None
-        ids = block = best = None
+        now, held = None, []
         for batch in batches:
-            for q_ids, q_data, r_ids, r_data in zip(*(c.to_pylist() for c in batch.columns)):
-                if q_ids != now:
-                    if best:
-                        yield result(ids, best)
-                    now = q_ids
-                    ids, block = _matrix(q_ids, q_data)
-                    best = Best(len(ids), k)
-                row_ids, shard = _matrix(r_ids, r_data)
-                step(ids, block, row_ids, shard, best)
-        if best:
-            yield result(ids, best)
+            for lane, asks, *block in zip(*(c.to_pylist() for c in batch.columns)):
+                if lane != now:
+                    now, held = lane, []
+                if not asks:
+                    held.append(_matrix(*block))
+                    continue
+                ids, block = _matrix(*block)
+                best = Best(len(ids), k)
+                for row_ids, shard in held:
+                    step(ids, block, row_ids, shard, best)
+                yield result(ids, best)
 
     def step(ids, block, row_ids, shard, best: Best) -> None:
         width = max(block.shape[1], shard.shape[1])
@@ -197,11 +232,6 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def lanes(spark) -> int:
-    """Into how many the shards are dealt, so that one query block is worked on by several tasks."""
-    return max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-
-
 def top_k(df: DataFrame, is_query: Column, vector: str = "embedding", key: str = "vec_id",
           k: int = K, scale: int = SCALE) -> DataFrame:
     """`search` of the rows of a table that meet a condition on the key, among all others."""
