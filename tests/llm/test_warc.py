@@ -2,6 +2,7 @@ import base64
 import glob
 import gzip
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,25 @@ def test_small_segments_and_chunks(spark, tmp_path):
     assert found(rows) == expected(PAGES, 5)
 
 
+def test_very_long_page(spark, tmp_path):
+    """A page of 32 MB: every byte is copied a few times, not once per chunk or segment."""
+    text = "".join(f"line {i} of a long page\r\n" for i in range(1_200_000))
+    pages = [(1, "http://a/1", text), (2, "http://a/2", "short")]
+    start = time.time()
+    rows = warc.archive(frame(spark, pages), str(tmp_path / "w")).drop("payload").collect()
+    assert all(r["complete"] for r in rows)
+    assert found(rows) == expected(pages)
+    assert time.time() - start < 120
+
+
+def test_payload_of_other_writers():
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip, chunked\r\n\r\n"
+    assert warc.payload_of(head + b"3;x=1\r\nabc\r\nA\r\n0123456789\r\n0\r\n\r\n") == b"abc0123456789"
+    assert warc.payload_of(head + b"3\r\nabc\r\nzz") == b"abc"
+    assert warc.payload_of(head) == b"" and warc.payload_of(b"") == b""
+    assert warc.payload_of(b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n3\r\nabc\r\n") == b"3\r\nabc\r\n"
+
+
 def test_no_pages(spark, tmp_path):
     assert warc.archive(frame(spark, []), str(tmp_path / "w")).count() == 0
 

@@ -15,12 +15,12 @@ segment inside of it.
 
 from __future__ import annotations
 
-import os
-import uuid
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from wordreel.session import shared_dir
+from wordreel.llm.base import attach
+from wordreel.session import run_folder
 
 SEGMENT = 16_384            # bytes of a block in one record
 CHUNK = 4_096               # bytes of one chunk of the body
@@ -62,6 +62,24 @@ def record_id(page: Column, digest: Column, number: Column | None = None) -> Col
         F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
+def _joined(pieces: Column) -> Column:
+    """All binary pieces of an array in one; a fold that appends would copy them again and again."""
+    return F.array_join(F.transform(pieces, lambda x: x.cast("string")), "").cast("binary")
+
+
+def _cut(of: Column, size: int) -> Column:
+    """A binary in pieces of `size` bytes; an empty one has one empty piece.
+
+    It is handed on as an element of an array: a column that a function refers to
+    would be copied whole for every piece.
+    """
+    def pieces(data: Column) -> Column:
+        ends = F.sequence(F.lit(0), F.greatest(F.octet_length(data) - 1, F.lit(0)), F.lit(size))
+        return F.transform(ends, lambda at: F.substring(data, at + 1, F.lit(size)))
+
+    return F.transform(F.array(of), pieces)[0]
+
+
 def chunked(payload: Column, size: int = CHUNK) -> Column:
     """The body in chunked transfer framing.
 
@@ -69,20 +87,11 @@ def chunked(payload: Column, size: int = CHUNK) -> Column:
     payload contains, which so never stands whole in a block.
     """
     marked = F.split(payload.cast("string"), r"(?<=WARC/1)(?=\.1)")
-    return F.aggregate(marked, _bytes(""), lambda acc, part: F.concat(acc, _framed(part, size)),
-                       lambda acc: F.concat(acc, _bytes("0\r\n\r\n")))
-
-
-def _framed(part: Column, size: int) -> Column:
-    data = part.cast("binary")
-    n = F.octet_length(data)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)),
-        lambda at: F.substring(data, at + 1, F.lit(size)))
-    return F.when(n == 0, _bytes("")).otherwise(F.aggregate(
-        pieces, _bytes(""), lambda acc, x: F.concat(
-            acc, _bytes(F.concat(F.lower(F.hex(F.octet_length(x))), F.lit("\r\n"))), x,
-            _bytes("\r\n"))))
+    chunks = F.flatten(F.transform(marked, lambda part: F.filter(
+        _cut(part.cast("binary"), size), lambda x: F.octet_length(x) > 0)))
+    framed = F.transform(chunks, lambda x: F.concat(
+        _bytes(F.concat(F.lower(F.hex(F.octet_length(x))), F.lit("\r\n"))), x, _bytes("\r\n")))
+    return F.concat(_joined(framed), _bytes("0\r\n\r\n"))
 
 
 def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, segment: int = SEGMENT,
@@ -114,11 +123,9 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, segment: int =
     block = F.when(F.col("origin").isNull(), F.concat(_bytes(head), chunked(F.col("html"), chunk))
                    ).otherwise(_bytes(head))
     rows = rows.withColumn("block", block)
-    n = F.octet_length("block")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(segment)),
-                      lambda at: F.substring(F.col("block"), at + 1, F.lit(segment)))
-    rows = rows.select("page_id", "url", "digest", "n", "origin", n.alias("total"),
-                       F.posexplode(cut).alias("at", "part"))
+    rows = rows.select("page_id", "url", "digest", "n", "origin",
+                       F.octet_length("block").alias("total"),
+                       F.posexplode(_cut(F.col("block"), segment)).alias("at", "part"))
     number = F.col("at") + 1
     several = F.col("total") > segment
     of_page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -198,7 +205,7 @@ def reassembled(records: DataFrame) -> DataFrame:
         F.count_if(F.col("number") == 1).alias("copies"))
     headers = F.first(F.when(F.col("number") == 1, F.col("header")), ignorenulls=True)
     joined = joined.join(parts.groupBy("origin").agg(headers.alias("header")), "origin")
-    block = F.aggregate("parts", _bytes(""), lambda acc, x: F.concat(acc, x["block"]))
+    block = _joined(F.col("parts")["block"])
     # a record that was written several times comes out as often
     joined = joined.withColumn("block", block).withColumn(
         "copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
@@ -210,27 +217,30 @@ def reassembled(records: DataFrame) -> DataFrame:
     return whole.unionByName(joined.filter(F.col("header").isNotNull()))
 
 
-def dechunked(block: Column) -> Column:
-    """The payload of an HTTP response block in chunked framing; empty if it has no body."""
-    from_ = F.instr(block.cast("string"), "\r\n\r\n")
-    head = F.substring(block.cast("string"), F.lit(1), from_ - 1)
-    body = F.substring(block, F.octet_length(head) + 5, F.octet_length(block))
-    n = F.octet_length(body)
-    # every chunk has a line of its own, so this many steps see the last one
-    lines = F.sequence(F.lit(1), F.size(F.split(body.cast("string"), "\r\n")))
-    start = F.struct(F.lit(1).alias("at"), _bytes("").alias("data"))
+def payload_of(block: bytes | None) -> bytes | None:
+    """The payload of an HTTP response block; null for null, empty without a body.
 
-    def step(acc: Column, _: Column) -> Column:
-        line = F.substring(body, acc["at"], F.lit(10)).cast("string")
-        size = F.conv(F.substring_index(line, "\r\n", 1), 16, 10).cast("int")
-        skip = F.length(F.substring_index(line, "\r\n", 1)) + 2
-        more = (acc["at"] <= n) & F.coalesce(size > 0, F.lit(False))
-        return F.when(more, F.struct(
-            (acc["at"] + skip + size + 2).alias("at"),
-            F.concat(acc["data"], F.substring(body, acc["at"] + skip, size)).alias("data"))
-        ).otherwise(F.struct(acc["at"].alias("at"), acc["data"].alias("data")))
-
-    return F.aggregate(lines, start, step)["data"]
+    A body in chunked framing is put together from its chunks, up to the first
+    that is no chunk; any other body is the payload as it stands.
+    """
+    if block is None:
+        return None
+    head, _, body = block.partition(b"\r\n\r\n")
+    if not re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+        return body
+    view, chunks, at = memoryview(body), [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.match(rb"[0-9A-Fa-f]+", body[at:end]) if end >= 0 else None
+        size = int(size[0], 16) if size else 0
+        if not size:
+            return b"".join(chunks)
+        chunks.append(view[end + 2: end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _payloads():
+    return lambda blocks: [[payload_of(b) for b in blocks]]
 
 
 def pages_of(spark: SparkSession, path: str) -> DataFrame:
@@ -245,9 +255,10 @@ def pages_of(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(
         h["x-page"].cast("bigint").alias("page_id"), h["warc-target-uri"].alias("url"),
         h["warc-type"].alias("record_type"), h["x-refers-to-page"].cast("bigint").alias("refers_to"),
-        F.when(~revisit, dechunked(F.col("block"))).alias("payload"), "complete",
+        F.when(~revisit, F.col("block")).alias("block"), "complete",
         h["x-payload-length"].cast("bigint").alias("stated_bytes"),
         F.substring_index(h["warc-payload-digest"], ":", -1).alias("stated_digest"))
+    rows = attach(rows, "block", _payloads, [T.StructField("payload", T.BinaryType())])
     return rows.select(
         "page_id", "url", "payload",
         F.coalesce(_length(F.col("payload")), F.col("stated_bytes")).alias("payload_bytes"),
@@ -258,6 +269,6 @@ def pages_of(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, path: str | None = None, **options: int) -> DataFrame:
     """Write all pages to archives and read them back; see `records` and `pages_of`."""
     spark = pages.sparkSession
-    path = path or os.path.join(shared_dir(spark), "wordreel", f"warc-{uuid.uuid4().hex}")
+    path = path or run_folder(spark, "warc")
     write(pages, path, **options)
     return pages_of(spark, path)
