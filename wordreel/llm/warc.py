@@ -123,8 +123,9 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT, segment: int =
     block = F.when(F.col("origin").isNull(), F.concat(_bytes(head), chunked(F.col("html"), chunk))
                    ).otherwise(_bytes(head))
     rows = rows.withColumn("block", block)
-    rows = rows.select("page_id", "url", "digest", "n", "origin",
-                       F.octet_length("block").alias("total"),
+    # the length is taken first: beside `posexplode` every segment would carry the whole block
+    rows = rows.withColumn("total", F.octet_length("block"))
+    rows = rows.select("page_id", "url", "digest", "n", "origin", "total",
                        F.posexplode(_cut(F.col("block"), segment)).alias("at", "part"))
     number = F.col("at") + 1
     several = F.col("total") > segment
