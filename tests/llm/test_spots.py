@@ -62,6 +62,17 @@ def test_ids_beyond_doubles(spark):
     check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), rows)
 
 
+def test_one_id_of_most_rows_is_cut(spark):
+    """Rows that share a null or a repeated id lie in many parts, in the order of their texts."""
+    rows = [(None, f"the text {i * 7919 % 3000:04d} of one and no id") for i in range(3000)]
+    rows += [(9, f"a text {i % 700:04d} with the id of all") for i in range(1500)]
+    rows += [(i, f"the text {i} of many") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    check(df, rows)
+    sizes = [r["count"] for r in spots.with_next(df).filter("not halo").groupBy("part").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < len(rows) / 6
+
+
 def test_signatures_are_spots_with_chains():
     s = spots.Spotter(["the", "of"], chain=2)
     keys = s.sets(["the red house of stone", "the red house of stone", "of stone", "x", ""])

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,6 +24,8 @@ from wordreel.llm.base import U64, Powers, chunks, mix, word_spans
 
 CHAIN = 2                   # content words of a signature
 LEAST = 0.8
+BEGINS = 256                # characters by which rows of one id are dealt to parts
+SAMPLE = 64                 # rows a part from which those cuts are taken
 # fixed values: common words of English, French, German and Spanish
 SPOTS = {
     "en": "a an and are as at be but by for from had has have he her his in is it its not of on "
@@ -168,9 +172,12 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple
     """(part, halo, doc_id, text) dealt so that each part holds consecutive ids and the row
     after its last, marked as halo; and the number of parts.
 
-    Parts are cut near quantiles of the ids, so ids may be of any kind and
-    density. Quantiles are doubles, which hold no id beyond 2**53 exactly: a part
-    begins at its smallest real id. Null ids stand before all others.
+    Rows are ordered by id and text; a null id stands as the smallest long. Parts are
+    cut near quantiles of the ids, so ids may be of any kind and density. An id
+    that fills several quantiles (nulls, repeats) is cut as often, near quantiles
+    of how its texts begin, from a sample of about `SAMPLE` rows a part. Quantiles
+    are doubles, which hold no id beyond 2**53 exactly: a part begins at its
+    smallest real place.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"),
@@ -178,41 +185,67 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = 4 * tasks           # so that the hash of the parts is dealt evenly
-    cut = rows.agg(F.min(ids).alias("least"), F.percentile_approx(
-        ids, [i / n for i in range(1, n)], 20 * n).alias("at")).first()
-    near = np.array(sorted({cut["least"], *cut["at"]} if cut["at"] else [0]), np.int64)
+    cut = rows.agg(F.min(ids).alias("least"), F.count(F.lit(1)).alias("rows"),
+                   F.percentile_approx(ids, [i / n for i in range(1, n)], 20 * n).alias("at")).first()
+    filled = Counter(cut["at"] or [])
+    often = [i for i, m in filled.items() if m > 1]         # fewer than n
+    begins = F.substring("text", 1, BEGINS)
+    rows = rows.withColumn("begins", F.when(ids.isin(often), begins).otherwise(F.lit(""))
+                           if often else F.lit(""))
+    near = [(i, "") for i in {cut["least"] or 0, *filled}]
+    if often:
+        rate = min(1.0, SAMPLE * n / cut["rows"])
+        drawn: dict[int, list[str]] = {}
+        for i, t in (rows.filter(ids.isin(often) & (F.rand(7) < rate))     # equal texts too
+                     .select(ids, "begins").collect()):
+            drawn.setdefault(i, []).append(t)
+        for i, some in drawn.items():
+            some.sort()
+            near += {(i, some[j * len(some) // filled[i]]) for j in range(1, filled[i])}
+    near.sort()
+
+    def places(batch: pa.RecordBatch) -> list[tuple[int, str]]:
+        return list(zip(batch.column(0).fill_null(-(1 << 63)).to_pylist(),
+                        batch.column(1).to_pylist()))
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
+        found: dict[int, tuple[int, str]] = {}
         for batch in batches:
-            key_of = np.sort(batch.column(0).to_numpy())
-            part, first = np.unique(np.searchsorted(near, key_of, side="right"),
-                                    return_index=True)
-            for p, k in zip(part.tolist(), key_of[first].tolist()):
-                found[p] = min(k, found.get(p, k))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()),
-                                          pa.array(list(found.values()), pa.int64())],
-                                         names=["part", "id"])
-
-    firsts = (rows.select(ids.alias("id")).mapInArrow(smallest, "part int, id bigint")
-              .groupBy("part").agg(F.min("id").alias("id")).collect())      # at most n rows
-    bounds = np.array(sorted(r["id"] for r in firsts) or [0], np.int64)
+            for place in places(batch):
+                p = bisect_right(near, place)
+                found[p] = min(place, found.get(p, place))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.int32()),
+             pa.array([k[0] for k in found.values()], pa.int64()),
+             pa.array([k[1] for k in found.values()], pa.string())],
+            names=["part", "id", "begins"])
+
+    firsts = (rows.select("doc_id", "begins").mapInArrow(smallest, "part int, id bigint, begins string")
+              .groupBy("part").agg(F.min(F.struct("id", "begins")).alias("at"))
+              .select("at.id", "at.begins").collect())      # at most two rows a part
+    bounds = sorted(tuple(r) for r in firsts) or [(0, "")]
     parts = len(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key_of = batch.column(0).fill_null(-(1 << 63)).to_numpy()
-            part = np.searchsorted(bounds, key_of, side="right") - 1
-            first = np.flatnonzero(key_of == bounds[part])      # may be the row after a part
+            place = places(batch)
+            part = np.array([bisect_right(bounds, x) - 1 for x in place], np.int64)
+            after: dict[int, tuple[str, int]] = {}      # the row after a part: the least text
+            for i, p in enumerate(part.tolist()):
+                if place[i] == bounds[p]:
+                    this = (batch.column(2)[i].as_py(), i)
+                    after[p] = min(this, after.get(p, this))
+            first = np.array([i for _, i in after.values()], np.int64)
             both = pa.Table.from_batches([batch, batch.take(pa.array(first))]).combine_chunks()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([part, (part[first] - 1) % parts]).astype(np.int32)),
                  pa.array(np.repeat([False, True], [len(part), len(first)])),
-                 both.column(0).combine_chunks(), both.column(1).combine_chunks()],
+                 both.column(0).combine_chunks(), both.column(2).combine_chunks()],
                 names=["part", "halo", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(run, "part int, halo boolean, doc_id bigint, text string")
-    return dealt.repartition(tasks, "part").sortWithinPartitions("part", "halo", "doc_id", "text")
+    dealt = rows.select("doc_id", "begins", "text").mapInArrow(
+        run, "part int, halo boolean, doc_id bigint, text string")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part", "halo", ids, "text")
 
 
 def edited(text: str, following: str) -> str:
