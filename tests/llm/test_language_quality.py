@@ -169,3 +169,55 @@ def test_labels_of_one_class_teach_nothing(spark, odd):
     labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
     model = quality.train(odd, labels, F.lit(True))
     assert {round(r["q_score"], 6) for r in quality.score(odd, model, prefix="q_").collect()} == {0.3}
+
+
+def marked_texts(spark, n):
+    """Texts with labels that their capitals only hint at, and their features in memory."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghij    XYZ12.,!?\n"))
+    texts = ["".join(rng.choice(letters, 80)) for _ in range(n)]
+    x = np.array([quality.features(t) for t in texts])
+    good = x[:, 0] - np.median(x[:, 0]) + 0.1 * rng.normal(size=n) < 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)],
+                                   "doc_id bigint, quality int")
+    return docs, labels, x, good
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    docs, labels, x, good = marked_texts(spark, 18_000)
+    assert min(good.sum(), (~good).sum()) > 8_000
+    model = quality.train(docs, labels, F.lit(True))
+    s = quality.strengths(x, np.array(model.weights))
+    bad, ordered = int((~good).sum()), np.sort(s)
+    assert ordered[bad - 1] < ordered[bad]
+    assert model.threshold == (ordered[bad - 1] + ordered[bad]) / 2
+    assert model.scale == pytest.approx(4 / s.std(), rel=1e-6)
+    got = quality.score(docs, model, prefix="q_")
+    assert got.filter("q_predicted = 0").count() == bad
+    assert quality.train(docs.repartition(3), labels, F.lit(True)) == model
+
+
+def test_weights_are_those_of_all_pairs(spark):
+    docs, labels, x, good = marked_texts(spark, 500)
+    model = quality.train(docs, labels, F.lit(True))
+    d = (x[good][:, None] - x[~good]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(20):
+        q = quality.loses(d @ w)
+        hess = (d * (q * (1 - q))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(len(w))
+        w -= np.linalg.solve(hess, quality.RIDGE * w - q @ d / len(d))
+    assert np.abs(np.array(model.weights) - w).max() < 2e-3 * np.abs(w).max()
+    assert np.allclose(quality.fit_pairs(x, good, pairs=1_000), w, atol=2e-3 * np.abs(w).max())
+
+
+@pytest.mark.parametrize("values", [
+    [0.0, 1.0], [2.5] * 7, [-1e9, 0.1, 0.1, 0.1, 0.1 + 1e-16, 0.1 + 1e-12, 7.0],
+    [1.0, 2.0, 2.0, 2.0, 3.0], [0.1 * i ** 3 - 40 for i in range(30)], [5e-324, 0.0, -5e-324, 1e300]])
+def test_threshold_of_spread_out_scores(spark, monkeypatch, values):
+    monkeypatch.setattr(quality, "BUCKETS", 4)
+    s, n = np.sort(values), len(values)
+    scores = spark.createDataFrame([(v,) for v in values], "s_ double").repartition(2).cache()
+    for bad in {1, n // 3 + 1, n // 2, n - 1}:
+        got = quality.threshold_of(scores, bad, n, float(s[0]), float(s[-1]))
+        assert got == quality.threshold_at(s, np.ones(n), bad / n) == (s[bad - 1] + s[bad]) / 2
