@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wordreel import fixed
 from wordreel.functions.text import first_text, strip
 from wordreel.functions.timefmt import ass_time, srt_time
-from wordreel.operators.scan import join_takes, position_block, running
+from wordreel.operators.scan import blocked, carried, join_takes, running
 
 FULL = "&H00"
 
@@ -73,10 +73,10 @@ def subtitle_color(hex_color: Column) -> Column:
 def display_words(words: DataFrame, text_key: str = "text") -> DataFrame:
     """(take_id, rn, start_ms, end_ms, shown): words with something to show, renumbered."""
     shown = first_text(text_key, "text") if text_key != "text" else first_text("text")
-    kept = words.withColumn("shown", shown).filter(strip("shown") != "")
-    kept = kept.select("take_id", "idx", "start_ms", "end_ms", "shown",
-                       position_block("idx").alias("blk_"))
-    return running(kept, ["take_id"], "blk_", ["idx"], sums={"rn": F.lit(1)}).drop("blk_", "idx")
+    kept = blocked(words).withColumn("shown", shown).filter(strip("shown") != "")
+    kept = kept.select("take_id", "blk", "idx", "start_ms", "end_ms", "shown")
+    placed = running(kept, ["take_id"], "blk", ["idx"], sums={"rn": F.lit(1)}).drop("idx")
+    return placed if carried(words) else placed.drop("blk")
 
 
 def cues(display: DataFrame, n: int | Column = 3) -> DataFrame:
@@ -88,12 +88,27 @@ def cues(display: DataFrame, n: int | Column = 3) -> DataFrame:
 
 
 def chunks(display: DataFrame, n: int | Column, *carry: str) -> DataFrame:
-    """One row per cue with its words as an array; at most a handful each."""
+    """One row per cue with its words as an array; at most a handful each.
+
+    Words that lie by blocks are put together there; of a block's cues only the first
+    and the last can lack words, and are joined with their other part.
+    """
     n = F.lit(n) if isinstance(n, int) else n
     numbered = display.withColumn("cue", F.floor(F.col("rn") / n).cast("bigint"))
     word = F.struct("rn", "start_ms", "end_ms", "shown")
-    return numbered.groupBy("take_id", "cue", *carry).agg(
-        F.array_sort(F.collect_list(word)).alias("said"))
+    said = F.array_sort(F.collect_list(word)).alias("said")
+    if not carried(display):
+        return numbered.groupBy("take_id", "cue", *carry).agg(said)
+    lies = Window.partitionBy("take_id", "blk")
+    ends = numbered.withColumns({"lo_": F.min("rn").over(lies), "hi_": F.max("rn").over(lies)})
+    whole = F.coalesce((F.col("cue") * n >= F.col("lo_")) & ((F.col("cue") + 1) * n <= F.col("hi_") + 1),
+                       F.lit(False))
+    cue = Window.partitionBy("take_id", "blk", "cue", *carry).orderBy("rn")
+    here = ends.filter(whole).select("take_id", "blk", "cue", "rn", *carry, F.collect_list(word).over(
+        cue.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("said"))
+    here = here.filter(F.col("said")[0]["rn"] == F.col("rn"))
+    parts = ends.filter(~whole).groupBy("take_id", "cue", *carry).agg(said)
+    return here.select(*parts.columns).unionByName(parts)
 
 
 def text_lines(rows: DataFrame, line_no: Column, lines: Column) -> DataFrame:

@@ -20,7 +20,8 @@ NAMES = [p[0] for p in fixed.STYLE_PRESETS]
 def styles_of(rows):
     """(style_id, style) of the presets, numbered in their order."""
     place = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("preset")) - 1
-    return rows.select(place.alias("style_id"), F.struct(*rows.columns).alias("style"))
+    # The presets are a fixed list in the code.
+    return F.broadcast(rows).select(place.alias("style_id"), F.struct(*rows.columns).alias("style"))
 
 
 def styled(words):
@@ -128,7 +129,7 @@ FROM (SELECT *, coalesce(nullif(CASE idx % 3 WHEN 0 THEN lower(text) WHEN 1 THEN
 def display_words(spark, d):
     w = T.words(spark, d).withColumn(
         "hinglish", F.expr("CASE idx % 3 WHEN 0 THEN lower(text) WHEN 1 THEN '' ELSE ' ' END"))
-    return C.display_words(w, "hinglish")
+    return C.display_words(w, "hinglish").drop("blk")
 
 
 part("styled_words", """
@@ -201,7 +202,7 @@ def srt_files(spark, d):
  FROM (SELECT *, row_number() OVER (PARTITION BY take_id ORDER BY idx) - 1 AS rn
        FROM retimed) GROUP BY take_id, rn // 3)""")))
 def tightened_srt(spark, d):
-    return C.srt_lines(C.cues(C.display_words(settle(P.retimed(spark, d), "retimed")), 3))
+    return C.srt_lines(C.cues(C.display_words(P.retimed(spark, d)), 3))
 
 
 part("event_times", """
