@@ -157,7 +157,9 @@ def assign_words(words: DataFrame, spans: DataFrame) -> DataFrame:
         F.col("next_s").isNull() | (F.col("next_s") >= F.col("end_ms"))), F.lit(False))
     held = F.when(flat, F.col("start_ms") <= F.col("e")).otherwise(F.col("start_ms") < F.col("e"))
     rest = _by_overlap(placed.filter(~sure).select(*said.columns), s)
-    out = placed.filter(sure & held).drop("next_s").unionByName(rest.repartition("take_id", "blk"))
+    # Those are few; words of one position, as of a take that is given twice, go by their time.
+    rest = rest.repartition("take_id", "blk").sortWithinPartitions("take_id", "blk", "idx", "start_ms")
+    out = placed.filter(sure & held).drop("next_s").unionByName(rest)
     return out if carried(words) else out.drop("blk")
 
 
